@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, line_dedup, oracles, secret_scan
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -25,5 +25,41 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
-ORACLES: dict[str, str] = {}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_scan.written(F.filter(spans, lambda s: s["kind"] < 3)), 256).alias("base_sha256"),
+        secret_scan.written(spans).alias("spans"),
+    )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secrets": op5_secrets,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_bpe": op8_bpe,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": oracles.OP6,
+    "op10_line_dedup": oracles.OP10,
+}
