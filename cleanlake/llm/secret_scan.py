@@ -41,10 +41,13 @@ def _complementary(a: Column, b: Column) -> Column:
 def scan_parts(documents: DataFrame) -> DataFrame:
     """doc_id, _k1, _k2, parts: every part of any kind in each whole text, in the order of start and kind."""
     text = F.coalesce("text", F.lit(""))
-    found = [
-        F.transform(span_list(text, pattern, group, least, must), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
-        for i, (_, pattern, group, least, must, _, _) in enumerate(KINDS)
-    ]
+
+    def of(i: int) -> Column:
+        _, pattern, group, least, must, _, _ = KINDS[i]
+        spans = span_list(text, pattern, group, least, must)
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+
+    found = [of(i) for i in range(len(KINDS))]
     return documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.array_sort(F.concat(*found)).alias("parts"))
 
 
