@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes that a Python task works on at once (one text may be longer).
 SLICE_BYTES = 4 << 20
@@ -53,7 +54,7 @@ def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """fn on slices of df's rows, in Python tasks that keep one slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +65,18 @@ def map_texts(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Reco
     return df.mapInArrow(run, schema)
 
 
+_WORKER: dict[str, object] = {}
+
+
+def once_a_worker(token: str, make: Callable[[], object]) -> object:
+    """make()'s result, made once in a Python worker for each token; a few of the latest are kept."""
+    if token not in _WORKER:
+        while len(_WORKER) >= 4:
+            _WORKER.pop(next(iter(_WORKER)))
+        _WORKER[token] = make()
+    return _WORKER[token]
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32 of key as text, mod n; null for a null key."""
     return F.crc32(key.cast("string")) % n

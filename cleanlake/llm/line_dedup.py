@@ -138,7 +138,7 @@ def dedup_lines(documents: DataFrame, least: int = 20, copies: int = 3, filter_b
     hashed = cut(rows.select(line_hashes(F.col("text"), least).alias("hashes")).where(F.exists("hashes", lambda h: h.isNotNull())))
     found = suspects(rows, hashed, least, filter_bytes)
     found = cut(found)
-    repeated = found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies)
+    repeated = cut(found.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= copies))
     dropped = (
         found.join(repeated, "key")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
