@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, oracles, quality, secret_scan, toxicity
+from . import bpe, decontaminate, langid, line_dedup, near_dup, oracles, quality, secret_scan, toxicity
 from .common import table
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     coded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
+    "op7_near_dup": op7_near_dup,
     "op8_bpe": op8_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
