@@ -31,3 +31,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+OP9 = """
+WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+             coalesce(CAST(floor(turn / 1024) AS BIGINT), -1) AS block FROM conversations),
+people AS (SELECT DISTINCT conv_id AS conv, role AS perspective FROM t WHERE role <> 'system'),
+seen AS (SELECT conv_id, block, perspective, turn, role, text,
+           '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+           text || '<|im_end|>' AS body
+         FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv),
+placed AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, perspective ORDER BY turn NULLS FIRST, role, text
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
+SELECT conv_id, perspective, block, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_own,
+       sha256(string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS text_sha256,
+       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = perspective), '') AS mask
+FROM placed GROUP BY conv_id, perspective, block
+"""

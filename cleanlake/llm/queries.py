@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, near_dup, oracles, quality, secret_scan, toxicity
+from . import ann, bpe, chat, decontaminate, langid, line_dedup, near_dup, oracles, quality, secret_scan, toxicity
 from .common import table
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -33,6 +33,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -65,21 +69,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return chat.perspectives(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "perspective", "block", "n_turns", "n_own", F.sha2("text", 256).alias("text_sha256"), mask.alias("mask")
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ann": op2_ann,
     "op3_langid": op3_langid,
     "op4_quality": op4_quality,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_near_dup": op7_near_dup,
     "op8_bpe": op8_bpe,
+    "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": oracles.OP6,
+    "op9_chat": oracles.OP9,
     "op10_line_dedup": oracles.OP10,
 }
