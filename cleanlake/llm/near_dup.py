@@ -86,7 +86,7 @@ def sketch(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     while len(live):
         x, s, o = reach[live], seed[live], of[live]
         for k in range(step):
-            r = mix64(s + np.uint64(done + k + 1) * _P)
+            r = mix64(s + np.uint64((done + k + 1) * int(_P) % 2**64))
             x = x - np.log(((r >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52) / (m * RATE)
             np.minimum.at(least, o * m + (mix64(r) >> np.uint64(56)).astype(np.int64), x)
         reach[live] = x

@@ -157,7 +157,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 4, left_
 
 
 def apply(documents: DataFrame, model: Model | None) -> DataFrame:
-    """documents, all columns, with the score of `text` added as _quality."""
+    """documents, all columns, with the score of `text` added as _quality; a column of that name is replaced."""
+    documents = documents.drop("_quality")
     shared, token = documents.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = documents.columns.index("text")
     names = [*documents.columns, "_quality"]
