@@ -57,7 +57,7 @@ def test_languages_held_out(spark):
 
 
 def test_languages_of_odd_texts(spark):
-    docs = table(spark, "documents").select("doc_id", "text", "lang").unionByName(odd_documents(spark).withColumn("doc_id", odd_documents(spark).doc_id + 10**6).select("doc_id", "text", "lang"))
+    docs = table(spark, "documents").select("doc_id", "text", "lang").unionByName(odd_documents(spark).selectExpr("doc_id + 1000000 as doc_id", "text", "lang"))
     got = {r.doc_id: r for r in langid.identify(docs, PIECES).where("doc_id is null or doc_id >= 1000000").collect()}
     assert [got[10**6 + i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and got[None].held_out and got[None].lang_pred != "und"
     assert {r.lang_pred for r in langid.identify(odd_documents(spark).where("doc_id = 2"), PIECES).collect()} == {"und"}
