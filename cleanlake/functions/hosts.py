@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 import unicodedata
 from urllib.parse import urljoin, urlsplit
 
@@ -104,6 +105,8 @@ def _ascii(host: str) -> str | None:
 def parse_url(value: str, base: str) -> tuple | None:
     """href, scheme, host, original host and its kind of value, joined to base; None if it cannot be."""
     text = unicodedata.normalize("NFC", value).strip("".join(map(chr, range(33)))).translate({9: None, 10: None, 13: None})
+    if re.fullmatch(r"(?i)(?:https?|ftp|wss?):[/\\]*", text):
+        return None
     try:
         scheme = text.partition(":")[0].lower()
         joined = urljoin(base, text.replace("\\", "/") if scheme in ("http", "https") or ":" not in text else text)

@@ -114,7 +114,7 @@ def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
         seen = visited if visited is not None else found.select("url").limit(0)
         queued = enqueue(found, seen, policy, depth)
         url = resolve_url(F.col("url"), F.lit("https://localhost/"))
-        asked = queued.withColumn("refused", connection_violation(url, policy)).join(responses, "url", "left")
+        asked = queued.withColumn("_url", url).withColumn("refused", connection_violation(F.col("_url"), policy)).drop("_url").join(responses, "url", "left")
         status = F.when(F.col("status") != "fetch", F.col("status")).when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("data").isNull() | ~F.col("status_code").between(200, 299), "failed").otherwise("fetched")
         asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", F.length("data")).otherwise(0)), policy)
         asked = asked.withColumn("status", F.when((F.col("status") == "fetched") & ~F.col("within") & F.lit(policy.max_bytes.level == "error"), "max_bytes").otherwise(F.col("status")))
