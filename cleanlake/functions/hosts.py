@@ -175,6 +175,13 @@ def siphash13(data: bytes) -> int:
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
+def local_file(href: str, default: str) -> str:
+    """The local name of a URL; default is the extension of those without one."""
+    last = re.sub(r"[?#].*$", "", href, flags=re.S).split("://", 1)[-1].partition("/")[2].rpartition("/")[2]
+    found = "".join(c for c in last.rpartition(".")[2] if c.isalnum()) if "." in last else ""
+    return f"sub_{siphash13(href.encode() + b'\xff'):016x}.{found or default}"
+
+
 @F.pandas_udf(T.StringType())
 def url_hash(href: pd.Series) -> pd.Series:
     """Sixteen hexadecimal digits that name a URL."""

@@ -1,23 +1,24 @@
 """The policy over HTML: what is done to each document, the rewritten documents, and the resources that they name.
 
-Documents become segments and attributes; rules are predicates and host-list tests over these rows; the order in which
-a reader of the document would meet the violations decides which one ends it. Only the resolution of URLs leaves the
-JVM. A document never becomes more than its own rows, and rows of a document meet again by its key alone.
+Documents become segments with their attributes; rules are predicates and host-list tests over these rows; the order in
+which a reader of the document would meet the violations decides which one ends it. Only the resolution of URLs and the
+rewriting of style sheets leave the JVM. A document's rows meet again by its key alone, under the shuffle that ordered them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hosts import is_idn, local_name, matches_any, resolve_url
+from ..functions.hosts import URL, is_idn, local_file, matches_any, parse_url
 from . import resources
 from .policy import ATTRIBUTE_BREAKERS, LEVELS, Policy, ReplaceRule
-from .tokens import as_bytes, as_text, attributes, segments
+from .tokens import as_bytes, as_text, attribute_list, segments, span_list
 
 #: Fixed table: the attribute of each element that holds a URL, and the default extension if it is a resource.
 URL_ATTRIBUTES = (
@@ -26,7 +27,6 @@ URL_ATTRIBUTES = (
     ("script", "src", "js"), ("iframe", "src", None), ("object", "data", None),
 )
 LOCAL_BASE = "https://localhost/"
-ACTION = "pos long, step int, sub int, level string, type string, original string, replacement string, loc_start long, loc_end long"
 _BREAKERS = f"[{ATTRIBUTE_BREAKERS}]"
 
 
@@ -62,174 +62,178 @@ def _action(when: Column, rule: ReplaceRule | str, kind: str, original: Column,
     return F.when(when, made)
 
 
-def bases(attrs: DataFrame, key: str, base: str) -> DataFrame:
-    """key, pos, base: the URL that each base element gives to the elements after it, resolved one against another."""
-    hrefs = attrs.where("tag = 'base' and name = 'href'").groupBy(key, "pos").agg(F.min_by("value", "n").alias("value"))
-    folded = hrefs.withColumn("all", F.collect_list(F.struct("pos", "value")).over(W.partitionBy(key).orderBy("pos")))
-    # a base is relative to the one before: only an absolute one, or the first, needs no fold
-    absolute = F.array_position(F.transform(F.reverse("all"), lambda x: x["value"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:")), True)
-    chain = F.when(absolute > 0, F.reverse(F.slice(F.reverse("all"), 1, absolute.cast("int")))).otherwise(F.col("all"))
-    return folded.select(key, "pos", F.transform(chain, lambda x: x["value"]).alias("chain"), F.lit(base).alias("start"))
+RESOLVED = T.StructType([*URL.fields, T.StructField("local", T.StringType())])
 
 
-@F.pandas_udf(T.StringType())
-def _fold_bases(chain, start):  # noqa: ANN001, ANN202
-    import pandas as pd
+@F.pandas_udf(RESOLVED)
+def _resolve(value: pd.Series, chain: pd.Series, start: pd.Series, ext: pd.Series) -> pd.DataFrame:
+    """value joined to the base that the chain of base elements makes of start, and its local name if ext is given."""
+    rows = []
+    for v, hrefs, now, e in zip(value, chain, start, ext, strict=True):
+        if v is None:
+            rows.append((None,) * 6)
+            continue
+        for h in hrefs:
+            got = parse_url(h, now)
+            now = got[0] if got else now
+        got = parse_url(v, now) or (None,) * 5
+        rows.append((*got, None if got[0] is None or e is None else local_file(got[0], e)))
+    return pd.DataFrame(rows, columns=RESOLVED.names, dtype=object)
 
-    from ..functions.hosts import parse_url
 
-    out = []
-    for values, now in zip(chain, start, strict=True):
-        for v in values:
-            got = parse_url(v, now)
-            now = got[0] if got else now
-        out.append(now)
-    return pd.Series(out, dtype=object)
-
-
-def url_attributes(attrs: DataFrame, key: str, base: str) -> DataFrame:
-    """The attributes that hold URLs (the first of a name in a tag), with `ext`, the base in force and the resolved `url`."""
-    ext = F.lit(None).cast("string")
-    holds = F.lit(False)
-    for tag, name, default in URL_ATTRIBUTES:
-        here = (F.col("tag") == tag) & (F.col("name") == name)
-        holds = holds | here
-        ext = F.when(here, F.lit(default).cast("string")).otherwise(ext)
-    first = F.row_number().over(W.partitionBy(key, "pos", "name").orderBy("n")) == 1
-    found = attrs.withColumn("_first", first).where(F.col("_first") & holds & ~F.col("removed")).drop("_first").withColumn("ext", ext)
-    given = bases(attrs, key, base).select(F.col(key), F.col("pos"), _fold_bases("chain", "start").alias("base"))
-    both = found.select(key, "pos", F.lit(None).cast("string").alias("base"), F.struct(*(c for c in found.columns if c not in (key, "pos"))).alias("a"))
-    both = both.unionByName(given.select(key, "pos", "base"), allowMissingColumns=True)
-    force = F.last("base", ignorenulls=True).over(W.partitionBy(key).orderBy("pos").rangeBetween(W.unboundedPreceding, -1))
-    both = both.withColumn("base", F.coalesce(force, F.lit(base))).where("a is not null").select(key, "pos", "base", "a.*")
-    return both.withColumn("url", resolve_url(F.col("now"), F.col("base")))
+def _first(attrs: Column, name: Column | str) -> Column:
+    """The first attribute of that name."""
+    return F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))
 
 
-def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> Sanitized:
-    """The policy applied to whole documents.
+def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> DataFrame:
+    """key, output, actions array, subresources array: one row for each document; see sanitize_html.
 
-    Entity declarations are dealt with first, in the whole document; offsets are bytes of what they leave. Then, in
-    order of segments: each attribute (handlers, then dangerous URIs), then what the element asks for. The first
-    action of level error ends its document: later ones are dropped and the output is null. Null documents have a null
-    output and no action; a document's rows are found by key, which must be unique and not null.
+    Segments are exploded and meet again under one shuffle by the key; what an element asks for is worked out on its
+    segment's row.
     """
     docs = documents.select(F.col(key), as_bytes(F.col(html)).alias("_html"))
-    entity = F.regexp_extract_all("_html", F.lit(resources.ENTITY), F.lit(0))
-    declared = docs.select(key, F.posexplode(F.arrays_zip(entity.alias("w"), F.slice(F.split("_html", resources.ENTITY, -1), 1, F.size(entity)).alias("b"))).alias("pos", "x"))
-    gone = F.sum(F.length("x.w") + F.length("x.b")).over(W.partitionBy(key).orderBy("pos"))
-    declared = declared.select(key, F.col("pos").cast("long").alias("pos"), _action(F.lit(True), policy.xml_entities, "xml_entities", as_text(F.col("x.w")), gone - F.length("x.w"), gone, 0, F.lit(0)).alias("a"))
-    filtered = docs.select(key, as_text(resources.without_entities(F.col("_html"), policy.xml_entities)).alias("html"))
-    tokens = segments(filtered, key, "html")
-    attrs = attributes(tokens, key)
+    tokens = segments(docs.select(key, as_text(resources.without_entities(F.col("_html"), policy.xml_entities)).alias("html")), key, "html")
+    tag, head, body, at = (F.col(c) for c in ("tag", "head", "body", "at"))
 
     # attributes, one by one
-    handler = is_handler(F.col("name"))
-    uri = is_dangerous_uri(F.col("value")) & ~(handler & F.lit(policy.event_handlers.replace is not None))
-    now = F.when(uri, replaced(policy.dangerous_uris, F.col("value"))).otherwise(F.col("value"))
-    now = F.when(handler & F.lit(policy.event_handlers.replace is not None), replaced(policy.event_handlers, F.col("value"))).otherwise(now)
-    changed = (handler & F.lit(policy.event_handlers.replace is not None)) | (uri & F.lit(policy.dangerous_uris.replace is not None))
-    name_end = F.col("name_at") + F.length("raw_name")
-    attrs = attrs.withColumn("now", now).withColumn("changed", changed).withColumn("removed", F.col("changed") & (F.col("now") == ""))
-    by_attr = attrs.select(
-        key,
-        F.col("pos").cast("long").alias("pos"),
-        F.explode(F.array(
-            _action(handler, policy.event_handlers, "event_handlers", F.col("value"), F.col("name_at"), name_end, 1, F.col("n") * 2),
-            _action(uri, policy.dangerous_uris, "dangerous_uris", F.lower(F.col("value")), F.col("name_at"), name_end, 1, F.col("n") * 2 + 1),
-        )).alias("a"),
-    ).where("a is not null")
-
-    # the elements' URLs
-    urls = url_attributes(attrs, key, base)
-    url, start = F.col("url"), F.col("name_at")
-    end = F.col("name_at") + F.length("raw_name")
+    drop_handlers, edit_uris = policy.event_handlers.replace is not None, policy.dangerous_uris.replace is not None
+
+    def judged(a: Column) -> Column:
+        handler = is_handler(a["name"])
+        uri = is_dangerous_uri(a["value"]) & ~(handler & F.lit(drop_handlers))
+        changed = (handler & F.lit(drop_handlers)) | (uri & F.lit(edit_uris))
+        now = F.when(handler & F.lit(drop_handlers), replaced(policy.event_handlers, a["value"])).when(uri, replaced(policy.dangerous_uris, a["value"])).otherwise(a["value"])
+        return F.struct(*(a[c].alias(c) for c in ("name", "raw_name", "raw_value", "value", "name_at")), handler.alias("handler"), uri.alias("uri"), changed.alias("changed"), now.alias("now"))
+
+    rows = tokens.withColumn("attrs", F.transform(attribute_list(tag, head, at), judged))
+    attrs = F.col("attrs")
+
+    def by_attribute(a: Column, i: Column) -> Column:
+        end = a["name_at"] + F.length(a["raw_name"])
+        return F.array(
+            _action(a["handler"], policy.event_handlers, "event_handlers", a["value"], a["name_at"], end, 1, i * 2),
+            _action(a["uri"], policy.dangerous_uris, "dangerous_uris", F.lower(a["value"]), a["name_at"], end, 1, i * 2 + 1),
+        )
+
+    # the element's URL
+    url_name, ext = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for t, name, default in URL_ATTRIBUTES:
+        url_name = F.when(tag == t, name).otherwise(url_name)
+        ext = F.when(tag == t, F.lit(default).cast("string")).otherwise(ext)
+    sheet = F.exists(attrs, lambda a: (a["name"] == "rel") & F.lower(a["value"]).contains("stylesheet"))
+    ext = F.when((tag != "link") | sheet, ext)
+    base_href = F.when(tag == "base", _first(attrs, "href")["now"])
+    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_base", base_href).withColumn("_chain", F.collect_list("_base").over(before))
+    found = _first(attrs, url_name)
+    rows = rows.withColumn("_u", F.when(~(found["changed"] & (found["now"] == "")), found))
+    u = F.col("_u")
+    rows = rows.withColumn("_url", _resolve(u["now"], F.col("_chain"), F.lit(base), ext))
+    url = F.col("_url")
     joined, idn, denied = url["href"].isNotNull(), is_idn(url), matches_any(url["host"], policy.denied)
-    script = F.col("tag") == "script"
-    frame = F.col("tag").isin("iframe", "object")
     if policy.compat:  # allowing a.b also allows b, and not the subdomains of a.b
-        wide = F.lit(False)
+        script_ok = F.lit(False)
         for h in policy.allow_scripts:
-            wide = wide | (url["host"] == h) | F.lit(h).endswith(F.concat(F.lit("."), url["host"]))
-        script_ok = wide
+            script_ok = script_ok | (url["host"] == h) | F.lit(h).endswith(F.concat(F.lit("."), url["host"]))
     else:
         script_ok = matches_any(url["host"], policy.allow_scripts)
-    bad_script = script & F.when(joined, url["host"].isNotNull() & ~script_ok).otherwise(F.lit(True))
-    bad_frame = frame & joined & ~matches_any(url["host"], policy.allow_origins)
-    clean = lambda c: F.regexp_replace(c, _BREAKERS, "")
-    new = F.lit(None).cast("string")
-    new = F.when(joined & idn, F.lit(policy.idn.replace).cast("string")).otherwise(new)
+    bad_script = F.coalesce((tag == "script") & u.isNotNull() & F.when(joined, url["host"].isNotNull() & ~script_ok).otherwise(F.lit(True)), F.lit(False))
+    bad_frame = F.coalesce(tag.isin("iframe", "object") & joined & ~matches_any(url["host"], policy.allow_origins), F.lit(False))
     swap = F.lit(policy.dangerous_domains.replace).cast("string")
     if policy.dangerous_domains.replace and "." in policy.dangerous_domains.replace:
         swap = F.regexp_replace(url["href"], r"^([a-z]+://(?:[^/@]*@)?)[^/:?#]+", f"$1{policy.dangerous_domains.replace}")
-        swap = clean(swap) if policy.compat else swap
+        swap = F.regexp_replace(swap, _BREAKERS, "") if policy.compat else swap
+    new = F.when(joined & idn, F.lit(policy.idn.replace).cast("string"))
     new = F.when(joined & denied & swap.isNotNull(), swap).otherwise(new)
     new = F.when(bad_script & F.lit(policy.dangerous_scripts.replace is not None), F.lit(policy.dangerous_scripts.replace)).otherwise(new)
     new = F.when(bad_frame & F.lit(policy.dangerous_origins.replace is not None), F.lit(policy.dangerous_origins.replace)).otherwise(new)
-    urls = urls.withColumn("new", new)
-    by_url = urls.select(
-        key,
-        F.col("pos").cast("long").alias("pos"),
-        F.explode(F.array(
-            _action(joined & idn, policy.idn, "idn", F.col("now"), start, end, 2, F.lit(0)),
-            _action(joined & denied, policy.dangerous_domains, "dangerous_domains", F.col("now"), start, end, 2, F.lit(1)),
-            _action(bad_script, policy.dangerous_scripts, "dangerous_scripts", F.coalesce(url["host"], F.col("now")), start, end, 2, F.lit(2)),
-            _action(bad_frame, policy.dangerous_origins, "dangerous_origins", url["href"], start, end, 2, F.lit(2)),
-        )).alias("a"),
-    ).where("a is not null")
-    sheets = attrs.where("tag = 'link' and name = 'rel'").where(F.lower("value").contains("stylesheet")).select(key, "pos", F.lit(True).alias("sheet")).distinct()
-    urls = urls.join(sheets, [key, "pos"], "left")
-    fetched = F.lit(policy.fetch_sub_resources) & joined & F.col("ext").isNotNull() & ((F.col("tag") != "link") | F.col("sheet")) & (F.lit(policy.compat) | F.col("new").isNull())
-    urls = urls.withColumn("local", F.when(fetched, local_name(url["href"], F.col("ext"))))
+    rows = rows.withColumn("_new", new)
+    local = F.when(F.lit(policy.fetch_sub_resources) & (F.lit(policy.compat) | F.col("_new").isNull()), url["local"])
+    rows = rows.withColumn("_local", local).withColumn("_set", F.coalesce("_local", "_new"))
 
     # refreshes, inline scripts and styles
-    refresh = attrs.where("tag = 'meta' and name = 'http-equiv'").where(F.lower("value") == "refresh").groupBy(key, "pos").agg(F.min("at").alias("at"))
-    by_meta = refresh.select(key, F.col("pos").cast("long").alias("pos"), _action(F.lit(True), policy.meta_refresh, "meta_refresh", F.lit("refresh"), F.col("at"), F.col("at"), 2, F.lit(0)).alias("a"))
-    js = tokens.where((F.col("tag") == "script") & F.col("body").rlike(resources.JS))
-    hit = F.regexp_extract("body", resources.JS, 0)
-    js_at = F.col("at") + F.length("head") + F.regexp_instr("body", F.lit(resources.JS)) - 1
-    by_js = js.select(key, F.col("pos").cast("long").alias("pos"), _action(F.lit(True), policy.dangerous_js, "dangerous_js", F.concat(hit, F.lit("..)")), js_at, js_at + F.length(hit), 3, F.lit(0)).alias("a"))
-    styles = tokens.where("tag = 'style' and body <> ''").withColumn("css", resources.sanitize_css_udf(policy)(as_text(F.col("body")), F.lit(base)))
-    by_css = styles.select(key, F.col("pos").cast("long").alias("pos"), (F.col("at") + F.length("head")).alias("shift"), F.posexplode("css.actions").alias("n", "c")).select(
-        key,
-        "pos",
-        F.struct(F.lit(3).alias("step"), F.col("n").cast("int").alias("sub"), "c.level", "c.type", "c.original", "c.replacement", (F.col("shift") + F.col("c.loc_start")).alias("loc_start"), (F.col("shift") + F.col("c.loc_end")).alias("loc_end")).alias("a"),
+    refresh = F.coalesce((tag == "meta") & F.exists(attrs, lambda a: (a["name"] == "http-equiv") & (F.lower(a["value"]) == "refresh")), F.lit(False))
+    js = F.coalesce((tag == "script") & body.rlike(resources.JS), F.lit(False))
+    hit, js_at = F.regexp_extract("body", resources.JS, 0), at + F.length("head") + F.regexp_instr("body", F.lit(resources.JS)) - 1
+    rows = rows.withColumn("_css", resources.sanitize_css_udf(policy)(F.when((tag == "style") & (body != ""), as_text(body)), F.lit(base)))
+    css, shift = F.col("_css"), at + F.length("head")
+    start, end = u["name_at"], u["name_at"] + F.length(u["raw_name"])
+    by_element = F.array(
+        _action(joined & idn, policy.idn, "idn", u["now"], start, end, 2, F.lit(0)),
+        _action(joined & denied, policy.dangerous_domains, "dangerous_domains", u["now"], start, end, 2, F.lit(1)),
+        _action(bad_script, policy.dangerous_scripts, "dangerous_scripts", F.coalesce(url["host"], u["now"]), start, end, 2, F.lit(2)),
+        _action(bad_frame, policy.dangerous_origins, "dangerous_origins", url["href"], start, end, 2, F.lit(2)),
+        _action(refresh, policy.meta_refresh, "meta_refresh", F.lit("refresh"), at, at, 2, F.lit(3)),
+        _action(js, policy.dangerous_js, "dangerous_js", F.concat(hit, F.lit("..)")), js_at, js_at + F.length(hit), 3, F.lit(0)),
     )
-    later = by_attr.unionByName(by_url).unionByName(by_meta).unionByName(by_js).unionByName(by_css).withColumn("pos", F.col("pos") + (1 << 32))
-    every = declared.unionByName(later).select(key, "pos", "a.*")
-    actions = first_error_cutoff(every, key)
-
-    # documents again
-    keep_js = policy.dangerous_js.replace
-    edits = urls.select(key, "pos", "n", F.coalesce("local", "new").alias("set"))
-    values = attrs.join(edits, [key, "pos", "n"], "left").withColumn("final", F.coalesce("set", "now"))
-    drop = F.col("removed") | (F.col("set").isNotNull() & (F.col("set") == ""))
-    touched = F.col("changed") | F.col("set").isNotNull()
-    raw = F.when(F.col("raw_value") == "", F.col("raw_name")).otherwise(F.concat("raw_name", F.lit("="), "raw_value"))
-    written = F.when(touched, F.concat("raw_name", F.lit('="'), as_bytes(F.col("final")), F.lit('"'))).otherwise(raw)
-    tags = values.groupBy(key, "pos").agg(
-        F.bool_or(touched).alias("touched"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~drop, F.struct("n", written.alias("w"))))), lambda x: x["w"]), " ").alias("inner"),
+    by_css = F.transform(
+        F.coalesce(css["actions"], F.array().cast("array<struct<level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")),
+        lambda c, i: F.struct(F.lit(3).alias("step"), i.cast("int").alias("sub"), *(c[n].alias(n) for n in ("level", "type", "original", "replacement")), (shift + c["loc_start"]).alias("loc_start"), (shift + c["loc_end"]).alias("loc_end")),
     )
-    whole = tokens.join(tags, [key, "pos"], "left").join(refresh.select(key, "pos", F.lit(True).alias("refresh")), [key, "pos"], "left")
-    whole = whole.join(styles.select(key, "pos", as_bytes(F.col("css.output")).alias("css_out")), [key, "pos"], "left")
-    closing = F.when(F.col("head").rlike(r"/>$"), " />").otherwise(">")
-    open_tag = F.concat(F.regexp_extract("head", r"^<[A-Za-z][^\s/>]*", 0), F.when(F.col("inner") != "", F.concat(F.lit(" "), "inner")).otherwise(""), closing)
-    head = F.when(F.coalesce("touched", F.lit(False)), open_tag).otherwise(F.col("head"))
-    body = F.coalesce("css_out", "body")
-    if keep_js is not None:
-        body = F.when((F.col("tag") == "script") & F.col("body").rlike(resources.JS), F.lit(keep_js)).otherwise(body)
-    piece = F.concat(head, body)
+    acts = F.filter(F.concat(F.flatten(F.transform(attrs, by_attribute)), by_element, by_css), lambda x: x.isNotNull())
+    acts = F.transform(acts, lambda x: F.struct(F.col("pos").cast("long").alias("pos"), *(x[n].alias(n) for n in ("step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"))))
+
+    # the segment again
+    touched = F.exists(attrs, lambda a: a["changed"]) | F.col("_set").isNotNull()
+    is_url = lambda a: F.coalesce(F.col("_set").isNotNull() & (a["name_at"] == u["name_at"]), F.lit(False))
+    final = lambda a: F.when(is_url(a), F.col("_set")).otherwise(a["now"])
+    edited = lambda a: a["changed"] | is_url(a)
+    raw = lambda a: F.when(a["raw_value"] == "", a["raw_name"]).otherwise(F.concat(a["raw_name"], F.lit("="), a["raw_value"]))
+    kept = F.filter(attrs, lambda a: ~(edited(a) & (final(a) == "")))
+    inner = F.array_join(F.transform(kept, lambda a: F.when(edited(a), F.concat(a["raw_name"], F.lit('="'), as_bytes(final(a)), F.lit('"'))).otherwise(raw(a))), " ")
+    closing = F.when(head.rlike(r"/>$"), " />").otherwise(">")
+    open_tag = F.concat(F.regexp_extract("head", r"^<[A-Za-z][^\s/>]*", 0), F.when(inner != "", F.concat(F.lit(" "), inner)).otherwise(""), closing)
+    text = F.coalesce(as_bytes(css["output"]), body)
+    if policy.dangerous_js.replace is not None:
+        text = F.when(js, F.lit(policy.dangerous_js.replace)).otherwise(text)
+    piece = F.concat(F.when(touched, open_tag).otherwise(head), text)
     if policy.meta_refresh.replace == "":
-        piece = F.when(F.col("refresh"), F.lit("")).otherwise(piece)
-    rebuilt = whole.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))), lambda x: x["p"]), "").alias("_out"))
-    blocked = actions.where("level = 'error'").select(key).distinct().withColumn("_blocked", F.lit(True))
-    output = docs.select(key, "_html").join(rebuilt, key, "left").join(blocked, key, "left")
-    output = output.select(key, F.when(F.col("_blocked").isNull() & F.col("_html").isNotNull(), as_text(F.coalesce("_out", F.lit("")))).alias("output"))
-    in_tags = urls.where("local is not null").select(key, F.col("pos"), F.lit(0).alias("k"), url["href"].alias("url"), F.col("local").alias("local_name"))
-    in_styles = styles.select(key, "pos", F.posexplode("css.subresources").alias("k", "s")).select(key, "pos", "k", "s.url", "s.local_name")
-    found = in_tags.unionByName(in_styles).join(blocked, key, "left_anti")
-    order = W.partitionBy(key).orderBy("pos", "k")
-    return Sanitized(output, actions, found.select(key, F.row_number().over(order).alias("seq"), "url", "local_name"))
+        piece = F.when(refresh, F.lit("")).otherwise(piece)
+    named = F.when(F.col("_local").isNotNull(), F.array(F.struct(url["href"].alias("url"), F.col("_local").alias("local_name"))))
+    named = F.coalesce(named, css["subresources"], F.array().cast("array<struct<url:string,local_name:string>>"))
+    made = rows.select(key, "pos", piece.alias("piece"), acts.alias("acts"), named.alias("named"))
+    whole = made.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "acts", "named"))).alias("all"))
+    whole = whole.select(
+        key,
+        as_text(F.array_join(F.transform("all", lambda x: x["piece"]), "")).alias("_out"),
+        F.array_sort(F.flatten(F.transform("all", lambda x: x["acts"]))).alias("_acts"),
+        F.flatten(F.transform("all", lambda x: x["named"])).alias("_named"),
+    )
+    declared = F.transform(
+        span_list(F.col("_html"), resources.ENTITY),
+        lambda x, i: F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), F.lit(policy.xml_entities.level).alias("level"), F.lit("xml_entities").alias("type"), x["text"].alias("original"), F.lit(None if policy.xml_entities.level == "error" else policy.xml_entities.replace).cast("string").alias("replacement"), x["start"].alias("loc_start"), x["end"].alias("loc_end")),
+    )
+    none = F.array().cast("array<struct<pos:bigint,step:int,sub:int,level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")
+    ids = docs.select(key, F.col("_html").isNotNull().alias("_some"), declared.alias("_declared"))
+    both = ids.join(whole, key, "left").withColumn("_all", F.concat(F.coalesce("_declared", none), F.coalesce("_acts", none)))
+    stop = F.array_position(F.transform("_all", lambda x: x["level"]), LEVELS[-1])
+    both = both.withColumn("_stop", stop).withColumn("actions", F.when(F.col("_stop") > 0, F.slice("_all", 1, F.col("_stop").cast("int"))).otherwise(F.col("_all")))
+    good = F.col("_some") & (F.col("_stop") == 0)
+    return both.select(
+        key,
+        F.when(good, F.coalesce("_out", F.lit(""))).alias("output"),
+        "actions",
+        F.when(good, F.coalesce("_named", F.array().cast("array<struct<url:string,local_name:string>>"))).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"),
+    )
+
+
+def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> Sanitized:
+    """The policy applied to whole documents.
+
+    Entity declarations are dealt with first, in the whole document; offsets are bytes of what they leave. Then, in
+    order of segments: each attribute (handlers, then dangerous URIs), then what the element asks for. The first
+    action of level error ends its document: later ones are dropped, the output is null and no resource is named. Null
+    documents have a null output and no action; a document's rows are found by key, which must be unique and not null.
+    """
+    rows = sanitize_rows(documents, policy, key, html, base)
+    actions = rows.select(key, F.posexplode("actions").alias("n", "a"))
+    found = rows.select(key, F.posexplode("subresources").alias("n", "s"))
+    return Sanitized(
+        rows.select(key, "output"),
+        actions.select(key, (F.col("n") + 1).alias("seq"), *(F.col(f"a.{c}") for c in ("level", "type", "original", "replacement", "loc_start", "loc_end"))),
+        found.select(key, (F.col("n") + 1).alias("seq"), "s.url", "s.local_name"),
+    )
 
 
 def first_error_cutoff(actions: DataFrame, key: str) -> DataFrame:

@@ -43,20 +43,49 @@ def segments(documents: DataFrame, key: str, html: str) -> DataFrame:
     return placed.select(key, "pos", "at", "tag", "head", F.expr("substring(raw, length(head) + 1)").alias("body"))
 
 
-def attributes(tags: DataFrame, key: str) -> DataFrame:
-    """key, pos, at, tag, n, name, raw_name, raw_value, value, name_at: the attributes of start tags, numbered from 0.
+def span_list(text: Column, pattern: str) -> Column:
+    """array<struct<text,start,end>>: the matches of pattern, as text, and their ranges of bytes in text, which holds a character for each."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    zipped = F.arrays_zip(found.alias("w"), F.slice(F.transform(between, F.length), 1, F.size(found)).alias("b"))
+    none = F.array().cast("array<struct<text:string,start:bigint,end:bigint>>")
+    one = lambda x, begin: F.struct(as_text(x["w"]).alias("text"), begin.cast("bigint").alias("start"), (begin + F.length(x["w"])).cast("bigint").alias("end"))
+    return F.aggregate(
+        zipped,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["w"])).alias("at"), F.concat(acc["out"], F.array(one(x, acc["at"] + x["b"]))).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
+ATTRIBUTES = "array<struct<name:string,raw_name:string,raw_value:string,value:string,name_at:bigint>>"
+
+
+def attribute_list(tag: Column, head: Column, at: Column) -> Column:
+    """The attributes of a start tag that begins at byte `at`, in order; none for other segments.
 
     value is without quotes, as text; raw_value, as it stands, is empty for none. name_at is the byte of the name.
     """
-    inner = F.regexp_replace("head", TAG_NAME, "")
-    inner = F.regexp_replace(inner, r"/?>$", "")
-    skipped = F.length("head") - F.length(F.regexp_replace("head", TAG_NAME, ""))
-    found = tags.where("tag is not null").select(key, "pos", "at", "tag", skipped.alias("_skip"), inner.alias("_inner"))
-    whole, between = F.regexp_extract_all("_inner", F.lit(ATTRIBUTE), F.lit(0)), F.split("_inner", ATTRIBUTE, -1)
-    zipped = F.arrays_zip(whole.alias("w"), F.slice(between, 1, F.size(whole)).alias("b"))
-    each = found.select(key, "pos", "at", "tag", "_skip", F.posexplode(zipped).alias("n", "x")).select("*", F.length("x.w").alias("_lw"), F.length("x.b").alias("_lb"))
-    before = W.partitionBy(key, "pos").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("_lw") + F.col("_lb")).over(before), F.lit(0)) + F.col("_lb")
-    name, raw = F.regexp_extract("x.w", ATTRIBUTE, 1), F.regexp_extract("x.w", ATTRIBUTE, 2)
-    value = as_text(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2"))
-    return each.select(key, "pos", "at", "tag", "n", F.lower(name).alias("name"), name.alias("raw_name"), raw.alias("raw_value"), value.alias("value"), (F.col("at") + F.col("_skip") + start).cast("long").alias("name_at"))
+    rest = F.regexp_replace(head, TAG_NAME, "")
+    skip, inner = F.length(head) - F.length(rest), F.regexp_replace(rest, r"/?>$", "")
+    whole, between = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0)), F.split(inner, ATTRIBUTE, -1)
+    zipped = F.arrays_zip(whole.alias("w"), F.slice(F.transform(between, F.length), 1, F.size(whole)).alias("b"))
+
+    def one(x: Column, begin: Column) -> Column:
+        name, raw = F.regexp_extract(x["w"], ATTRIBUTE, 1), F.regexp_extract(x["w"], ATTRIBUTE, 2)
+        value = as_text(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2"))
+        return F.struct(F.lower(name).alias("name"), name.alias("raw_name"), raw.alias("raw_value"), value.alias("value"), begin.cast("bigint").alias("name_at"))
+
+    none = F.array().cast(ATTRIBUTES)
+    walked = F.aggregate(
+        zipped,
+        F.struct((at + skip).cast("bigint").alias("at"), none.alias("out")),
+        lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["w"])).alias("at"), F.concat(acc["out"], F.array(one(x, acc["at"] + x["b"]))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    return F.when(tag.isNotNull(), walked).otherwise(none)
+
+
+def attributes(tags: DataFrame, key: str) -> DataFrame:
+    """key, pos, at, tag, n and the attribute_list of each start tag, a row for each attribute, numbered from 0."""
+    listed = tags.where("tag is not null").select(key, "pos", "at", "tag", F.posexplode(attribute_list(F.col("tag"), F.col("head"), F.col("at"))).alias("n", "a"))
+    return listed.select(key, "pos", "at", "tag", "n", "a.*")
