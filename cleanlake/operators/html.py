@@ -89,10 +89,12 @@ def _first(attrs: Column, name: Column | str) -> Column:
 def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> DataFrame:
     """key, output, actions array, subresources array: one row for each document; see sanitize_html.
 
-    Segments are exploded and meet again under one shuffle by the key; what an element asks for is worked out on its
-    segment's row.
+    Documents are dealt by the key; their segments are exploded, ordered and gathered without another shuffle. What an
+    element asks for is worked out on its segment's row.
     """
-    docs = documents.select(F.col(key), as_bytes(F.col(html)).alias("_html"))
+    spark = documents.sparkSession  # as many tasks as there are: a document costs far more time than its bytes suggest
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs = documents.select(F.col(key), F.col(html).alias("_text")).repartition(parts, key).select(key, as_bytes(F.col("_text")).alias("_html"))
     tokens = segments(docs.select(key, as_text(resources.without_entities(F.col("_html"), policy.xml_entities)).alias("html")), key, "html")
     tag, head, body, at = (F.col(c) for c in ("tag", "head", "body", "at"))
 
