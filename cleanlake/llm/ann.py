@@ -25,7 +25,7 @@ CODEBOOKS, WORDS, BEAM = 8, 256, 4
 #: Rows that the codebooks are fitted to at most; rounds of k-means and of refitting all codebooks together.
 SAMPLE, ROUNDS, REFITS = 8192, 8, 1
 #: Candidates and queries of a block; standard deviations that a residual's product is allowed for.
-CANDIDATES, QUERIES, ALLOWANCE = 8192, 4096, 2.0
+CANDIDATES, QUERIES, ALLOWANCE = 8192, 4096, 3.0
 
 
 class Codebooks:
