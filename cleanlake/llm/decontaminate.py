@@ -19,6 +19,8 @@ from .text import lower_ascii, row_key
 #: What is no part of a word: ASCII but for letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEYS = ["_k1", "_k2"]
+#: Stands for an item without an id.
+NAMELESS = "\x00"
 
 
 def words(text: Column) -> Column:
@@ -28,7 +30,7 @@ def words(text: Column) -> Column:
 
 def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """item, at, term, n: the words of each distinct item by position; n words in all."""
-    each = items.select(items[key].cast("string").alias("item"), words(items[text]).alias("w"))
+    each = items.select(F.coalesce(items[key].cast("string"), F.lit(NAMELESS)).alias("item"), words(items[text]).alias("w"))
     return each.select("item", F.size("w").alias("n"), F.xxhash64(F.to_json(F.struct("w"))).alias("version"), F.posexplode("w").alias("at", "term")).withColumn("term", lower_ascii(F.col("term")))
 
 
@@ -110,14 +112,15 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10, key:
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Windows are `width` consecutive
     words of an item; an item of fewer words, but not none, is one window. n_hit counts the document's words inside
     any occurrence of a window, items are the ids, as strings and sorted, with an occurrence. Null texts have no words.
-    Repeated rows each get their result, null ids too; items that share an id are looked up each and named once.
+    Repeated rows each get their result, null ids too; items that share an id are looked up each and named once; those
+    without an id count for hits and are not named.
     """
     index, terms = index_for(documents, items, key, text)
     runs = cut(phrase_matches(index, terms, width))
     before = F.coalesce(F.max("end").over(W.partitionBy(*KEYS).orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = runs.select(*KEYS, "begin", "end").distinct().withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", before)))
     hits = ranges.groupBy(*KEYS).agg(F.sum("new").alias("n_hit"))
-    named = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.when(F.col("item") != NAMELESS, F.col("item")))).alias("items"))
     found = hits.join(named, KEYS)
     rows = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     return rows.join(found, KEYS, "left").select(

@@ -47,3 +47,40 @@ SELECT conv_id, perspective, block, count(*) AS n_turns, count(*) FILTER (WHERE
        coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = perspective), '') AS mask
 FROM placed GROUP BY conv_id, perspective, block
 """
+
+OP7 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, [x for x in string_split_regex({LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+
+def secrets(kinds: tuple, scope: int) -> str:
+    """SQL for the spans of `kinds` (name, pattern, group, least, must, role, weak), weak ones linked within scope."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for i, (_, pattern, group, least, must, role, weak) in enumerate(kinds):
+        good = "".join(f" AND regexp_matches(g, {quote(m)})" for m in must)
+        parts.append(
+            f"SELECT doc_id, {i} AS kind, {quote(role)} AS role, {weak} AS weak, begin AS s, begin + length(m) AS e FROM ("
+            f"SELECT doc_id, m[i] AS m, g[i] AS g, CAST(list_sum([length(x) for x in b[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS begin FROM ("
+            f"SELECT doc_id, m, g, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, {quote(pattern)}) AS m, regexp_extract_all(t, {quote(pattern)}, {group}) AS g, string_split_regex(t, {quote(pattern)}) AS b FROM d)))"
+            f" WHERE length(g) >= {least}{good}"
+        )
+    names = "CASE kind " + " ".join(f"WHEN {i} THEN '{k[0]}'" for i, k in enumerate(kinds)) + " END"
+    line = f"{names} || ':' || s || ':' || e"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({" UNION ALL ".join(parts)}),
+kept AS (SELECT doc_id, kind, s, e FROM parts p WHERE NOT weak OR EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.s - p.e <= {scope} AND p.s - q.e <= {scope}
+         AND p.role <> q.role AND (p.role = 'secret' OR q.role = 'secret')))
+SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256(coalesce(string_agg({line}, ',' ORDER BY s, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg({line}, ',' ORDER BY s, kind) FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY doc_id
+"""

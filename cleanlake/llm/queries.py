@@ -93,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op5_secrets": oracles.secrets(secret_scan.KINDS, secret_scan.SCOPE),
     "op6_decontaminate": oracles.OP6,
+    "op7_near_dup": oracles.OP7,
     "op9_chat": oracles.OP9,
     "op10_line_dedup": oracles.OP10,
 }

@@ -181,7 +181,7 @@ def brute_items(rows, items, width=10):
             for s in range(len(w) - n + 1):
                 if n and tuple(w[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
-                    named.add(str(k))
+                    named |= set() if k is None else {str(k)}
         out[i] = (len(w), len(hit), sorted(named))
     return out
 
@@ -189,7 +189,7 @@ def brute_items(rows, items, width=10):
 def test_contamination(spark, docs, rows):
     table, passage = rows
     w = passage.split()
-    items = [(1, passage), (2, " ".join(w[5:20]) + " other words that follow it here and there"), (10, "one two"), (11, ""), (12, None), (3, passage.upper()), (4, "never seen words in any text at all ok ok ok"), (5, "a a a"), (6, " ".join(["a"] * 14))]
+    items = [(1, passage), (2, " ".join(w[5:20]) + " other words that follow it here and there"), (10, "one two"), (11, ""), (12, None), (3, passage.upper()), (4, "never seen words in any text at all ok ok ok"), (5, "a a a"), (6, " ".join(["a"] * 14)), (None, "B C d"), (2, "one")]
     got = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute_items(table, items)
 
