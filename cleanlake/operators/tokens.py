@@ -82,7 +82,7 @@ def attribute_list(tag: Column, head: Column, at: Column) -> Column:
         lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["w"])).alias("at"), F.concat(acc["out"], F.array(one(x, acc["at"] + x["b"]))).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(tag.isNotNull(), walked).otherwise(none)
+    return F.when(F.length(head) > F.length(tag) + 2, walked).otherwise(none)
 
 
 def attributes(tags: DataFrame, key: str) -> DataFrame:
