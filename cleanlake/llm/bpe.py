@@ -27,7 +27,7 @@ LONGEST = WIDTHS[-1]
 #: Cells of a matrix.
 CELLS = 1 << 21
 #: Distinct pieces that a Python worker remembers; then it begins anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -215,22 +215,32 @@ def white_space(pattern: str) -> str:
     return pattern.replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}")
 
 
-def encode(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _bytes(vocabulary: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes that each row's ids stand for."""
+    data, size = vocabulary.decode(ids)
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """key, ids array<int>: the ids of each row's whole text; none for a null or an empty text.
 
     A row out for each row in, repeated rows and null keys too; other columns are not read. `path` is a file on the
-    driver with the vocabulary's ranks, of bounded size, which is broadcast; `pattern` splits a text into pieces.
+    driver with the vocabulary's ranks, of bounded size, which is broadcast; `pattern` splits a text into pieces. With
+    decoded, the ids are decoded again in the same task, into bytes in a column of that name.
     """
     spark = documents.sparkSession
     words, split = spark.sparkContext.broadcast(tuple(read_ranks(path))), white_space(pattern)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes = encoder(words.value, split).encode([t or "" for t in batch.column(1).to_pylist()])
-        return pa.RecordBatch.from_arrays([batch.column(0), _list(pa.array(ids), sizes)], ["key", "ids"])
+        own = encoder(words.value, split)
+        ids, sizes = own.encode([t or "" for t in batch.column(1).to_pylist()])
+        more = [_bytes(own.vocabulary, ids, sizes)] if decoded else []
+        return pa.RecordBatch.from_arrays([batch.column(0), _list(pa.array(ids), sizes), *more], ["key", "ids", "decoded"][: 2 + decoded])
 
     rows = documents.select(documents[key].alias("key"), documents[text].alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return map_texts(rows, "text", fn, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_texts(rows, "text", fn, f"key {kind}, ids array<int>" + ", decoded binary" * decoded).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -246,9 +256,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
                 lists = lists.fill_null(pa.scalar([], lists.type)) if lists.null_count else lists
                 voc = vocabulary(words.value)
                 counts = np.asarray(pc.list_value_length(lists), np.int64)
-                data, size = voc.decode(np.asarray(lists.flatten(), np.int64))
-                ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-                binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                binary = _bytes(voc, np.asarray(lists.flatten(), np.int64), counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, binary], ["key", "ids", "decoded"])
 
     rows = encoded.select(encoded[key].alias("key"), encoded[ids].alias("ids"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Text bytes that a Python task works on at once (one text may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows at once.
 SLICE_ROWS = 1024
 

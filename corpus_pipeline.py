@@ -49,7 +49,7 @@ def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether the ids decode to the document's text (ids_sha256, decoded_sha256)."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    coded = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return coded.select(
         "doc_id",
         "ids",

@@ -77,6 +77,8 @@ def test_bpe_is_tiktoken_and_round_trips(docs, rows):
     for i, t in rows[0]:
         assert got[i].ids == own.encode_ordinary(t or "")
         assert bytes(got[i].decoded) == (t or "").encode()
+    once = bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True).collect()
+    assert {r.doc_id: r for r in once} == got
 
 
 def test_bpe_odd_characters_and_long_pieces():
