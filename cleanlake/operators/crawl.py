@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hosts import ip_number, is_idn, is_safe_v4, local_name, matches_any, resolve_url
+from ..functions.hosts import ip_number, is_idn, is_safe_ip, is_safe_v4, local_name, matches_any, resolve_url
 from . import resources
 from .policy import Policy
 
@@ -26,6 +26,11 @@ def connection_violation(url: Column, policy: Policy) -> Column:
     )
 
 
+def safe_addresses(dns: DataFrame) -> DataFrame:
+    """The rows of dns (host, ip) whose address may be connected to; a host without any is not to be fetched."""
+    return dns.where(F.coalesce(is_safe_ip(F.col("ip")), F.lit(False)))
+
+
 def redirect_failures(hops: DataFrame, policy: Policy) -> DataFrame:
     """chain, hop_no, type: the first hop of each chain (chain, hop_no, url) that breaks a rule: IDN, number, domain."""
     url = resolve_url(F.col("url"), F.lit("https://localhost/"))
@@ -106,7 +111,8 @@ def sanitize_responses(fetched: DataFrame, policy: Policy) -> DataFrame:
 def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
     """source_idx, depth, seq, url, local_name, status, type, violation, output of all resources that the seeds lead to.
 
-    seeds: source_idx, seq, url, local_name. responses: url, status_code, content_type, data; URLs without one fail.
+    seeds: source_idx, seq, url, local_name. responses: url, status_code, content_type, data and, if known, the declared
+    content_length, which counts before the body does; URLs without a response fail.
     Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most.
     """
     visited, out, found = None, None, seeds
@@ -116,7 +122,8 @@ def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
         url = resolve_url(F.col("url"), F.lit("https://localhost/"))
         asked = queued.withColumn("_url", url).withColumn("refused", connection_violation(F.col("_url"), policy)).drop("_url").join(responses, "url", "left")
         status = F.when(F.col("status") != "fetch", F.col("status")).when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("data").isNull() | ~F.col("status_code").between(200, 299), "failed").otherwise("fetched")
-        asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", F.length("data")).otherwise(0)), policy)
+        size = F.greatest(F.length("data"), F.col("content_length")) if "content_length" in responses.columns else F.length("data")
+        asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", size).otherwise(0)), policy)
         asked = asked.withColumn("status", F.when((F.col("status") == "fetched") & ~F.col("within") & F.lit(policy.max_bytes.level == "error"), "max_bytes").otherwise(F.col("status")))
         done = sanitize_responses(asked.withColumn("data", F.when(F.col("status") == "fetched", F.col("data"))), policy).withColumn("depth", F.lit(depth))
         rows = done.select("source_idx", "depth", "seq", "url", "local_name", "status", "type", "violation", "output", "found")

@@ -79,3 +79,9 @@ def speedup(runs: DataFrame) -> DataFrame:
 def replicate(documents: DataFrame, times: int, key: str) -> DataFrame:
     """documents `times` times over, with `copy` from 0."""
     return documents.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def summary(rates_row, metrics: list[tuple[str, str]] = ()) -> str:  # noqa: ANN001
+    """Markdown of the one row of `rates`, and of further named figures."""
+    rows = [(k, str(rates_row[k])) for k in ("tp", "tn", "fp", "fn")] + [(k, f"{100 * rates_row[k]:.2f} %") for k in ("detection_rate", "false_positive_rate")]
+    return "\n".join(["| metric | value |", "| --- | --- |", *(f"| {k} | {v} |" for k, v in [*rows, *metrics])]) + "\n"
