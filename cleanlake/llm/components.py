@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_enough
 
-#: Links that a task joins locally at once.
+#: Links that a task joins at once.
 LOCAL = 200_000
 
 
@@ -35,45 +35,53 @@ class Forest:
         return True
 
 
-def shorten(links: DataFrame) -> DataFrame:
-    """hi, lo: a link from each node to the least one that its part of the links joins it with."""
+def shorten(links: DataFrame, local: int) -> DataFrame:
+    """hi, lo: a link from each node to the least one that its part of the links joins it with; a part has `local` links at most."""
+
+    def flat(forest: Forest) -> pa.RecordBatch:
+        nodes = [x for x in {*forest.parent, *forest.parent.values()} if forest.root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.root(x) for x in nodes], pa.int64())], ["hi", "lo"])
 
     def run(batches):
+        forest, held = Forest(), 0
         for batch in batches:
-            for s in range(0, batch.num_rows, LOCAL):
-                part = batch.slice(s, LOCAL)
-                hi, lo = (part.column(i).to_pylist() for i in (0, 1))
-                forest = Forest()
-                for x, y in zip(hi, lo, strict=True):
+            for s in range(0, batch.num_rows, local):
+                part = batch.slice(s, local)
+                if held + part.num_rows > local:
+                    yield flat(forest)
+                    forest, held = Forest(), 0
+                held += part.num_rows
+                for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     forest.join(x, y)
-                nodes = [x for x in set(hi) | set(lo) if forest.root(x) != x]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.root(x) for x in nodes], pa.int64())], ["hi", "lo"])
+        yield flat(forest)
 
     return links.select("hi", "lo").mapInArrow(run, "hi long, lo long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     """node, component: for each node of links (hi, lo: long), the least node that it is joined with; lesser nodes alone are left out.
 
-    Large-star and small-star steps in turn: every node's larger neighbours, then its smaller ones, are linked to its
-    least neighbour, until nothing changes. Each step takes a minimum for each node, combined before the shuffle, and
-    joins it back.
+    Tasks first join what they hold. Then large-star and small-star steps in turn: every node's larger neighbours, then
+    its smaller ones, are linked to its least neighbour; each step takes a minimum for each node, combined before the
+    shuffle, and joins it back. It ends when nothing changes, or when at most `local` links are left: one task joins those.
     """
-    now = cut(shorten(links.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo"))).distinct())
+    now = cut(shorten(links.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")), local).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     before = mark(now)
-    while before[0]:
+    while before[0] > local:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(small_enough(least, 16), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = cut(large)
         least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(small_enough(least, 16), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = cut(shorten(small.union(least.select("hi", F.col("m").alias("lo")))).distinct())
+        now = cut(shorten(small.union(least.select("hi", F.col("m").alias("lo"))), local).distinct())
         after = mark(now)
         if after == before:
             break
         before = after
+    if before[0] <= local:
+        now = cut(shorten(now.coalesce(1), local))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 

@@ -256,9 +256,10 @@ def test_sketches_merge_and_estimate():
     assert abs(near_dup.joint_estimate(more, less, counts[:1].astype(float), counts[1:2].astype(float))[0] - 0.9) < 0.08
 
 
-def test_components_of_a_path_a_star_and_a_loop(spark):
+@pytest.mark.parametrize("local", [components.LOCAL, 3])
+def test_components_of_a_path_a_star_and_a_loop(spark, local):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (300, 301), (301, 302), (302, 300)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "hi long, lo long").repartition(8)).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "hi long, lo long").repartition(8), local).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 130)}, 301: 300, 302: 300}
 
 
