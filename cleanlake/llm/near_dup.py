@@ -20,11 +20,11 @@ from .common import cut, map_texts, small_enough
 from .components import Forest, components, sorted_groups
 from .hashing import mix64
 
-#: Registers; base and rate of their scale; bands and the registers of each.
+#: Registers; base and rate of their scale.
 REGISTERS, BASE, RATE = 256, 1.001, 20.0
-BANDS, ROWS = 36, 7
-#: How far below the threshold an estimate may be, five of its standard errors; classes of a block.
-MARGIN, BLOCK = 0.11, 256
+#: The chance with which a pair at the threshold may escape all bands; how many of its standard errors below the
+#: threshold an estimate may be; classes of a block.
+ESCAPE, ERRORS, BLOCK = 3e-6, 5, 256
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -104,11 +104,17 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_hashes(levels: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and the registers of each: as many registers as ESCAPE allows at the threshold (36 of 7 at 85, 42 of 6 at 80)."""
+    rows = max(r for r in range(1, 65) if r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) <= ESCAPE)
+    return REGISTERS // rows, rows
+
+
+def band_hashes(levels: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """[set, band]: a hash of the band's number and levels."""
-    x = levels[:, : BANDS * ROWS].reshape(len(levels), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2]).copy()
-    for k in range(ROWS):
+    x = levels[:, : bands * rows].reshape(len(levels), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), x.shape[:2]).copy()
+    for k in range(rows):
         h = mix64(h * _Q + x[:, :, k])
     return h
 
@@ -136,7 +142,7 @@ def verified(ids: np.ndarray, block: np.ndarray, cross: bool, levels: np.ndarray
     """A link for each join of classes whose sets overlap by percent; if cross, only of classes of different blocks."""
     sizes = np.array([len(s) for s in sets], np.int64)
     ones, twos, rate = [], [], []
-    floor = percent / 100 - MARGIN
+    floor = percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, len(ids))
         fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
@@ -177,14 +183,14 @@ def digests(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of documents.
 
     Words are runs of what is no ASCII blank, A-Z lower-cased; a set holds the distinct shingles of `width` words, or
     the whole sequence if it is shorter. Documents whose sets overlap by `percent` of their union are linked; the
     component is the smallest id that can be reached. Texts without words, and rows without an id, are linked with
     nothing (without an id, component_id is null and the row is kept). Rows that share an id are one document, that of the
-    largest set. A pair at the threshold escapes all bands with a chance of 1e-6, and less if it is more alike.
+    largest set. A pair at the threshold escapes all bands with a chance of ESCAPE, and less if it is more alike.
     """
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -203,12 +209,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 85) ->
     heads = chosen.join(full, (chosen["class"] == full["doc_id"]) & (chosen["d1"] == full["d1"]) & (chosen["d2"] == full["d2"])).select("class", "levels")
     heads = cut(heads)
 
-    def bands(batches):
+    bands, size = banding(percent)
+
+    def hashed(batches):
         for batch in batches:
             levels = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            yield pa.RecordBatch.from_arrays([_long(band_hashes(levels).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS))], ["band", "class"])
+            yield pa.RecordBatch.from_arrays([_long(band_hashes(levels, bands, size).ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), bands))], ["band", "class"])
 
-    banded = heads.mapInArrow(bands, "band long, class long")
+    banded = heads.mapInArrow(hashed, "band long, class long")
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("k"), F.min("class").alias("head")).where("k > 1").select("band", "head"))
     near = banded.join(small_enough(shared, 16), "band").where("class <> head").select(F.col("class").alias("hi"), F.col("head").alias("lo")).distinct()
     star = components(near)

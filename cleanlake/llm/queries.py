@@ -15,7 +15,7 @@ RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; of rows of one id, one."""
+    """One document of each group of near-duplicates (0.8 of five-word shingles), that of the smallest id; of rows of one id, one."""
     found = cut(near_dup.near_duplicates(docs))
     gone = cut(found.where(~F.col("kept")).select("doc_id").distinct())
     left = docs.join(small_enough(gone, 16), "doc_id", "left_anti")

@@ -45,7 +45,7 @@ def test_lines(stages):
 
 
 def test_near_duplicates(stages):
-    want = brute_components([(r.doc_id, r.text) for r in stages[2]])
+    want = brute_components([(r.doc_id, r.text) for r in stages[2]], 80)
     assert {r.doc_id for r in stages[3]} == {k for k, v in want.items() if v[2]}
     assert set(stages[3]) <= set(stages[2])
 

@@ -232,12 +232,16 @@ def near_table():
     return rows + [(2000 + i, rows[3][1]) for i in range(30)]
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_near_duplicates(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "percent"), [(256, 85), (8, 85), (256, 80)])
+def test_near_duplicates(spark, monkeypatch, block, percent):
     monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = near_table()
-    got = near_dup.near_duplicates(frame(spark, rows))
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute_components(rows)
+    got = near_dup.near_duplicates(frame(spark, rows), percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute_components(rows, percent)
+
+
+def test_bands_of_a_threshold():
+    assert near_dup.banding(85) == (36, 7) and near_dup.banding(80) == (42, 6)
 
 
 def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
