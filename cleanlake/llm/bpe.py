@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,11 @@ from .hashing import HashTable
 WIDTHS = (4, 6, 8, 12, 16, 24, 32, 64, 128)
 LONGEST = WIDTHS[-1]
 #: Cells of a matrix.
-CELLS = 1 << 21
+CELLS = 1 << 18
+#: Pieces looked up at once.
+PIECES = 1 << 15
 #: Distinct pieces that a Python worker remembers; then it begins anew.
-REMEMBERED = 300_000
+REMEMBERED = 60_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -165,8 +169,6 @@ class Encoder:
         self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.forget()
         flat, start, size = self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in pieces])
         n = len(self.known)
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
@@ -174,26 +176,52 @@ class Encoder:
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, joined, and each text's number of ids."""
-        pieces, counts = [], []
-        for t in texts:
-            found = self.pattern.findall(t)
-            counts.append(len(found))
-            pieces += found
+    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, joined, and each piece's number of ids."""
         distinct = set(pieces)
-        new = sorted(distinct.difference(self.known))
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = distinct
         if new:
-            known = len(self.known)
-            self.learn(new)
-            if len(self.known) < known + len(new):  # it began anew
-                self.learn(sorted(distinct.difference(new)))
+            self.learn(sorted(new))
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
-        return ids, np.diff(bounds)
+        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def split(self, text: str) -> Iterator[list[str]]:
+        """The pieces of text, in lists; of a long text in lists of PIECES."""
+        if len(text) <= PIECES:
+            yield self.pattern.findall(text)
+            return
+        found = self.pattern.finditer(text)
+        while some := [m.group() for m in itertools.islice(found, PIECES)]:
+            yield some
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and each text's number of ids; about PIECES pieces are held at once."""
+        counts, flat = np.zeros(len(texts), np.int64), [np.zeros(0, np.int32)]
+        pieces: list[str] = []
+        owners: list[int] = []
+        per: list[int] = []
+
+        def look_up() -> None:
+            ids, size = self.look_up(pieces)
+            flat.append(ids)
+            np.add.at(counts, np.repeat(owners, per), size)
+            pieces.clear(), owners.clear(), per.clear()
+
+        for i, t in enumerate(texts):
+            for some in self.split(t) if t else ():
+                pieces += some
+                owners.append(i)
+                per.append(len(some))
+                if len(pieces) >= PIECES:
+                    look_up()
+        if pieces:
+            look_up()
+        return np.concatenate(flat), counts
 
 
 @functools.lru_cache(maxsize=2)

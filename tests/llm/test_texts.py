@@ -97,10 +97,20 @@ def test_bpe_odd_characters_and_long_pieces():
 def test_bpe_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     own, enc = reference_encoder(), bpe.Encoder(bpe.read_ranks(RANKS), bpe.white_space(public_tokenizers.PATTERN))
-    for t in ("alpha beta gamma", "beta delta epsilonn zeta", "alpha zeta qqqq"):
+    for t in ("alpha beta gamma", "beta delta epsilonn zeta", "alpha zeta qqqq", "more pieces in one text than are remembered at all"):
         assert enc.encode([t])[0].tolist() == own.encode_ordinary(t)
 
 
+def test_bpe_of_a_text_in_many_lists_of_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECES", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    own, enc = reference_encoder(), bpe.Encoder(bpe.read_ranks(RANKS), bpe.white_space(public_tokenizers.PATTERN))
+    texts = ["a", "one two  three\nfour five, six seven", "", "x y z", "eight nine ten eleven"]
+    ids, counts = enc.encode(texts)
+    assert ids.tolist() == [x for t in texts for x in own.encode_ordinary(t)]
+    assert counts.tolist() == [len(own.encode_ordinary(t)) for t in texts]
+
+
 # lines
 
 
