@@ -183,14 +183,26 @@ def digests(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def with_roots(found: DataFrame) -> DataFrame:
+    """class, component of components()' result, with the least of each component too."""
+    return found.select(F.col("node").alias("class"), "component").union(found.select("component", "component").distinct())
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of documents.
+    """doc_id, n_shingles, component_id, kept: a row for each row of documents, as linked_rows() finds them."""
+    return linked_rows(documents, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def linked_rows(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group, component_id, kept: a row for each row of documents.
 
     Words are runs of what is no ASCII blank, A-Z lower-cased; a set holds the distinct shingles of `width` words, or
-    the whole sequence if it is shorter. Documents whose sets overlap by `percent` of their union are linked; the
-    component is the smallest id that can be reached. Texts without words, and rows without an id, are linked with
-    nothing (without an id, component_id is null and the row is kept). Rows that share an id are one document, that of the
-    largest set. A pair at the threshold escapes all bands with a chance of ESCAPE, and less if it is more alike.
+    the whole sequence if it is shorter. Rows whose sets overlap by `percent` of their union are linked; group numbers
+    what can be reached (null for what is linked with nothing by rule) and the component is the smallest id in it. Texts
+    without words, and rows without an id, are linked with nothing (without an id, component_id is null and the row is
+    kept). Rows that share an id need not be alike: each is linked by its own set, and an id does not join the groups
+    of its rows, so that a row is kept, or some row of its group is. A pair at the threshold escapes all bands with a
+    chance of ESCAPE, and less if it is more alike.
     """
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -198,16 +210,17 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         d1, d2 = digests(flat, counts)
         levels = sketch(flat, counts)
         binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((np.arange(len(counts) + 1) * 2 * REGISTERS).astype(np.int32)), pa.py_buffer(levels)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), _long(d1), _long(d2), binary], ["doc_id", "n", "d1", "d2", "levels"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), _long(d1), _long(d2), binary, batch.column(2)], ["doc_id", "n", "d1", "d2", "levels", "text_hash"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = cut(map_texts(texts, "text", first, "doc_id long, n long, d1 long, d2 long, levels binary"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    known = cut(map_texts(texts, "text", first, "doc_id long, n long, d1 long, d2 long, levels binary, text_hash long"))
     set_key = ["n", "d1", "d2"]
     full = known.where("n > 0 and doc_id is not null")
-    classes = cut(full.groupBy(*set_key).agg(F.min("doc_id").alias("class")))
-    chosen = cut(classes.groupBy("class").agg(F.max(F.struct(*set_key)).alias("s")).select("class", "s.*"))
-    heads = chosen.join(full, (chosen["class"] == full["doc_id"]) & (chosen["d1"] == full["d1"]) & (chosen["d2"] == full["d2"])).select("class", "levels")
-    heads = cut(heads)
+    # a class is a number, not an id: several classes may have their least row in one id
+    classes = full.groupBy(*set_key).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("class"), *set_key, F.col("row.doc_id").alias("least"), F.col("row.text_hash").alias("least_hash")))
+    same_row = lambda of, rows: (of["least"] == rows["doc_id"]) & (of["least_hash"] == rows["text_hash"])
+    heads = cut(classes.join(full, same_row(classes, full) & (classes["d1"] == full["d1"]) & (classes["d2"] == full["d2"])).select("class", "levels"))
 
     bands, size = banding(percent)
 
@@ -219,9 +232,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     banded = heads.mapInArrow(hashed, "band long, class long")
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("k"), F.min("class").alias("head")).where("k > 1").select("band", "head"))
     near = banded.join(small_enough(shared, 16), "band").where("class <> head").select(F.col("class").alias("hi"), F.col("head").alias("lo")).distinct()
-    star = components(near)
-    members = star.select(F.col("node").alias("class"), F.col("component").alias("cluster")).union(star.select("component", "component").distinct())
-    members = cut(members.join(chosen, "class"))
+    members = cut(with_roots(components(near)).withColumnRenamed("component", "cluster").join(classes, "class"))
     blocks = cut(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     members = cut(members.join(small_enough(blocks, 12), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
 
@@ -235,7 +246,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         rest = [batch.column(k).take(pa.array(rows)) for k in (1, 4, 5, 6)]
         return pa.RecordBatch.from_arrays([*rest, data], ["class", "cluster", "blocks", "block", "data"])
 
-    rows = texts.join(small_enough(members, 64), texts["doc_id"] == members["class"]).select("text", "class", "d1", "d2", "cluster", "blocks", "block")
+    rows = texts.join(small_enough(members, 80), same_row(members, texts)).select("text", "class", "d1", "d2", "cluster", "blocks", "block")
     sets = map_texts(rows, "text", again, "class long, cluster long, blocks int, block int, data binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "class", "block", "data")
@@ -255,9 +266,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     keys = ["cluster", "one", "two"]
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "hi long, lo long")
-    joined = components(cut(links))
-    of_class = classes.join(small_enough(joined, 16), classes["class"] == joined["node"], "left").select(*set_key, F.coalesce("component", "class").alias("component"))
-    rows = known.select("doc_id", *set_key).withColumn("at", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n")))
-    of_class = small_enough(cut(of_class.withColumnRenamed("n", "at")), 32)
-    out = rows.join(of_class, ["at", "d1", "d2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    linked = cut(with_roots(components(cut(links))).join(classes.select("class", "least"), "class"))
+    names = cut(linked.groupBy("component").agg(F.min("least").alias("name")))
+    linked = cut(linked.select("class", "component").join(small_enough(names, 16), "component"))
+    of_class = classes.join(small_enough(linked, 24), "class", "left").select(*set_key, F.coalesce("component", "class").alias("group"), F.coalesce("name", "least").alias("name"))
+    rows = known.select("doc_id", "text_hash", *set_key).withColumn("at", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("n")))
+    of_class = small_enough(cut(of_class.withColumnRenamed("n", "at")), 40)
+    out = rows.join(of_class, ["at", "d1", "d2"], "left").withColumn("component_id", F.coalesce("name", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "group", "component_id", kept.alias("kept"))

@@ -27,14 +27,22 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 of five-word shingles), that of the smallest id; of rows of one id, one."""
-    found = cut(near_dup.near_duplicates(docs))
-    gone = cut(found.where(~F.col("kept")).select("doc_id").distinct())
-    left = docs.join(small_enough(gone, 16), "doc_id", "left_anti")
-    twice = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group of near-duplicates (0.8 of five-word shingles), that of the smallest id.
+
+    Of a group's rows of that id one stays, the one of the largest set (then of the largest hash of the text, then the
+    least row); rows of one id that are not alike are documents of their own.
+    """
+    row = ["doc_id", "text_hash"]
+    found = cut(near_dup.linked_rows(docs))
+    gone = cut(found.where(~F.col("kept")).select(*row).distinct())
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(small_enough(gone, 24), row, "left_anti")
+    groups = found.where("kept and doc_id is not null").select(*row, "n_shingles", F.coalesce("group", F.lit(-1)).alias("group"))
+    twice = cut(groups.groupBy("doc_id", "group").agg(F.count("*").alias("k"), F.max(F.struct("n_shingles", "text_hash")).alias("best")).where("k > 1"))
     if not twice.isEmpty():
-        twice = small_enough(twice, 16)
-        left = left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        rows = groups.join(small_enough(twice, 48), ["doc_id", "group"]).select(*row, (F.col("text_hash") == F.col("best.text_hash")).alias("best"))
+        rows = cut(rows.distinct())
+        one = left.join(small_enough(rows.where("best").select(*row), 24), row, "left_semi").groupBy(*row).agg(F.min(F.struct(*docs.columns)).alias("r"))
+        left = left.join(small_enough(rows.select(*row), 24), row, "left_anti").select(docs.columns).unionByName(one.select("r.*"))
     return left.select(docs.columns)
 
 

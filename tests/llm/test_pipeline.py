@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_texts import brute_components, brute_items, brute_lines, reference_encoder, sha
+from test_texts import brute_components, brute_items, brute_lines, frame, reference_encoder, sha, unlike_rows_of_an_id
 
 from cleanlake.llm import quality
 
@@ -73,3 +73,10 @@ def test_repeated_and_empty_rows(spark):
             ids = sorted((r.doc_id or 0) for r in got.collect())
             assert ids == ([] if not docs.count() else [0, 1, 3, 4] if f is corpus_pipeline.without_near_duplicates else [0, 1, 1, 2, 3, 4])
     assert quality.apply(spark.createDataFrame(rows, table), None).count() == 6
+
+
+def test_unlike_rows_of_one_id_both_stay(spark):
+    rows = unlike_rows_of_an_id()
+    more = [(5, rows[0][1] + " more"), rows[0], (13, ""), (13, " "), (13, "some words")]
+    got = corpus_pipeline.without_near_duplicates(spark, frame(spark, rows + more), SF)
+    assert sorted((r.doc_id, len((r.text or "").split())) for r in got.collect()) == [(3, 60), (5, 61), (5, 90), (6, 90), (13, 0), (13, 2)]

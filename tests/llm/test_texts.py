@@ -260,6 +260,20 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert rows == [(0, 1, 0, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (7, 0, 7, True), (8, 0, 8, True)]
 
 
+def unlike_rows_of_an_id():
+    """Rows of id 5 with unlike texts; 7 and 9 are near one, 11 the other; 3 is near the lesser text of id 6, whose larger one stands alone."""
+    words = lambda k, n: [f"{k}{i}" for i in range(n)]
+    a, b, c, d = words("a", 60), words("b", 90), words("c", 60), words("d", 90)
+    rows = [(5, a), (5, b), (7, a), (9, [*a[:-1], "z"]), (11, [*b[:-1], "z"]), (6, c), (6, d), (3, [*c[:-1], "z"]), (12, [*d[:-1], "z"])]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_near_duplicates_of_an_id_with_unlike_rows(spark):
+    got = near_dup.near_duplicates(frame(spark, unlike_rows_of_an_id()))
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect())
+    assert rows == [(3, 56, 3, True), (5, 56, 5, True), (5, 86, 5, True), (6, 56, 3, False), (6, 86, 6, True), (7, 56, 5, False), (9, 56, 5, False), (11, 86, 5, False), (12, 86, 6, False)]
+
+
 def test_sketches_merge_and_estimate():
     texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 900), (0, 1000), (300, 1000), (0, 4))]
     flat, counts = near_dup.shingle_sets(texts, 5)
