@@ -6,6 +6,8 @@ came first, the lowest (source, order) comes first.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,14 @@ from . import resources
 from .policy import Policy
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir (one of our own only where none is named)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def connection_violation(url: Column, policy: Policy) -> Column:
     """The rule that a parsed URL to be fetched breaks: non_https, idn_connection, dangerous_connection, unsafe_address; else null."""
     number = ip_number(url["host"])
@@ -52,16 +62,44 @@ def first_claims(found: DataFrame) -> DataFrame:
     return found.join(claim, on, "left_semi").dropDuplicates(["url"])
 
 
-def enqueue(found: DataFrame, visited: DataFrame, policy: Policy, depth: int = 1) -> DataFrame:
-    """found not visited yet, with nth (its number in its source) and status: fetch, over_budget, too_deep.
+def _queue_status(policy: Policy, depth: int) -> Column:
+    deep = F.lit(depth > policy.max_resource_depth.value and policy.max_resource_depth.level == "error")
+    return F.when(F.col("nth") > policy.max_subresources.value, "over_budget").when(deep, "too_deep").otherwise("fetch")
+
 
-    Every URL is claimed once among all sources; a source goes beyond max_subresources with none, whatever its level.
+def claimed_queue(found: DataFrame, visited: DataFrame, policy: Policy, depth: int = 1) -> DataFrame:
+    """found not visited yet, with nth and status as enqueue() has them, by the rule of budget_topk's SQL.
+
+    The first source that names a URL keeps it, even beyond its budget, so that no other source may fetch it.
     """
     fresh = first_claims(found.join(visited.select("url"), "url", "left_anti"))
     nth = F.row_number().over(W.partitionBy("source_idx").orderBy("seq"))
-    deep = F.lit(depth > policy.max_resource_depth.value and policy.max_resource_depth.level == "error")
-    status = F.when(F.col("nth") > policy.max_subresources.value, "over_budget").when(deep, "too_deep").otherwise("fetch")
-    return fresh.withColumn("nth", nth).withColumn("status", status)
+    return fresh.withColumn("nth", nth).withColumn("status", _queue_status(policy, depth))
+
+
+def enqueue(found: DataFrame, visited: DataFrame, policy: Policy, depth: int = 1, carried: DataFrame | None = None) -> DataFrame:
+    """found not visited yet, with nth (its number in its source) and status: fetch, over_budget, too_deep.
+
+    As if the sources came one after the other: a URL goes to the first source that names it and is in budget; each
+    source before that one has it over_budget. carried (source_idx, requests) has what earlier rounds counted. Every
+    round hands on the URLs that go beyond a budget: as many rounds as there are sources at worst, one if none goes beyond.
+    """
+    rest = [c for c in found.columns if c not in ("source_idx", "url", "seq")]
+    fresh = found.join(visited.select("url"), "url", "left_anti").groupBy("source_idx", "url").agg(F.min(F.struct("seq", *rest)).alias("_r"))
+    before = found.select("source_idx").limit(0).withColumn("requests", F.lit(0)) if carried is None else carried
+    fresh = fresh.select("source_idx", "url", "_r.*").join(before, "source_idx", "left").withColumn("_before", F.coalesce("requests", F.lit(0))).drop("requests")
+    fresh = cut(fresh)
+    nth = F.col("_before") + F.row_number().over(W.partitionBy("source_idx").orderBy("seq", "url"))
+    over = F.col("nth") > policy.max_subresources.value
+    refused = fresh.select("source_idx", "url").limit(0)
+    while True:
+        claim = fresh.join(refused, ["source_idx", "url"], "left_anti").groupBy("url").agg(F.min("source_idx").alias("source_idx"))
+        asked = fresh.join(claim.unionByName(refused), ["source_idx", "url"], "left_semi").withColumn("nth", nth.cast("int"))
+        asked = cut(asked)
+        now = cut(asked.where(over).select("source_idx", "url"))
+        if now.join(refused, ["source_idx", "url"], "left_anti").isEmpty():
+            return asked.drop("_before").select(*found.columns, "nth").withColumn("status", _queue_status(policy, depth))
+        refused = now
 
 
 def budget_actions(queued: DataFrame, policy: Policy, depth: int = 1) -> DataFrame:
@@ -73,9 +111,15 @@ def budget_actions(queued: DataFrame, policy: Policy, depth: int = 1) -> DataFra
     return over.unionByName(deep.select("source_idx", F.lit("max_resource_depth").alias("type"), F.lit(policy.max_resource_depth.value).alias("max")))
 
 
-def running_bytes(fetched: DataFrame, policy: Policy) -> DataFrame:
-    """fetched (source_idx, seq, size, ...) with spent, the bytes of its source so far, and within, whether they are in budget."""
+def running_bytes(fetched: DataFrame, policy: Policy, carried: DataFrame | None = None) -> DataFrame:
+    """fetched (source_idx, seq, size, ...) with spent, the bytes of its source so far, and within, whether they are in budget.
+
+    carried (source_idx, bytes) has what earlier rounds spent.
+    """
     spent = F.sum("size").over(W.partitionBy("source_idx").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    if carried is not None:
+        fetched, spent = fetched.join(carried, "source_idx", "left"), spent + F.coalesce("bytes", F.lit(0))
+        return fetched.withColumn("spent", spent).drop("bytes").withColumn("within", F.col("spent") <= policy.max_bytes.value)
     return fetched.withColumn("spent", spent).withColumn("within", F.col("spent") <= policy.max_bytes.value)
 
 
@@ -113,22 +157,29 @@ def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
 
     seeds: source_idx, seq, url, local_name. responses: url, status_code, content_type, data and, if known, the declared
     content_length, which counts before the body does; URLs without a response fail.
-    Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most.
+    Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most. Requests and bytes
+    of a source are counted over all levels; a URL over budget is not visited, so that a later level may ask for it.
     """
-    visited, out, found = None, None, seeds
+    visited, out, found, requests, spent = None, None, seeds, None, None
     for depth in range(1, policy.max_resource_depth.value + 1):
         seen = visited if visited is not None else found.select("url").limit(0)
-        queued = enqueue(found, seen, policy, depth)
+        queued = enqueue(found, seen, policy, depth, requests)
         url = resolve_url(F.col("url"), F.lit("https://localhost/"))
         asked = queued.withColumn("_url", url).withColumn("refused", connection_violation(F.col("_url"), policy)).drop("_url").join(responses, "url", "left")
         status = F.when(F.col("status") != "fetch", F.col("status")).when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("data").isNull() | ~F.col("status_code").between(200, 299), "failed").otherwise("fetched")
         size = F.greatest(F.length("data"), F.col("content_length")) if "content_length" in responses.columns else F.length("data")
-        asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", size).otherwise(0)), policy)
+        asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", size).otherwise(0)), policy, spent)
+        asked = cut(asked)
         asked = asked.withColumn("status", F.when((F.col("status") == "fetched") & ~F.col("within") & F.lit(policy.max_bytes.level == "error"), "max_bytes").otherwise(F.col("status")))
         done = sanitize_responses(asked.withColumn("data", F.when(F.col("status") == "fetched", F.col("data"))), policy).withColumn("depth", F.lit(depth))
         rows = done.select("source_idx", "depth", "seq", "url", "local_name", "status", "type", "violation", "output", "found")
         out = rows if out is None else out.unionByName(rows)
-        visited = queued.select("url") if visited is None else visited.union(queued.select("url"))
+        now = queued.where("status <> 'over_budget'").select("url")
+        visited = now if visited is None else visited.union(now)
+        counted = queued.groupBy("source_idx").agg(F.max("nth").alias("requests"))
+        requests = cut((counted if requests is None else requests.unionByName(counted)).groupBy("source_idx").agg(F.max("requests").alias("requests")))
+        used = asked.groupBy("source_idx").agg(F.sum("size").alias("bytes"))
+        spent = cut((used if spent is None else spent.unionByName(used)).groupBy("source_idx").agg(F.sum("bytes").alias("bytes")))
         found = rows.where("status = 'fetched'").select("source_idx", F.posexplode("found").alias("k", "f"), "seq")
         found = found.select("source_idx", (F.col("seq") * 100000 + F.col("k")).alias("seq"), "f.url", "f.local_name")
     return out.drop("found")

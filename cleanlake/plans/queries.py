@@ -230,7 +230,7 @@ def url_dedup_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT source_idx, seq, nth, CASE WHEN nth > 5 THEN 'over_budget' ELSE 'fetch' END AS status FROM (SELECT source_idx, seq, CAST(row_number() OVER (PARTITION BY source_idx ORDER BY seq) AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY source_idx, seq) AS r FROM ({_FOUND})) WHERE r = 1)")
 def budget_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _found(spark, sf_dir)
-    return crawl.enqueue(rows, rows.select("url").limit(0), Policy()).select("source_idx", "seq", "nth", "status")
+    return crawl.claimed_queue(rows, rows.select("url").limit(0), Policy()).select("source_idx", "seq", "nth", "status")
 
 
 @query("SELECT page_id // 20 AS source_idx, page_id AS seq, CAST(sum(strlen(html)) OVER w AS BIGINT) AS spent, sum(strlen(html)) OVER w <= 20000 AS within FROM pages WINDOW w AS (PARTITION BY page_id // 20 ORDER BY page_id)")

@@ -19,6 +19,27 @@ def test_budgets(spark):
     assert {r.status for r in crawl.enqueue(found, found.select("url").limit(0), Policy(), 2).collect()} == {"too_deep", "over_budget"}
 
 
+def test_urls_over_budget_go_to_the_next_source(spark):
+    found = [(0, i, f"https://h/{i}") for i in range(12)] + [(s, i, f"https://h/{i}") for s in (1, 2) for i in range(12)]
+    queued = crawl.enqueue(spark.createDataFrame(found, "source_idx long, seq long, url string"), spark.createDataFrame([], "url string"), Policy())
+    got = {(r.source_idx, r.seq): (r.nth, r.status) for r in queued.collect()}
+    want = {(0, i): (i + 1, "fetch" if i < 5 else "over_budget") for i in range(12)}
+    want |= {(1, i): (i - 4, "fetch" if i < 10 else "over_budget") for i in range(5, 12)} | {(2, i): (i - 9, "fetch") for i in (10, 11)}
+    assert got == want
+
+
+def test_budgets_run_over_all_depths(spark):
+    seeds = spark.createDataFrame([(0, i, f"https://h.org/{i}.css", "a") for i in range(4)] + [(1, 0, "https://h.org/z.css", "z")], "source_idx long, seq long, url string, local_name string")
+    css = "@import 'b.css'; @import 'c.css';"
+    rows = [("https://h.org/0.css", css), *((f"https://h.org/{i}.css", "a{}") for i in (1, 2, 3, "b", "c")), ("https://h.org/z.css", "@import 'c.css';")]
+    responses = spark.createDataFrame([(u, 200, "text/css", d.encode()) for u, d in rows], "url string, status_code int, content_type string, data binary")
+    got = {(r.source_idx, r.url[14:], r.depth): r.status for r in crawl.crawl(seeds, responses, Policy(max_resource_depth=LimitRule(2))).collect()}
+    assert got == {**{(0, f"{i}.css", 1): "fetched" for i in range(4)}, (1, "z.css", 1): "fetched", (0, "b.css", 2): "fetched", (0, "c.css", 2): "over_budget", (1, "c.css", 2): "fetched"}
+    size = len(css) + 9
+    got = crawl.crawl(seeds, responses, Policy(max_resource_depth=LimitRule(2), max_bytes=LimitRule(size, "error"))).where("depth = 2").collect()
+    assert {(r.source_idx, r.url[14:]): r.status for r in got} == {(0, "b.css"): "max_bytes", (0, "c.css"): "over_budget", (1, "c.css"): "fetched"}
+
+
 def test_resources_by_type(spark):
     rows = [("https://h/a.js", None, b"eval(1)"), ("https://h/b.js", None, b"let a"), ("https://h/c.pdf", None, b"%PDF /JS "), ("https://h/d.png", "image/png", b"\xff\xd8\xff\xd9"), ("https://h/e", None, b"?"), ("https://h/f.gif", "image/gif", b"GIF89a")]
     got = crawl.sanitize_responses(spark.createDataFrame(rows, "url string, content_type string, data binary"), Policy()).collect()
