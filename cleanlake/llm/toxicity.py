@@ -4,7 +4,10 @@ A text is read in units: its words, long words in overlapping windows, single le
 two units counts the subsequences of ORDER characters that they share, each weighted by DECAY for every character that
 its occurrence spans, so that gaps and inserted characters lower it and do not end it; spans over REACH count nothing.
 Units are mapped to their kernels with landmarks, whitened by the landmarks' own kernel matrix, and separated by an
-L2 support vector machine. Only documents are labelled: a toxic document's witness is the unit that the machine, so
+L2 support vector machine. Characters are taken in compatibility form, without marks that compose with nothing and without invisible ones; letters
+that look like Latin ones are read as such in words of none but both. Letters of all scripts bear weight: those that are no
+a-z, accented or not, are hashed into FOREIGN classes. Scripts without blanks are read in pairs of characters, or in fours
+of letters, and an ideograph or kana is two symbols. Only documents are labelled: a toxic document's witness is the unit that the machine, so
 far, holds most toxic; every unit of the others is a negative.
 
 The trained function is linear in the subsequences' weights, so that landmarks, whitening and machine fold into one
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, map_texts, once_a_worker, remainder
 
 ORDER, DECAY, REACH = 4, 0.7, 7
-#: Classes of characters: 26 letters, a word's beginning, the letters that often bear an accent, all else.
-BEGIN, ACCENTED, OTHER, CLASSES = 26, "aceinouy", 35, 36
+#: Classes of characters: 26 letters, a word's beginning, the letters that often bear an accent, what is no letter, other letters by hash.
+BEGIN, ACCENTED, OTHER, FOREIGN = 26, "aceinouy", 35, 16
+CLASSES = OTHER + 1 + FOREIGN
 #: Characters of a window and the step between windows of a long word.
 WINDOW, STEP = 14, 7
 #: Training texts of either label at most; landmarks; units of clean texts, and those searched for hard ones; rounds of choosing witnesses.
@@ -40,26 +44,68 @@ REMEMBERED = 500_000
 SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]{1,2}){3,}\w(?!\w)")
 #: Fixed table of signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+#: Letters that look like Latin ones, in lower case.
+LETTERS = str.maketrans("аеорсухіјѕԁһԛԝкмтвнѵ" + "αονικρτυχεηωγβμ" + "ɑɡı", "aeopcyxijsdhqwkmtbhv" + "aovikptuxenwybm" + "agi")
+#: Marks that are left when letters are composed, and invisible signs.
+FOLD = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+#: Runs of scripts without blanks: ideographs and kana; letters of Thai, Lao, Burmese and Khmer.
+PAIRS = re.compile("[\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+FOURS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]+")
+#: The first of FOREIGN private characters that stand for a class each.
+SYMBOL = 0xE000
 
 
+def _hash(c: str) -> int:
+    return (ord(c) * 0x9E3779B97F4A7C15 % 2**64) >> 32
+
+
+@functools.lru_cache(maxsize=1 << 17)
 def _class(c: str) -> int:
+    if SYMBOL <= ord(c) < SYMBOL + FOREIGN:
+        return OTHER + 1 + ord(c) - SYMBOL
     plain = unicodedata.normalize("NFKD", LOOKALIKES.get(c, c)).lower()
     if not "a" <= plain[:1] <= "z":
-        return OTHER
+        base = plain[0] if all(map(unicodedata.combining, plain[1:])) else c
+        return OTHER + 1 + _hash(base) % FOREIGN if unicodedata.category(c)[0] in "LM" else OTHER
     return BEGIN + 1 + ACCENTED.index(plain[0]) if len(plain) > 1 and plain[0] in ACCENTED else ord(plain[0]) - 97
 
 
 CLASS = np.array([_class(chr(i)) for i in range(0x250)] + [OTHER], np.int32)
 
 
+def symbols(text: str) -> str:
+    """Two private characters for each of text."""
+    return "".join(chr(SYMBOL + _hash(c) % FOREIGN) + chr(SYMBOL + _hash(c) // FOREIGN % FOREIGN) for c in text)
+
+
+def words_of(plain: str) -> list[str]:
+    """The words of a text in lower case; those that look Latin as Latin ones, and as they are if no letter is."""
+    if plain.isascii():
+        return plain.split()
+    out = []
+    for m in PAIRS.finditer(plain):
+        out += [symbols(m[0][i : i + 2]) for i in range(max(1, len(m[0]) - 1))]
+    for m in FOURS.finditer(plain):
+        out += [m[0][i : i + 4] for i in range(max(1, len(m[0]) - 3))]
+    for w in FOURS.sub(" ", PAIRS.sub(" ", plain)).split():
+        if not w.isascii() and (latin := w.translate(LETTERS)) != w and all(c < "\u0250" for c in latin if c.isalpha()):
+            out.append(latin)
+            if any("a" <= c <= "z" for c in w):
+                continue
+        out.append(w)
+    return out
+
+
 def units(text: str) -> list[str]:
     """The units of a text: words, and runs of spaced-out letters joined."""
-    plain = text.lower()
+    whole = text.lower() if text.isascii() else FOLD.sub("", unicodedata.normalize("NFKC", text).lower())
+    plain = whole
     for c in SIGNS:
         plain = plain.replace(c, "")
-    out = plain.split()
-    if SPACED.search(text):
-        out += ["".join(c for c in m[0].lower() if c.isalnum()) for m in SPACED.finditer(text)]
+    out = words_of(plain)
+    if SPACED.search(whole):
+        for m in SPACED.finditer(whole):
+            out += words_of("".join(c for c in m[0] if c.isalnum()))
     return out
 
 
@@ -84,6 +130,10 @@ def classes(words: list[str]) -> np.ndarray:
     """[unit, character] classes of units of one length, whose first character is the mark or not."""
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
     out = CLASS[np.minimum(codes, len(CLASS) - 1)]
+    far = codes >= len(CLASS) - 1
+    if far.any():
+        distinct, at = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([_class(chr(c)) for c in distinct.tolist()], np.int32)[at]
     out[codes == 0] = BEGIN
     return out
 
@@ -161,6 +211,15 @@ class Model:
     def __init__(self, weights: np.ndarray, constant: float, calibration: np.ndarray):
         self.weights, self.constant, self.calibration = weights, constant, calibration
 
+    def __getstate__(self) -> tuple:
+        at = np.flatnonzero(self.weights)
+        return at.astype(np.int32), self.weights[at], self.constant, self.calibration
+
+    def __setstate__(self, state: tuple) -> None:
+        at, weights, self.constant, self.calibration = state
+        self.weights = np.zeros(CLASSES**ORDER, np.float32)
+        self.weights[at] = weights
+
     def unit_scores(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -1.0)
         pieces = [(i, w) for i, u in enumerate(words) for w in windows(u)]
@@ -186,15 +245,17 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
-        """[text, 2]: the highest score of a unit, and how many (3 at most) are toxic."""
-        found = [units(t) for t in texts]
-        distinct = set().union(*found) if found else set()
+    def learn(self, distinct: set[str]) -> None:
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known = {}
         new = sorted(distinct.difference(self.known))
         for s in range(0, len(new), 50_000):
             self.known.update(zip(new[s : s + 50_000], self.model.unit_scores(new[s : s + 50_000]).tolist(), strict=True))
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """[text, 2]: the highest score of a unit, and how many (3 at most) are toxic."""
+        found = [units(t) for t in texts]
+        self.learn(set().union(*found))
         out, get = np.empty((len(texts), 2)), self.known.__getitem__
         for i, f in enumerate(found):
             scores = list(map(get, f))
@@ -255,7 +316,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         weight = np.where(labels > 0, 0.5 / max(1, len(positive)), 0.5 / (len(below) + len(hard)))
         now = model(separate(x, labels, weight), np.array([4.0, 0.0, 0.0]))
         scorer, searched = Scorer(now), clean[:MINED]
-        scorer.evidence([t for t, label in rows if label] + [" ".join(searched)])
+        scorer.learn(set(searched).union(*(s for s, label in zip(sets, y, strict=True) if label)))
         score = scorer.known
         best = [max(s, key=lambda u: (score[u], u)) for s, label in zip(sets, y, strict=True) if label and s]
         witness = sorted({u for u in best if score[u] > -0.5 and (seen[u][0] == 0 or odds.get(u, 0) > 1.5)}) or witness

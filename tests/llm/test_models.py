@@ -114,6 +114,32 @@ def test_toxicity_finds_gapped_insults_and_spares_others(spark):
     assert by[2000].predicted == by[2001].predicted == by[2002].predicted == 0 and by[None].predicted == 1 and by[None].held_out
 
 
+def test_toxicity_of_all_scripts_and_disguises():
+    rnd = random.Random(4)
+    alphabets = {"Cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "Greek": "αβγδεζηθλμξπρστφψω", "Arabic": "ابتثجحدذرزسشصضطظعغفقكلمنهوي", "Devanagari": "कखगघचछजझटठडतथदधनपफबभमयरलवशसह", "Han": "".join(map(chr, range(0x4E00, 0x4F60)))}
+    insults = {"Cyrillic": "грубиян", "Greek": "ξζψφθδ", "Arabic": "جضخشغ", "Devanagari": "झठभछघ", "Han": "馬鹿"}
+    letters = "abcdefghklmnoprstuvw"
+
+    def text(kind, bad):
+        word = lambda: "".join(rnd.choice(alphabets.get(kind, letters)) for _ in range(rnd.randrange(4, 8)))
+        found = [word() for _ in range(12)]
+        if bad:
+            found.insert(rnd.randrange(12), bad)
+        return ("" if kind == "Han" else " ").join(found)
+
+    every = {**insults, "Latin": "idiot"}
+    kinds = [(k, i % 2) for k in every for i in range(80)]
+    scorer = toxicity.Scorer(model := toxicity.fit([(text(k, every[k] if bad else ""), bad) for k, bad in kinds]))
+    score = lambda texts: model.probability(scorer.evidence(texts))
+    for k, bad in every.items():
+        assert (score([text(k, bad) for _ in range(20)]) > 0.5).mean() >= 0.9, k
+        assert (score([text(k, "") for _ in range(20)]) < 0.5).mean() >= 0.9, k
+    disguised = ["ｉｄｉｏｔ", "\U0001d422\U0001d41dio\U0001d42d", "i\u0336d\u0336i\u0336o\u0336t\u0336", "іdіоt", "id\u200biot", "IDI\u041eT"]
+    assert all(toxicity.units(d) == ["idiot"] for d in disguised) and toxicity.units("e\u0301") == toxicity.units("é")
+    assert (toxicity.classes(["ạ", "ế", "đ"]) != toxicity.OTHER).all() and (toxicity.classes(["😀", "1", "€"])[::2] == toxicity.OTHER).all()
+    assert toxicity.units("сор") == ["cop", "сор"]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert [r.score for r in toxicity.score_toxicity(docs, spark.createDataFrame([], LABELS)).collect()] == [0.0]
