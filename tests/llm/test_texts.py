@@ -129,9 +129,12 @@ def brute_lines(rows, least=20, copies=3):
     return out
 
 
-@pytest.mark.parametrize("filter_bytes", [line_dedup.FILTER_BYTES, 0])
-def test_lines(docs, rows, filter_bytes):
-    got = line_dedup.dedup_lines(docs, filter_bytes=filter_bytes)
+@pytest.mark.parametrize(("segment", "part", "most"), [(1 << 15, 1 << 17, 16 << 20), (16, 8, 0), (1 << 15, 4, 0)])
+def test_lines(docs, rows, monkeypatch, segment, part, most):
+    """In one segment and many, hot segments in parts, and lost lines joined by broadcast and by shuffle."""
+    monkeypatch.setattr(line_dedup, "SEGMENT_LINES", segment)
+    monkeypatch.setattr(line_dedup, "PART_LINES", part)
+    got = line_dedup.dedup_lines(docs, broadcast_bytes=most)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got.collect()} == brute_lines(rows[0])
 
