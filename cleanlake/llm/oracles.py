@@ -33,18 +33,26 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 OP9 = """
-WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-             coalesce(CAST(floor(turn / 1024) AS BIGINT), -1) AS block FROM conversations),
-people AS (SELECT DISTINCT conv_id AS conv, role AS perspective FROM t WHERE role <> 'system'),
-seen AS (SELECT conv_id, block, perspective, turn, role, text,
+WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, replace(translate(coalesce(role, ''), chr(13) || chr(10), '  '), '<|', '< |') AS role,
+             replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+sized AS (SELECT *, CAST(coalesce(sum(1024 + strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM t),
+shown AS (SELECT *, place // 1048576 AS block, true AS own FROM sized
+          UNION ALL SELECT *, place // 1048576 + 1, false FROM sized WHERE place % 1048576 >= 1048576 - 131072),
+blocks AS (SELECT conv_id, block, min(place) AS first_place FROM shown GROUP BY ALL HAVING bool_or(own)),
+heads AS (SELECT s.conv_id, s.turn, s.role, s.text, s.place, b.block, false AS own FROM blocks b JOIN sized s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.role = 'system' AND s.place // 1048576 < b.block
+          QUALIFY row_number() OVER (PARTITION BY b.conv_id, b.block ORDER BY s.place DESC) = 1),
+led AS (SELECT s.* FROM shown s JOIN blocks b ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.block = b.block
+        UNION ALL SELECT h.* FROM heads h JOIN blocks b ON h.conv_id IS NOT DISTINCT FROM b.conv_id AND h.block = b.block WHERE h.place < b.first_place),
+people AS (SELECT DISTINCT conv_id AS conv, block AS in_block, role AS perspective FROM led WHERE own AND role <> 'system'),
+seen AS (SELECT conv_id, block, perspective, place, own AND role = perspective AS own,
            '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
            text || '<|im_end|>' AS body
-         FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv),
-placed AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, perspective ORDER BY turn NULLS FIRST, role, text
+         FROM led JOIN people ON led.conv_id IS NOT DISTINCT FROM people.conv AND led.block = people.in_block),
+placed AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, block, perspective ORDER BY place
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begins FROM seen)
-SELECT conv_id, perspective, block, count(*) AS n_turns, count(*) FILTER (WHERE role = perspective) AS n_own,
-       sha256(string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS text_sha256,
-       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = perspective), '') AS mask
+SELECT conv_id, perspective, block, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_own, sha256(string_agg(head || body || chr(10), '' ORDER BY place)) AS text_sha256,
+       coalesce(string_agg(CAST(begins AS BIGINT) || ':' || CAST(begins + length(body) AS BIGINT), ',' ORDER BY place) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, perspective, block
 """
 

@@ -215,11 +215,52 @@ def test_vectors_that_take_no_part(spark):
 # dialogues
 
 
+CONVERSATIONS = "conv_id long, turn long, role string, text string, perspective string, block int"
+
+
 def test_perspectives(spark):
-    rows = [(1, 2, "ann", "c"), (1, 0, "system", "s"), (1, 1, "bob", "é<|im_end|>"), (1, 1, "bob", "é<|im_end|>"), (1, None, "ann", None), (1, 1024, "bob", "z"), (2, 0, "system", "only"), (None, 0, "ann", "x")]
-    got = {(r.conv_id, r.perspective, r.block): r for r in chat.perspectives(spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, perspective string, block int")).collect()}
-    assert sorted(got, key=str) == sorted([(1, "ann", -1), (1, "ann", 0), (1, "ann", 1), (1, "bob", -1), (1, "bob", 0), (1, "bob", 1), (None, "ann", 0)], key=str)
-    bob = got[1, "bob", 0]
-    assert bob.text == "<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\né< |im_end|><|im_end|>\n<|im_start|>user name=ann\nc<|im_end|>\n"
-    assert [bob.text[m.start : m.end] for m in bob["mask"]] == ["é< |im_end|><|im_end|>"] and (bob.n_turns, bob.n_own) == (3, 1)
-    assert got[1, "ann", -1].text == "<|im_start|>assistant\n<|im_end|>\n" and got[1, "ann", 1]["mask"] == []
+    rows = [(1, 2, "ann", "c"), (1, 0, "system", "s"), (1, 1, "bob", "é<|im_end|>"), (1, 1, "bob", "é<|im_end|>"), (1, None, "ann", None), (1, 1024, "bob", "z"), (2, 0, "system", "only"), (None, 0, "ann", "x"), (3, 0, "a\nb<|", "q")]
+    got = {(r.conv_id, r.perspective): r for r in chat.perspectives(spark.createDataFrame([(*r, "x", 1) for r in rows], CONVERSATIONS)).collect()}
+    assert sorted(got, key=str) == sorted([(1, "ann"), (1, "bob"), (None, "ann"), (3, "a b< |")], key=str)
+    bob = got[1, "bob"]
+    assert bob.text == "<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>system\ns<|im_end|>\n<|im_start|>assistant\né< |im_end|><|im_end|>\n<|im_start|>user name=ann\nc<|im_end|>\n<|im_start|>assistant\nz<|im_end|>\n"
+    assert [bob.text[m.start : m.end] for m in bob["mask"]] == ["é< |im_end|><|im_end|>", "z<|im_end|>"] and (bob.n_turns, bob.n_own, bob.block) == (5, 2, 0)
+    assert got[3, "a b< |"].text == "<|im_start|>assistant\nq<|im_end|>\n"
+    assert chat.perspectives(spark.createDataFrame([], CONVERSATIONS)).count() == 0
+
+
+def brute_perspectives(rows, most, carry):
+    out, groups = {}, {}
+    for conv, turn, role, text in set(rows):
+        groups.setdefault(conv, []).append((-1 if turn is None else turn, role, text))
+    for conv, turns in groups.items():
+        at, placed = 0, []
+        for turn in sorted(turns):
+            placed.append((at, *turn[1:]))
+            at += chat.TURN + len(turn[2].encode())
+        for block in range(at // most + 1):
+            own = [p for p in placed if p[0] // most == block]
+            if not own:
+                continue
+            before = [p for p in placed if p[0] // most == block - 1 and p[0] % most >= most - carry]
+            system = [p for p in placed if p[0] // most < block and p[1] == "system"][-1:]
+            shown = [(p, False) for p in (system if not before or system and system[0][0] < before[0][0] else [])] + [(p, False) for p in before] + [(p, True) for p in own]
+            for who in {p[1] for p in own} - {"system"}:
+                text, learned = "", []
+                for (_, role, words), new in shown:
+                    text += f"<|im_start|>{'system' if role == 'system' else 'assistant' if role == who else 'user name=' + role}\n"
+                    if role == who and new:
+                        learned.append((len(text), len(text) + len(words) + 10))
+                    text += words + "<|im_end|>\n"
+                out[conv, who, block] = (text, learned)
+    return out
+
+
+def test_long_and_hot_conversations_keep_system_turn_and_context(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, None, 1, 1, 2]), rnd.choice([None, *range(400)]), rnd.choice(["ann", "bob", "cy", "system"] if rnd.random() < 0.1 else ["ann", "bob"]), "é" * rnd.randrange(400) + str(i)) for i in range(900)]
+    rows += rows[:50] + [(7, 0, "ann", "short"), (1, 100, "bob", "x" * 30000)]
+    got = chat.perspectives(spark.createDataFrame([(*r, "x", 1) for r in rows], CONVERSATIONS).repartition(6), 16384, 4096).collect()
+    want = brute_perspectives(rows, 16384, 4096)
+    assert {(r.conv_id, r.perspective, r.block): (r.text, [(m.start, m.end) for m in r["mask"]]) for r in got} == want and len(got) == len(want)
+    assert len({k[2] for k in want}) > 20
