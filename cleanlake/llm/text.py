@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import match_ranges
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,31 +21,21 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 
 
 def span_list(text: Column, pattern: str, group: int = 0, least: int = 0, must: tuple[str, ...] = ()) -> Column:
-    """array<struct<start,end>>: code-point ranges of the leftmost non-overlapping matches of pattern in text.
+    """array<struct<start,end>>: code-point ranges of the leftmost non-overlapping matches of pattern in text; none for null.
 
     Matches whose `group` has fewer than `least` code points, or holds no match of one of `must`, are left out. The
-    ranges come from the lengths of the matches and of what lies between them.
+    pattern must match the text of its own matches in the same way, that is, look at nothing around them.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    sized = F.arrays_zip(F.transform(found, F.length).alias("m"), F.slice(F.transform(between, F.length), 1, F.size(found)).alias("b"))
-    spans = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["b"]).alias("start"), (acc["at"] + x["b"] + x["m"]).alias("end")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    if least or must:
-        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    part = lambda m: F.regexp_extract(m, pattern, group) if group else m
+    found = match_ranges(text, pattern, lambda m, begin, end: F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), m.alias("match")))
 
-        def good(x: Column) -> Column:
-            out = F.length(x["part"]) >= least
-            for m in must:
-                out = out & x["part"].rlike(m)
-            return out
+    def good(x: Column) -> Column:
+        out = F.length(part(x["match"])) >= least
+        for m in must:
+            out = out & part(x["match"]).rlike(m)
+        return out
 
-        spans = F.transform(F.filter(F.arrays_zip(spans.alias("span"), parts.alias("part")), good), lambda x: x["span"])
-    return F.when(F.size(found) > 0, spans).otherwise(none)
+    if least or must:
+        found = F.filter(found, good)
+    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))

@@ -306,3 +306,9 @@ def test_empty_tables(spark):
     assert near_dup.near_duplicates(none).count() == 0
     assert decontaminate.contamination(none, items).count() == 0
     assert [r.n_hit for r in decontaminate.contamination(frame(spark, [(1, "a b c")]), items).collect()] == [0]
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    text = "é " + "secret=abcdef deadbeefdeadbeefdeadbeef\n" * 50_000
+    got = secret_scan.find_secrets(frame(spark, [(1, text)])).select("spans").first().spans
+    assert [(s.start, s.kind, s.end) for s in got if s.kind < 3] == brute_base(text)
