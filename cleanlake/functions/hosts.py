@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import ipaddress
 import re
 import unicodedata
@@ -102,6 +103,7 @@ def _ascii(host: str) -> str | None:
         return None
 
 
+@functools.lru_cache(maxsize=1 << 16)  # a page's links repeat
 def parse_url(value: str, base: str) -> tuple | None:
     """href, scheme, host, original host and its kind of value, joined to base; None if it cannot be."""
     text = unicodedata.normalize("NFC", value).strip("".join(map(chr, range(33)))).translate({9: None, 10: None, 13: None})
@@ -175,6 +177,7 @@ def siphash13(data: bytes) -> int:
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def local_file(href: str, default: str) -> str:
     """The local name of a URL; default is the extension of those without one."""
     last = re.sub(r"[?#].*$", "", href, flags=re.S).split("://", 1)[-1].partition("/")[2].rpartition("/")[2]

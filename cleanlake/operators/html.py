@@ -11,14 +11,14 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import running_totals
 from ..functions.hosts import URL, is_idn, local_file, matches_any, parse_url
 from . import resources
 from .policy import ATTRIBUTE_BREAKERS, LEVELS, Policy, ReplaceRule
-from .tokens import as_bytes, as_text, attribute_list, segments, span_list
+from .tokens import COARSE, OPEN_TAG, TAG_NAME, as_bytes, as_text, attribute_list, span_list
 
 #: Fixed table: the attribute of each element that holds a URL, and the default extension if it is a resource.
 URL_ATTRIBUTES = (
@@ -66,37 +66,74 @@ RESOLVED = T.StructType([*URL.fields, T.StructField("local", T.StringType())])
 
 
 @F.pandas_udf(RESOLVED)
-def _resolve(value: pd.Series, chain: pd.Series, start: pd.Series, ext: pd.Series) -> pd.DataFrame:
-    """value joined to the base that the chain of base elements makes of start, and its local name if ext is given."""
-    rows = []
-    for v, hrefs, now, e in zip(value, chain, start, ext, strict=True):
-        if v is None:
-            rows.append((None,) * 6)
-            continue
-        for h in hrefs:
-            got = parse_url(h, now)
-            now = got[0] if got else now
-        got = parse_url(v, now) or (None,) * 5
-        rows.append((*got, None if got[0] is None or e is None else local_file(got[0], e)))
+def _resolve(value: pd.Series, base: pd.Series, ext: pd.Series) -> pd.DataFrame:
+    """value joined to base, and its local name if ext is given; a page's links repeat, and each is worked out once."""
+    none, rows = (None,) * 6, []
+    for v, b, e in zip(value, base, ext, strict=True):
+        got = None if v is None else parse_url(v, b)
+        rows.append(none if got is None else (*got, None if e is None else local_file(got[0], e)))
     return pd.DataFrame(rows, columns=RESOLVED.names, dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _bases(hrefs: pd.Series, start: pd.Series) -> pd.Series:
+    """The base that each base element of a document makes of the one before it; null for documents without any."""
+    out = []
+    for every, now in zip(hrefs, start, strict=True):
+        folded = []
+        for h in every if every is not None else ():
+            got = None if h is None else parse_url(h, now)
+            now = got[0] if got else now
+            folded.append(now)
+        out.append(folded or None)
+    return pd.Series(out, dtype=object)
+
+
 def _first(attrs: Column, name: Column | str) -> Column:
     """The first attribute of that name."""
     return F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))
 
 
+ACTIONS = "array<struct<pos:bigint,step:int,sub:int,level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>"
+
+
+def as_byte_text(text: str) -> str:
+    """text with a character for each of its UTF-8 bytes, as as_bytes() makes of a column."""
+    return text.encode().decode("latin-1")
+
+
+def declared_entities(data: Column, policy: Policy) -> Column:
+    """The actions of a document's entity declarations, which come before all others."""
+    rule = policy.xml_entities
+    new = F.lit(None if rule.level == "error" else rule.replace).cast("string")
+    one = lambda x, i: F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), F.lit(rule.level).alias("level"), F.lit("xml_entities").alias("type"), x["text"].alias("original"), new.alias("replacement"), x["start"].alias("loc_start"), x["end"].alias("loc_end"))
+    return F.when(resources.has_entity(data), F.transform(span_list(data, resources.ENTITY), one))
+
+
+def failed(actions: Column) -> Column:
+    """Whether an action in the array is of level error."""
+    return F.exists(actions, lambda a: a["level"] == LEVELS[-1])
+
+
+def until_error(actions: Column) -> Column:
+    """The actions, in order, up to and with the first of level error."""
+    stop = F.array_position(F.transform(actions, lambda a: a["level"]), LEVELS[-1])
+    return F.when(stop > 0, F.slice(actions, 1, stop.cast("int"))).otherwise(actions)
+
+
 def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> DataFrame:
     """key, output, actions array, subresources array: one row for each document; see sanitize_html.
 
-    Documents are dealt by the key; their segments are exploded, ordered and gathered without another shuffle. What an
-    element asks for is worked out on its segment's row.
+    Documents are dealt by the key; their segments are exploded and gathered without another shuffle. What an element asks
+    for is worked out on its segment's row, with the base that holds there; a document's own rows carry what its entities are.
     """
-    spark = documents.sparkSession  # as many tasks as there are: a document costs far more time than its bytes suggest
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spark = documents.sparkSession  # several tasks a core: a document costs far more time than its bytes suggest
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     docs = documents.select(F.col(key), F.col(html).alias("_text")).repartition(parts, key).select(key, as_bytes(F.col("_text")).alias("_html"))
-    tokens = segments(docs.select(key, as_text(resources.without_entities(F.col("_html"), policy.xml_entities)).alias("html")), key, "html")
+    docs = docs.select(key, "_html", declared_entities(F.col("_html"), policy).alias("_declared"), resources.without_entities(F.col("_html"), policy.xml_entities, as_byte_text).alias("_clean"))
+    cut = docs.select(key, F.col("_html").isNotNull().alias("_some"), "_declared", F.regexp_extract_all("_clean", F.lit(COARSE), F.lit(0)).alias("_raw"))
     tag, head, body, at = (F.col(c) for c in ("tag", "head", "body", "at"))
+    is_base = lambda raw: raw.rlike(r"(?i)^<base[\s/>]")
 
     # attributes, one by one
     drop_handlers, edit_uris = policy.event_handlers.replace is not None, policy.dangerous_uris.replace is not None
@@ -108,7 +145,28 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         now = F.when(handler & F.lit(drop_handlers), replaced(policy.event_handlers, a["value"])).when(uri, replaced(policy.dangerous_uris, a["value"])).otherwise(a["value"])
         return F.struct(*(a[c].alias(c) for c in ("name", "raw_name", "raw_value", "value", "name_at")), handler.alias("handler"), uri.alias("uri"), changed.alias("changed"), now.alias("now"))
 
-    rows = tokens.withColumn("attrs", F.transform(attribute_list(tag, head, at), judged))
+    def judged_list(name: Column, open_tag: Column, begin: Column) -> Column:
+        return F.transform(attribute_list(name, open_tag, begin), judged)
+
+    none = F.lit(None).cast("array<string>")
+    heads = F.filter("_raw", is_base)
+    hrefs = F.transform(heads, lambda raw: _first(judged_list(F.lit("base"), F.regexp_extract(raw, OPEN_TAG, 1), F.lit(0)), "href")["now"])
+    cut = cut.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs).otherwise(none)).withColumn("_bases", _bases(F.col("_hrefs"), F.lit(base)))
+    flags = F.when(F.col("_hrefs").isNotNull(), running_totals(F.transform("_raw", lambda raw: is_base(raw).cast("int"))))
+    cut = cut.select(key, "_some", "_declared", "_raw", "_bases", running_totals(F.transform("_raw", F.length)).alias("_ends"), flags.alias("_seen"))
+
+    def placed(raw: Column, i: Column) -> Column:
+        before = F.get("_bases", (F.get("_seen", i - 1) - 1).cast("int"))
+        return F.struct(i.alias("pos"), raw.alias("raw"), (F.get("_ends", i) - F.length(raw)).alias("at"), before.alias("base"))
+
+    rows = cut.select(key, "_some", "_declared", F.explode_outer(F.transform("_raw", placed)).alias("s"))
+    declared = F.when(F.coalesce(F.col("s.pos"), F.lit(0)) == 0, F.col("_declared"))
+    rows = rows.select(key, "_some", declared.alias("_declared"), "s.pos", "s.at", F.coalesce("s.base", F.lit(base)).alias("_base"), F.coalesce("s.raw", F.lit("")).alias("raw"), F.regexp_extract("s.raw", OPEN_TAG, 1).alias("_open"))
+    rows = rows.select(
+        key, "_some", "_declared", "pos", "at", "_base", F.when(F.col("_open") != "", F.lower(F.regexp_extract("_open", TAG_NAME, 1))).alias("tag"), F.when(F.col("_open") != "", F.col("_open")).otherwise(F.col("raw")).alias("head"),
+        F.expr("if(_open <> '', substring(raw, length(_open) + 1), '')").alias("body"),
+    )
+    rows = rows.withColumn("attrs", judged_list(tag, head, at))
     attrs = F.col("attrs")
 
     def by_attribute(a: Column, i: Column) -> Column:
@@ -125,13 +183,11 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         ext = F.when(tag == t, F.lit(default).cast("string")).otherwise(ext)
     sheet = F.exists(attrs, lambda a: (a["name"] == "rel") & F.lower(a["value"]).contains("stylesheet"))
     ext = F.when((tag != "link") | sheet, ext)
-    base_href = F.when(tag == "base", _first(attrs, "href")["now"])
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_base", base_href).withColumn("_chain", F.collect_list("_base").over(before))
     found = _first(attrs, url_name)
     rows = rows.withColumn("_u", F.when(~(found["changed"] & (found["now"] == "")), found))
     u = F.col("_u")
-    rows = rows.withColumn("_url", _resolve(u["now"], F.col("_chain"), F.lit(base), ext))
+    sheet_text = F.when((tag == "style") & (body != ""), as_text(body))
+    rows = rows.select("*", _resolve(u["now"], F.col("_base"), ext).alias("_url"), resources.sanitize_css_udf(policy)(sheet_text, F.col("_base")).alias("_css"))
     url = F.col("_url")
     joined, idn, denied = url["href"].isNotNull(), is_idn(url), matches_any(url["host"], policy.denied)
     if policy.compat:  # allowing a.b also allows b, and not the subdomains of a.b
@@ -158,7 +214,6 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     refresh = F.coalesce((tag == "meta") & F.exists(attrs, lambda a: (a["name"] == "http-equiv") & (F.lower(a["value"]) == "refresh")), F.lit(False))
     js = F.coalesce((tag == "script") & body.rlike(resources.JS), F.lit(False))
     hit, js_at = F.regexp_extract("body", resources.JS, 0), at + F.length("head") + F.regexp_instr("body", F.lit(resources.JS)) - 1
-    rows = rows.withColumn("_css", resources.sanitize_css_udf(policy)(F.when((tag == "style") & (body != ""), as_text(body)), F.lit(base)))
     css, shift = F.col("_css"), at + F.length("head")
     start, end = u["name_at"], u["name_at"] + F.length(u["raw_name"])
     by_element = F.array(
@@ -191,33 +246,22 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         text = F.when(js, F.lit(policy.dangerous_js.replace)).otherwise(text)
     piece = F.concat(F.when(touched, open_tag).otherwise(head), text)
     if policy.meta_refresh.replace == "":
-        piece = F.when(refresh, F.lit("")).otherwise(piece)
+        piece = F.when(refresh, text).otherwise(piece)
     named = F.when(F.col("_local").isNotNull(), F.array(F.struct(url["href"].alias("url"), F.col("_local").alias("local_name"))))
     named = F.coalesce(named, css["subresources"], F.array().cast("array<struct<url:string,local_name:string>>"))
-    made = rows.select(key, "pos", piece.alias("piece"), acts.alias("acts"), named.alias("named"))
-    whole = made.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "acts", "named"))).alias("all"))
+    made = rows.select(key, "_some", "_declared", F.coalesce("pos", F.lit(0)).alias("pos"), piece.alias("piece"), acts.alias("acts"), named.alias("named"))
+    some = F.filter(F.collect_list(F.struct("pos", "piece")), lambda x: x["piece"] != "")
+    one = F.when((F.size("acts") > 0) | (F.size("named") > 0), F.struct("pos", "acts", "named"))
+    whole = made.groupBy(key).agg(F.max("_some").alias("_some"), F.max("_declared").alias("_declared"), F.array_sort(some).alias("pieces"), F.array_sort(F.collect_list(one)).alias("all"))
     whole = whole.select(
         key,
-        as_text(F.array_join(F.transform("all", lambda x: x["piece"]), "")).alias("_out"),
-        F.array_sort(F.flatten(F.transform("all", lambda x: x["acts"]))).alias("_acts"),
+        "_some",
+        as_text(F.array_join(F.transform("pieces", lambda x: x["piece"]), "")).alias("_out"),
+        F.concat(F.coalesce("_declared", F.array().cast(ACTIONS)), F.array_sort(F.flatten(F.transform("all", lambda x: x["acts"])))).alias("_all"),
         F.flatten(F.transform("all", lambda x: x["named"])).alias("_named"),
     )
-    declared = F.transform(
-        span_list(F.col("_html"), resources.ENTITY),
-        lambda x, i: F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), F.lit(policy.xml_entities.level).alias("level"), F.lit("xml_entities").alias("type"), x["text"].alias("original"), F.lit(None if policy.xml_entities.level == "error" else policy.xml_entities.replace).cast("string").alias("replacement"), x["start"].alias("loc_start"), x["end"].alias("loc_end")),
-    )
-    none = F.array().cast("array<struct<pos:bigint,step:int,sub:int,level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")
-    ids = docs.select(key, F.col("_html").isNotNull().alias("_some"), declared.alias("_declared"))
-    both = ids.join(whole, key, "left").withColumn("_all", F.concat(F.coalesce("_declared", none), F.coalesce("_acts", none)))
-    stop = F.array_position(F.transform("_all", lambda x: x["level"]), LEVELS[-1])
-    both = both.withColumn("_stop", stop).withColumn("actions", F.when(F.col("_stop") > 0, F.slice("_all", 1, F.col("_stop").cast("int"))).otherwise(F.col("_all")))
-    good = F.col("_some") & (F.col("_stop") == 0)
-    return both.select(
-        key,
-        F.when(good, F.coalesce("_out", F.lit(""))).alias("output"),
-        "actions",
-        F.when(good, F.coalesce("_named", F.array().cast("array<struct<url:string,local_name:string>>"))).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"),
-    )
+    good = F.col("_some") & ~failed(F.col("_all"))
+    return whole.select(key, F.when(good, F.col("_out")).alias("output"), until_error(F.col("_all")).alias("actions"), F.when(good, F.col("_named")).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"))
 
 
 def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> Sanitized:
@@ -239,8 +283,8 @@ def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", ht
 
 
 def first_error_cutoff(actions: DataFrame, key: str) -> DataFrame:
-    """The actions of each document up to its first error, numbered in order as `seq`."""
-    order = W.partitionBy(key).orderBy("pos", "step", "sub")
-    before = F.sum(F.when(F.col("level") == LEVELS[-1], 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, -1))
-    kept = actions.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("seq", F.row_number().over(order)).where("_before = 0")
-    return kept.select(key, "seq", "level", "type", "original", "replacement", "loc_start", "loc_end")
+    """The actions of each document up to its first error, numbered in order as `seq`: what sanitize_rows() does to its own."""
+    fields = ["pos", "step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"]
+    packed = actions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+    kept = packed.select(key, F.posexplode(until_error(F.col("all"))).alias("n", "a"))
+    return kept.select(key, (F.col("n") + 1).alias("seq"), *(F.col(f"a.{c}") for c in fields[3:]))

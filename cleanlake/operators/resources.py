@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -35,8 +37,9 @@ def quoted(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
-def without_entities(text: Column, rule: ReplaceRule) -> Column:
-    return text if rule.replace is None else F.regexp_replace(text, ENTITY, quoted(rule.replace))
+def without_entities(text: Column, rule: ReplaceRule, written: Callable[[str], str] = str) -> Column:
+    """text with the rule's replacement, as `written` has it, for each entity declaration."""
+    return text if rule.replace is None else F.when(has_entity(text), F.regexp_replace(text, ENTITY, quoted(written(rule.replace)))).otherwise(text)
 
 
 def has_entity(text: Column) -> Column:

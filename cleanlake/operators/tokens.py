@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, match_ranges, running_totals
+
 _REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: Comments; raw-text elements with all their text; start tags; other markup; text. Every character is in one segment.
 SEGMENT = (
@@ -14,6 +16,14 @@ SEGMENT = (
     rf"|textarea(?=[\s/>]){_REST}>.*?(?=</textarea[\s/>]|\z)|title(?=[\s/>]){_REST}>.*?(?=</title[\s/>]|\z))"
     rf"|<[a-z]{_REST}>|<[^>]*+>|[^<]++|<"
 )
+#: What a rule never touches: text, comments, end tags and other markup, start tags without attributes.
+_PLAIN = r"(?:[^<]++|<!--.*?(?:-->|\z)|<(?![a-z]|!--)[^>]*+>|<(?!(?:script|style|textarea|title)>)[a-z][a-z0-9]*+>)"
+#: The same characters in fewer segments: a start tag with attributes takes what is plain after it along.
+COARSE = (
+    rf"(?is)<(?:script(?=[\s/>]){_REST}>.*?(?=</script[\s/>]|\z)|style(?=[\s/>]){_REST}>.*?(?=</style[\s/>]|\z)"
+    rf"|textarea(?=[\s/>]){_REST}>.*?(?=</textarea[\s/>]|\z)|title(?=[\s/>]){_REST}>.*?(?=</title[\s/>]|\z))"
+    rf"|{_PLAIN}++|<[a-z]{_REST}>{_PLAIN}*+|<[^>]*+>|<"
+)
 OPEN_TAG = rf"(?is)^(<[a-z]{_REST}>)"
 TAG_NAME = r"^<([A-Za-z][^\s/>]*)"
 ATTRIBUTE = r"""(?s)([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?"""
@@ -45,16 +55,7 @@ def segments(documents: DataFrame, key: str, html: str) -> DataFrame:
 
 def span_list(text: Column, pattern: str) -> Column:
     """array<struct<text,start,end>>: the matches of pattern, as text, and their ranges of bytes in text, which holds a character for each."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("w"), F.slice(F.transform(between, F.length), 1, F.size(found)).alias("b"))
-    none = F.array().cast("array<struct<text:string,start:bigint,end:bigint>>")
-    one = lambda x, begin: F.struct(as_text(x["w"]).alias("text"), begin.cast("bigint").alias("start"), (begin + F.length(x["w"])).cast("bigint").alias("end"))
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["w"])).alias("at"), F.concat(acc["out"], F.array(one(x, acc["at"] + x["b"]))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    return match_ranges(text, pattern, lambda m, begin, end: F.struct(as_text(m).alias("text"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
 
 
 ATTRIBUTES = "array<struct<name:string,raw_name:string,raw_value:string,value:string,name_at:bigint>>"
@@ -65,24 +66,21 @@ def attribute_list(tag: Column, head: Column, at: Column) -> Column:
 
     value is without quotes, as text; raw_value, as it stands, is empty for none. name_at is the byte of the name.
     """
+
+    def placed(x: Column) -> Column:
+        first = at + F.length(head) - F.length(x["rest"])
+        lengths = F.transform(F.arrays_zip(x["found"].alias("w"), F.slice(x["between"], 1, F.size(x["found"])).alias("b")), lambda p: F.length(p["w"]) + F.length(p["b"]))
+        zipped = F.arrays_zip(x["found"].alias("w"), running_totals(lengths).alias("e"))
+        return F.transform(zipped, lambda p: let(F.struct(F.regexp_extract(p["w"], ATTRIBUTE, 1).alias("name"), F.regexp_extract(p["w"], ATTRIBUTE, 2).alias("raw")), lambda n: one(n, first + p["e"] - F.length(p["w"]))))
+
+    def one(n: Column, begin: Column) -> Column:
+        value = as_text(F.regexp_replace(n["raw"], r"""(?s)^(["'])(.*)\1$""", "$2"))
+        return F.struct(F.lower(n["name"]).alias("name"), n["name"].alias("raw_name"), n["raw"].alias("raw_value"), value.alias("value"), begin.cast("bigint").alias("name_at"))
+
     rest = F.regexp_replace(head, TAG_NAME, "")
-    skip, inner = F.length(head) - F.length(rest), F.regexp_replace(rest, r"/?>$", "")
-    whole, between = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0)), F.split(inner, ATTRIBUTE, -1)
-    zipped = F.arrays_zip(whole.alias("w"), F.slice(F.transform(between, F.length), 1, F.size(whole)).alias("b"))
-
-    def one(x: Column, begin: Column) -> Column:
-        name, raw = F.regexp_extract(x["w"], ATTRIBUTE, 1), F.regexp_extract(x["w"], ATTRIBUTE, 2)
-        value = as_text(F.regexp_replace(raw, r"""(?s)^(["'])(.*)\1$""", "$2"))
-        return F.struct(F.lower(name).alias("name"), name.alias("raw_name"), raw.alias("raw_value"), value.alias("value"), begin.cast("bigint").alias("name_at"))
-
-    none = F.array().cast(ATTRIBUTES)
-    walked = F.aggregate(
-        zipped,
-        F.struct((at + skip).cast("bigint").alias("at"), none.alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["b"] + F.length(x["w"])).alias("at"), F.concat(acc["out"], F.array(one(x, acc["at"] + x["b"]))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.length(head) > F.length(tag) + 2, walked).otherwise(none)
+    inner = lambda r: F.regexp_replace(r, r"/?>$", "")
+    parts = lambda r: F.struct(r.alias("rest"), F.regexp_extract_all(inner(r), F.lit(ATTRIBUTE), F.lit(0)).alias("found"), F.split(inner(r), ATTRIBUTE, -1).alias("between"))
+    return F.when(F.length(head) > F.length(tag) + 2, let(let(rest, parts), placed)).otherwise(F.array().cast(ATTRIBUTES))
 
 
 def attributes(tags: DataFrame, key: str) -> DataFrame:

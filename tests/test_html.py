@@ -77,4 +77,16 @@ def test_actions_in_order_up_to_the_first_error(spark):
 def test_subresources(spark):
     rows = [(1, '<base href="/s/"><img src="a.png"><style>@import "c.css";</style><link rel=stylesheet href=t.css><link rel=icon href=i.ico>')]
     got = sanitize_html(spark.createDataFrame(rows, "page_id long, html string"), P)
-    assert [(r.seq, r.url) for r in got.subresources.orderBy("seq").collect()] == [(1, "https://localhost/s/a.png"), (2, "https://localhost/c.css"), (3, "https://localhost/s/t.css")]
+    assert [(r.seq, r.url) for r in got.subresources.orderBy("seq").collect()] == [(1, "https://localhost/s/a.png"), (2, "https://localhost/s/c.css"), (3, "https://localhost/s/t.css")]
+
+
+def test_bases_follow_each_other_and_begin_after_their_element(spark):
+    rows = [(1, '<img src="0.png"><base href="/a/"><!-- <base href="/no/"> --><base><base href="b/"><img src="1.png"><base href="javascript:x"><p title="<base href=/no/>"><img src="2.png">')]
+    got = sanitize_html(spark.createDataFrame(rows, "page_id long, html string"), P)
+    assert [r.url for r in got.subresources.orderBy("seq").collect()] == ["https://localhost/0.png", "https://localhost/a/b/1.png", "https://localhost/a/b/2.png"]
+
+
+def test_odd_markup_stays_as_it_is(spark):
+    texts = ["<", "a <b", '<p "x>y</p><q>', "<!-- never ends <p onclick=1>", "<a<b onclick=1>", "<p><!doctype x><br/><p/>", "x</p onclick=1>", "<title><p onclick=1></title>", "<p x='>'>a</p>" * 3, "<script>var a = '<p onclick=1>'</script><STYLE>p{}</STYLE >", "é<p>€</p>"]
+    got = sanitize_html(spark.createDataFrame(list(enumerate(texts)), "page_id long, html string"), P).output.collect()
+    assert {r.page_id: r.output for r in got} == {**dict(enumerate(texts)), 4: "<a<b>"}
