@@ -52,5 +52,6 @@ def match_ranges(text: Column, pattern: str, made: Callable[[Column, Column, Col
         zipped = F.arrays_zip(x["found"].alias("w"), running_totals(lengths).alias("e"))
         return F.transform(zipped, lambda p: made(p["w"], p["e"] - F.length(p["w"]), p["e"]))
 
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
-    return F.when(text.isNotNull(), let(both, placed))
+    between = lambda found: F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(F.array(F.lit("")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.isNotNull(), let(found, lambda f: let(F.struct(f.alias("found"), between(f).alias("between")), placed)))
