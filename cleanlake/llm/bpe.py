@@ -2,15 +2,15 @@
 
 A text is split by the vocabulary's pattern; the pieces not met before are merged together, in matrices: pieces of
 like length form the padded rows of one matrix, and in each round every row merges its leftmost pair of minimum rank,
-found by a hashed lookup of pairs, and closes the gap. A piece longer than LONGEST bytes, for which a round a merge
-would take a time square in its length, is merged with a heap instead, to the same ids.
+found by a hashed lookup of pairs, and closes the gap. A piece longer than LONGEST bytes is a matrix of one row, which in
+a round merges all its pairs of minimum rank, from the left, where that gives what one after the other would give, and
+closes its gaps when half of it is gone.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -30,8 +30,8 @@ LONGEST = WIDTHS[-1]
 CELLS = 1 << 18
 #: Pieces looked up at once.
 PIECES = 1 << 15
-#: Distinct pieces that a Python worker remembers; then it begins anew.
-REMEMBERED = 60_000
+#: Distinct pieces that a Python worker remembers as young; then these are the old ones, of which those met again stay.
+REMEMBERED = 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -105,25 +105,51 @@ class Vocabulary:
         return done[full], full.sum(axis=1)
 
     def merge_long(self, piece: bytes) -> np.ndarray:
-        """The ids of one piece: the leftmost pair of minimum rank merges first, taken from a heap."""
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before, words, rank = [*range(1, n), -1], [-1, *range(n - 1)], self.words, self.rank
-        heap = [(r, i) for i in range(n - 1) if (r := rank.get(words[ids[i]] + words[ids[i + 1]])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or rank.get(words[ids[i]] + words[ids[j]]) != r:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                if (s := rank.get(words[r] + words[ids[after[j]]])) is not None:
-                    heapq.heappush(heap, (s, i))
-            if before[i] >= 0 and (s := rank.get(words[ids[before[i]]] + words[r])) is not None:
-                heapq.heappush(heap, (s, before[i]))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        """The ids of one piece. All pairs of minimum rank merge in a round if no pair that this makes has that rank or less."""
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        while True:
+            n = len(ids)
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1: none
+            rank = np.append(self.pair_rank(ids[:-1], ids[1:]), NONE)
+            live = n
+            while (best := rank.min()) != NONE and live > n // 2:
+                at = np.flatnonzero(rank == best)
+                if len(at) > 1:  # a run of such pairs that share an element: every other one
+                    first = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                    run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+                    at = at[(np.arange(len(at)) - run) % 2 == 0]
+                made = self.merged_ranks(ids, before, after, at, best)
+                if len(at) > 1 and min(x.min() for x in made) <= best:
+                    at = at[:1]
+                    made = self.merged_ranks(ids, before, after, at, best)
+                gone, left = after[at], before[at]
+                ids[at], rank[gone], ids[gone] = best, NONE, -1
+                after[at] = after[gone]
+                some = after[at] < n
+                before[after[at[some]]] = at[some]
+                rank[at] = made[1]
+                there = (left >= 0) & (ids[left] >= 0)  # else that pair is the right one of the place before
+                rank[left[there]] = made[0][there]
+                live -= len(at)
+            ids = ids[ids >= 0]
+            if best == NONE:
+                return ids
+
+    def merged_ranks(self, ids: np.ndarray, before: np.ndarray, after: np.ndarray, at: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of the pairs to the left and to the right of each place where two elements become `best`."""
+        new = ids.copy() if len(at) > 1 else ids
+        if len(at) > 1:
+            new[at] = best
+        left, right = before[at], after[after[at].clip(max=len(ids) - 1)]
+        a = np.where(left >= 0, new[left], -1)
+        beyond = (after[at] >= len(ids)) | (right >= len(ids))
+        b = np.where(beyond, -1, new[right.clip(max=len(ids) - 1)])
+        if len(at) > 1:  # a neighbour that is merged away in the same round reads as what it becomes
+            dead = np.zeros(len(ids), bool)
+            dead[after[at]] = True
+            a = np.where((left >= 0) & dead[left], best, a)
+        each = np.full(len(at), best)
+        return self.pair_rank(a, each), self.pair_rank(each, b)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all pieces, joined in some order; for each piece, where its ids start and how many they are."""
@@ -157,39 +183,53 @@ class Vocabulary:
         return self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)], size
 
 
-class Encoder:
-    """A vocabulary, its pattern and the pieces met so far, with their ids in one flat array."""
-
-    def __init__(self, words: list[bytes], pattern: str):
-        self.vocabulary, self.pattern = Vocabulary(words), regex.compile(pattern)
-        self.forget()
+class Pieces:
+    """Pieces with their ids, in one flat array."""
 
-    def forget(self) -> None:
+    def __init__(self):
         self.known: dict[str, int] = {}
         self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, pieces: list[str]) -> None:
-        flat, start, size = self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in pieces])
+    def add(self, pieces: list[str], flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         n = len(self.known)
         self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + start])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
-    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, joined, and each piece's number of ids."""
-        distinct = set(pieces)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = distinct
-        if new:
-            self.learn(sorted(new))
+    def get(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
 
+
+class Encoder:
+    """A vocabulary, its pattern and the pieces met lately: those since the young ones were too many, and those before."""
+
+    def __init__(self, words: list[bytes], pattern: str):
+        self.vocabulary, self.pattern = Vocabulary(words), regex.compile(pattern)
+        self.forget()
+
+    def forget(self) -> None:
+        self.young, self.old = Pieces(), Pieces()
+
+    def look_up(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, joined, and each piece's number of ids."""
+        distinct = set(pieces)
+        new = distinct.difference(self.young.known)
+        if len(self.young.known) + len(new) > REMEMBERED:
+            self.young, self.old, new = Pieces(), self.young, distinct
+        if new:
+            met = sorted(new.intersection(self.old.known))
+            if met:
+                ids, size = self.old.get(met)
+                self.young.add(met, ids, np.cumsum(size) - size, size)
+            fresh = sorted(new.difference(self.old.known))
+            if fresh:
+                self.young.add(fresh, *self.vocabulary.encode([p.encode("utf-8", "surrogatepass") for p in fresh]))
+        return self.young.get(pieces)
+
     def split(self, text: str) -> Iterator[list[str]]:
         """The pieces of text, in lists; of a long text in lists of PIECES."""
         if len(text) <= PIECES:

@@ -86,7 +86,8 @@ def test_bpe_odd_characters_and_long_pieces():
     enc = bpe.Encoder(bpe.read_ranks(RANKS), bpe.white_space(public_tokenizers.PATTERN))
     signs = "ab \n\t\r\x0b\x1c\x1f\x85\xa0 ​　é漢😀0٣²'sS.,!_-"
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(200))) for _ in range(200)]
-    texts += ["".join(chr(rnd.randrange(97, 123)) for _ in range(n)) for n in (127, 128, 129, 500, 2000)] + ["ab" * 500, " " * 700, ""]
+    texts += ["".join(chr(rnd.randrange(97, 123)) for _ in range(n)) for n in (127, 128, 129, 500, 2000, 50_000)] + ["ab" * 500, " " * 700, "", "HA" * 300, "a" * 999]
+    texts += ["".join(chr(rnd.randrange(0x4E00, 0x4E90)) for _ in range(n)) for n in (42, 43, 44, 3000)]
     ids, counts = enc.encode(texts)
     at = 0
     for t, n in zip(texts, counts, strict=True):
