@@ -17,6 +17,7 @@ table of weights by subsequence; scoring a unit adds up its own.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import unicodedata
 import uuid
@@ -34,8 +35,10 @@ BEGIN, ACCENTED, OTHER, FOREIGN = 26, "aceinouy", 35, 16
 CLASSES = OTHER + 1 + FOREIGN
 #: Characters of a window and the step between windows of a long word.
 WINDOW, STEP = 14, 7
-#: Training texts of either label at most; landmarks; units of clean texts, and those searched for hard ones; rounds of choosing witnesses.
-SAMPLE, LANDMARKS, NEGATIVES, MINED, ROUNDS = 1000, 96, 5_000, 40_000, 2
+#: Training texts of either label at most; landmarks; rounds of choosing witnesses.
+SAMPLE, LANDMARKS, ROUNDS = 1000, 96, 3
+#: The share of the hard negatives in the weight of all negatives.
+HARD = 0.5
 #: A unit of at least this score counts as toxic evidence.
 EVIDENCE = 0.25
 #: Signs that are taken out of words.
@@ -220,11 +223,9 @@ class Model:
         self.weights = np.zeros(CLASSES**ORDER, np.float32)
         self.weights[at] = weights
 
-    def unit_scores(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), -1.0)
-        pieces = [(i, w) for i, u in enumerate(words) for w in windows(u)]
-        texts = [w for _, w in pieces]
-        owner = np.array([i for i, _ in pieces], np.int64)
+    def window_scores(self, texts: list[str]) -> np.ndarray:
+        """The decision function of each window; -1 for those that are too short to hold a subsequence."""
+        out = np.full(len(texts), -1.0)
         for length, members in by_length(texts).items():
             if length < ORDER:
                 continue
@@ -232,9 +233,19 @@ class Model:
             for s in range(0, len(members), step):
                 part = members[s : s + step]
                 number, weight = codes_of([texts[i] for i in part])
-                np.maximum.at(out, owner[part], self.weights[number] @ weight.astype(np.float32) + self.constant)
+                out[part] = self.weights[number] @ weight.astype(np.float32) + self.constant
         return out
 
+    def unit_scores(self, words: list[str]) -> np.ndarray:
+        """The highest score of each unit's windows, -1 at least."""
+        out, pieces = np.full(len(words), -1.0), [(i, w) for i, u in enumerate(words) for w in windows(u)]
+        np.maximum.at(out, np.array([i for i, _ in pieces], np.int64), self.window_scores([w for _, w in pieces]))
+        return out
+
+    def best_window(self, unit: str) -> str:
+        every = windows(unit)
+        return every[int(self.window_scores(every).argmax())]
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.concatenate([evidence, np.ones((len(evidence), 1))], axis=1) @ self.calibration, -30, 30)))
 
@@ -290,8 +301,9 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     lean = sorted((u for u in odds if odds[u] > 1.5 and seen[u][1] >= min(3, n[1])), key=lambda u: (-seen[u][1] * odds[u], u))
     lean = lean or sorted(odds, key=lambda u: (-odds[u], u))[:8]
     clean = sorted((u for u, c in seen.items() if not c[1] or odds.get(u, 0) < 0), key=lambda u: hash64(u))
-    starts = [windows(u)[0] for u in lean[: LANDMARKS * 3 // 4]]
-    landmarks = list(dict.fromkeys(w for w in starts + [windows(u)[0] for u in clean[: LANDMARKS // 4]] if len(w) >= ORDER and lettered(codes_of([w])[0]).any()))
+    usable = lambda some: (w for u in some for w in windows(u) if len(w) >= ORDER and lettered(codes_of([w])[0]).any())
+    toxic_part, clean_part = (list(itertools.islice(dict.fromkeys(usable(some)), n)) for some, n in ((lean, LANDMARKS * 3 // 4), (clean, LANDMARKS // 4)))
+    landmarks = list(dict.fromkeys(toxic_part + clean_part))
     if not landmarks:
         return None
     kernel = Kernel(landmarks)
@@ -305,22 +317,23 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         weights[kernel.numbers] = kernel.table @ (whiten @ w[:-1])
         return Model(weights, float(w[-1]), calibration)
 
-    negative = [w for u in clean[:NEGATIVES] for w in windows(u) if len(w) >= ORDER]
+    negative = [w for u in clean for w in windows(u) if len(w) >= ORDER]
     below = kernel.of(negative) @ whiten
-    witness = lean[:LANDMARKS]
+    positive = [w for u in lean[:LANDMARKS] for w in windows(u) if len(w) >= ORDER]  # the first guess; later rounds look at all toxic texts
     now, hard = None, np.zeros((0, below.shape[1]))
     for _ in range(ROUNDS):
-        positive = [w for u in witness for w in windows(u)[:1] if len(w) >= ORDER]
         x = np.concatenate([kernel.of(positive) @ whiten, below, hard])
         labels = np.concatenate([np.ones(len(positive)), -np.ones(len(below) + len(hard))])
-        weight = np.where(labels > 0, 0.5 / max(1, len(positive)), 0.5 / (len(below) + len(hard)))
+        share = HARD if len(hard) else 0.0
+        weight = np.concatenate([np.full(len(z), part / max(1, len(z))) for z, part in ((positive, 0.5), (below, 0.5 * (1 - share)), (hard, 0.5 * share))])
         now = model(separate(x, labels, weight), np.array([4.0, 0.0, 0.0]))
-        scorer, searched = Scorer(now), clean[:MINED]
-        scorer.learn(set(searched).union(*(s for s, label in zip(sets, y, strict=True) if label)))
+        scorer = Scorer(now)
+        scorer.learn(set(clean).union(*(s for s, label in zip(sets, y, strict=True) if label)))
         score = scorer.known
         best = [max(s, key=lambda u: (score[u], u)) for s, label in zip(sets, y, strict=True) if label and s]
-        witness = sorted({u for u in best if score[u] > -0.5 and (seen[u][0] == 0 or odds.get(u, 0) > 1.5)}) or witness
-        worst = sorted((u for u in searched if score[u] > -0.8), key=lambda u: (-score[u], u))[:2000]
+        witness = sorted({u for u in best if score[u] > -0.5 and (seen[u][0] == 0 or odds.get(u, 0) > 1.5)})
+        positive = [w for w in (now.best_window(u) for u in witness) if len(w) >= ORDER] or positive
+        worst = [u for u in clean if score[u] > -0.8]  # counted once more, as negatives that are hard to tell
         hard = kernel.of([w for u in worst for w in windows(u) if len(w) >= ORDER]) @ whiten if worst else hard
     now.calibration = logistic(Scorer(now).evidence([t for t, _ in rows]), y)
     return now
