@@ -1,7 +1,7 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is described by the shares of its kinds of characters and words and
-encoded by one layer; gated attention, a tanh layer times a sigmoid layer, gives it a weight; the weighted sum of the
+A document is a bag of passages. Each passage is described by the shares of its kinds of characters and words, and by its
+words themselves, hashed into buckets, and encoded by one layer; gated attention, a tanh layer times a sigmoid layer, gives it a weight; the weighted sum of the
 codes is classified. Codes, attention and classifier are learned together from the labels of documents alone.
 """
 
@@ -20,9 +20,11 @@ from .hashing import mix64
 
 #: Bytes of a passage at most: a longer line is cut after a blank, or there.
 PASSAGE = 800
-#: Widths of the code and of the attention layers; training texts of either label; passages of a training text.
-CODE, GATE, SAMPLE, BAG = 12, 6, 800, 30
+#: Widths of the code and of the attention layers; training texts of either label; buckets of words.
+CODE, GATE, SAMPLE, BUCKETS = 12, 8, 800, 64
 ROUNDS, RATE, RIDGE = 120, 0.04, 1e-4
+#: How much the buckets of words weigh beside the shares.
+WORDS = 0.1
 #: Fixed kinds of bytes.
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", ".", ",", "!?", "|", "#$%&*@^~+=<>\\", "-_/", "\"'()[]{}:;")
 KIND = np.full(256, len(KINDS), np.int8)
@@ -30,7 +32,7 @@ for _i, _k in enumerate(KINDS):
     KIND[np.frombuffer(_k.encode(), np.uint8)] = _i
 KIND[128:] = len(KINDS) + 1
 N_KINDS = len(KINDS) + 2
-FEATURES = N_KINDS + 7
+FEATURES = N_KINDS + 7 + BUCKETS
 _POWER = np.cumprod(np.full(PASSAGE + 1, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -76,6 +78,9 @@ def describe(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
         out[:, N_KINDS + 3] = np.bincount(of, shout, n) / words
         out[:, N_KINDS + 4] = np.log1p(words) / 5
         out[:, N_KINDS + 5] = np.bincount(of, long > 20, n) / words
+        bucket = of * BUCKETS + (number >> np.uint64(40)).astype(np.int64) % BUCKETS
+        sign = np.where(number >> np.uint64(63), 1.0, -1.0)
+        out[:, N_KINDS + 7 :] = np.bincount(bucket, sign, n * BUCKETS).reshape(n, BUCKETS) / np.sqrt(words)[:, None] * WORDS
     out[:, N_KINDS + 6] = np.log1p(size) / 7
     return out
 
@@ -95,6 +100,21 @@ class Model:
         z = np.add.reduceat(h * s[:, None], start)
         return {"h": h, "t": t, "g": g, "s": s, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["cb"], -30, 30)))}
 
+    def gradient(self, x: np.ndarray, start: np.ndarray, counts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """The gradient of the mean cross-entropy of the bags' labels y by each weight."""
+        w, f = self.weights, self.forward(x, start, counts)
+        d = ((f["p"] - y) / len(y)).astype(x.dtype)
+        grad = {"c": f["z"].T @ d, "cb": np.array([d.sum()])}
+        dz = np.repeat(d[:, None] * w["c"], counts, axis=0)
+        ds = (dz * f["h"]).sum(axis=1)
+        ds = f["s"] * (ds - np.repeat(np.add.reduceat(f["s"] * ds, start), counts))
+        grad["a"] = (f["t"] * f["g"]).T @ ds
+        dt, dg = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
+        grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
+        dh = (dz * f["s"][:, None] + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
+        grad["e"], grad["eb"] = x.T @ dh, dh.sum(axis=0)
+        return grad
+
     def score(self, texts: list[str]) -> np.ndarray:
         data, begin, counts = passages(texts)
         if not len(texts):
@@ -111,10 +131,6 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         return None
     data, begin, counts = passages([t for t, _ in rows])
     x = describe(data, begin)
-    within = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
-    step = -(-counts // BAG)  # of a text with many passages every step-th is learned from
-    keep = within % np.repeat(step, counts) == 0
-    x, counts = x[keep], -(-counts // step)
     start = np.cumsum(counts) - counts
     center, scale = x.mean(axis=0), x.std(axis=0) + 0.05
     x = ((x - center) / scale).astype(np.float32)
@@ -124,17 +140,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     model = Model(center, scale, w)
     first, second = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
     for step in range(1, ROUNDS + 1):
-        f = model.forward(x, start, counts)
-        d = ((f["p"] - y) / len(y)).astype(np.float32)
-        grad = {"c": f["z"].T @ d, "cb": np.array([d.sum()])}
-        dz = np.repeat(d[:, None] * w["c"], counts, axis=0)
-        ds = (dz * f["h"]).sum(axis=1)
-        ds = f["s"] * (ds - np.repeat(np.add.reduceat(f["s"] * ds, start), counts))
-        grad["a"] = (f["t"] * f["g"]).T @ ds
-        dt, dg = ds[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), ds[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
-        grad["v"], grad["u"] = f["h"].T @ dt, f["h"].T @ dg
-        dh = (dz * f["s"][:, None] + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
-        grad["e"], grad["eb"] = x.T @ dh, dh.sum(axis=0)
+        grad = model.gradient(x, start, counts, y)
         for k in w:
             g = grad[k] + RIDGE * w[k]
             first[k] += 0.1 * (g - first[k])
