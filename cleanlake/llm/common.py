@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,16 +17,21 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 20
 #: Rows at once.
 SLICE_ROWS = 1024
+#: Bytes of the texts of one label or language that a model is fitted to on the driver, at most.
+SAMPLE_BYTES = 32 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir.
+    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir, so that lost executors do not lose them.
 
-    Lost executors do not lose them. A folder of our own is set only where the session names none.
+    Without that setting only a local session may go on, in a folder of its own: on a cluster no machine's folder would do.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -82,29 +88,40 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most `most` rows of either class, for fitting on the driver.
+def sampled_texts(documents: DataFrame, picked: DataFrame, group: str, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, h and the columns of picked: one text for each picked id (doc_id, h, group, ...), for fitting on the driver.
+
+    Of the unlike texts of an id the one with the least hash is taken. In each group texts are taken in the order of h
+    and doc_id while they have `most_bytes` bytes in all, and the first in any case. picked must be few rows.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    rest = [c for c in picked.columns if c != "doc_id"]
+    one = cut(rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), "text", *rest)).alias("r")).select("doc_id", "r.text", *(f"r.{c}" for c in rest)))
+    held = F.sum(F.octet_length("text").cast("long")).over(W.partitionBy(group).orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    nth = F.row_number().over(W.partitionBy(group).orderBy("h", "doc_id"))
+    few = one.withColumn("_held", held).withColumn("_nth", nth).where((F.col("_held") <= most_bytes) | (F.col("_nth") == 1))
+    return few.drop("_held", "_nth")
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, most: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """Texts and labels of at most `most` ids and `most_bytes` bytes of either class, for fitting on the driver.
 
     Only rows whose fold (crc32 of the id mod folds) is not left_out. The ids come from `labels` alone, in the
-    order of a hash; only they, bounded by 2 * most, are broadcast to fetch the texts. Several labels of an id count
+    order of a hash; only they, bounded by 2 * most, are broadcast to fetch one text each. Several labels of an id count
     as the largest; repeated texts count once.
     """
     lab = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), folds) != left_out))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
+        .withColumn("h", F.xxhash64("doc_id"))
     )
     picked = None
     for y in (0, 1):
-        part = lab.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = lab.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    rows = (
-        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(picked), "doc_id")
-        .select("doc_id", "text", "y")
-        .collect()
-    )
     seen: dict[str, int] = {}
-    for _, text, y in sorted(rows, key=lambda r: (r[0], r[1])):
-        seen[text] = max(y, seen.get(text, 0))
+    for r in sampled_texts(documents, picked, "y", most_bytes).select("doc_id", "text", "y").orderBy("doc_id").collect():
+        seen[r["text"]] = max(r["y"], seen.get(r["text"], 0))
     return list(seen.items())

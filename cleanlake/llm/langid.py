@@ -13,18 +13,21 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, once_a_worker, remainder
+from .common import SAMPLE_BYTES, cut, map_texts, once_a_worker, remainder, sampled_texts
 from .hashing import HashTable
 
 MARK = "▁"
 #: Longest piece used; probability of a character that is no piece; weight of the pooled counts, in tokens.
 PIECE_CHARS, UNKNOWN, POOLED = 16, 1e-8, 200.0
-#: Training documents of a language at most; longest word that training reads.
-SAMPLE, TRAIN_CHARS = 400, 32
+#: Training documents of a language, and languages, at most.
+SAMPLE, LANGUAGES = 400, 200
 #: Distinct words that a Python worker remembers; cells of a matrix.
 REMEMBERED, CELLS = 400_000, 1 << 20
+#: Characters of a block of a long word.
+BLOCK = 512
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,34 +73,81 @@ class Lattice:
     def forward(self, pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         """[row, language]: the logarithm of the sum over all segmentations; p[piece, language], with two rows more."""
         rows, length = pieces[0].shape
+        if length > BLOCK:
+            return np.concatenate([self.long_word([x[i] for x in pieces], p) for i in range(rows)])
         a = np.zeros((length + 1, rows, p.shape[1]))
         a[0] = 1
-        logs = np.zeros((rows, 1))
+        logs = np.zeros((rows, p.shape[1]))
         for e in range(1, length + 1):
             for k in range(1, min(len(pieces), e) + 1):
                 a[e] += a[e - k] * p[pieces[k - 1][:, e - k]]
-            if e % 16 == 0:  # keeps long words in range
-                top = a[e].max(axis=1, keepdims=True)
-                a[max(0, e - PIECE_CHARS) : e + 1] /= top
+            if e % PIECE_CHARS == 0:  # keeps long words in range
+                top = a[e].copy()
+                a[e - PIECE_CHARS : e + 1] /= top
                 logs += np.log(top)
         return np.log(np.maximum(a[length], 1e-300)) + logs
 
+    def long_word(self, pieces: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """[1, language]: the same of one long word, all its blocks at once.
+
+        The sums at the last PIECE_CHARS places are a linear function of those a block before. Each block finds its own
+        matrix, from as many starts as there are places; the matrices are then applied one after the other.
+        """
+        length, width, n = len(pieces[0]), PIECE_CHARS, p.shape[1]
+        blocks = -(-length // BLOCK)
+        at = np.full((width, blocks * BLOCK), self.n + 1)  # [k - 1, end]: the piece of k characters that ends there
+        for k, x in enumerate(pieces, start=1):
+            at[k - 1, k - 1 : k - 1 + len(x)] = x
+        at = at.reshape(width, blocks, BLOCK)
+        real = np.minimum(BLOCK, length - np.arange(blocks) * BLOCK)  # the last block may be shorter
+        now = np.zeros((width, blocks, width, n))  # [place, the last first; block; start; language]
+        now[np.arange(width), :, np.arange(width)] = 1
+        logs = np.zeros((blocks, n))
+        for e in range(BLOCK):
+            new = sum(now[k - 1] * p[at[k - 1, :, e]][:, None, :] for k in range(1, width + 1))
+            live = e < real
+            now[1:, live] = now[:-1, live].copy()
+            now[0, live] = new[live]
+            if e % width == width - 1:
+                top = now.max(axis=(0, 2))
+                now /= top[None, :, None, :]
+                logs += np.log(top)
+        state, total = np.zeros((width, n)), logs.sum(axis=0)
+        state[0] = 1
+        for b in range(blocks):
+            state = np.einsum("jsn,sn->jn", now[:, b], state)
+            top = state.max(axis=0)
+            state, total = state / top, total + np.log(top)
+        return (np.log(np.maximum(state[0], 1e-300)) + total)[None]
+
     def expected(self, pieces: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The expected number of each piece in the rows, each counted weight times, under one language's p."""
         rows, length = pieces[0].shape
         q = [p[x] for x in pieces]
         a, b = np.zeros((length + 1, rows)), np.zeros((length + 1, rows))
+        log_a, log_b = np.zeros((length + 1, rows)), np.zeros((length + 1, rows))  # a and b are as large as exp of these says
         a[0] = b[length] = 1
         for e in range(1, length + 1):
+            log_a[e] = log_a[e - 1]
             for k in range(1, min(len(q), e) + 1):
                 a[e] += a[e - k] * q[k - 1][:, e - k]
+            if e % PIECE_CHARS == 0:
+                held, top = slice(e - PIECE_CHARS, e + 1), a[e].copy()
+                a[held] /= top
+                log_a[held] = log_a[e] + np.log(top)
         for s in range(length - 1, -1, -1):
+            log_b[s] = log_b[s + 1]
             for k in range(1, min(len(q), length - s) + 1):
                 b[s] += b[s + k] * q[k - 1][:, s]
-        each, out = weight / np.maximum(a[length], 1e-300), np.zeros(self.n + 2)
+            if (length - s) % PIECE_CHARS == 0:
+                held, top = slice(s, s + PIECE_CHARS + 1), b[s].copy()
+                b[held] /= top
+                log_b[held] = log_b[s] + np.log(top)
+        whole, out = np.log(np.maximum(a[length], 1e-300)) + log_a[length], np.zeros(self.n + 2)
         for k in range(1, len(q) + 1):
             n = length - k + 1
-            out += np.bincount(pieces[k - 1].ravel(), (a[:n].T * q[k - 1] * b[k:].T * each[:, None]).ravel(), self.n + 2)
+            share = a[:n].T * q[k - 1] * b[k:].T * np.exp(log_a[:n] + log_b[k:] - whole).T * weight[:, None]
+            out += np.bincount(pieces[k - 1].ravel(), share.ravel(), self.n + 2)
         return out
 
 
@@ -116,8 +166,7 @@ def fit(pieces: list[str], texts: dict[str, list[str]], rounds: int = 4) -> np.n
         count: dict[str, int] = {}
         for t in language:
             for w in WORD.findall(t.lower()):
-                if len(w) < TRAIN_CHARS:
-                    count[MARK + w] = count.get(MARK + w, 0) + 1
+                count[MARK + w] = count.get(MARK + w, 0) + 1
         words = list(count)
         groups = []
         for length, members in by_length(words).items():
@@ -174,20 +223,20 @@ class Scorer:
         return np.stack([np.bincount(row, self.logs[at, j], len(found)) for j in range(self.p.shape[1])], axis=1), counts
 
 
-def training_texts(documents: DataFrame, folds: int, left_out: int, most: int) -> dict[str, list[str]]:
-    """At most `most` texts of each language, the first in the order of a hash of the id, from rows outside the fold."""
+def training_texts(documents: DataFrame, folds: int, left_out: int, most: int, languages: int = LANGUAGES, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+    """Texts of at most `most` ids and `most_bytes` bytes of each of the `languages` most frequent languages, from rows outside the fold.
+
+    Ids are taken in the order of a hash, an id of several languages for the first of them by name.
+    """
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != left_out))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return {}
-    part = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * most / n)))), F.col("lang"))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    picked = rows.select("lang", "text", "doc_id", order.alias("h")).where(F.col("h") < part * float(1 << 30)).collect()
-    out: dict[str, dict[str, None]] = {lang: {} for lang in sorted(counts)}
-    for r in sorted(picked, key=lambda r: (r["h"], r["doc_id"])):
-        if len(out[r["lang"]]) < most:
-            out[r["lang"]][r["text"]] = None
-    return {lang: list(texts) for lang, texts in out.items() if texts}
+    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    ids = rows.select("doc_id", "lang").join(F.broadcast(names), "lang").withColumn("h", F.xxhash64("doc_id")).groupBy("doc_id", "h").agg(F.min("lang").alias("lang"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    picked = cut(ids.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"))
+    out: dict[str, dict[str, None]] = {}
+    for r in sampled_texts(rows, picked, "lang", most_bytes).select("lang", "text", "doc_id").orderBy("lang", "doc_id").collect():
+        out.setdefault(r["lang"], {})[r["text"]] = None
+    return {lang: list(texts) for lang, texts in out.items()}
 
 
 def identify(documents: DataFrame, path: str, folds: int = 4, left_out: int = 2, most: int = SAMPLE) -> DataFrame:

@@ -38,4 +38,4 @@ def span_list(text: Column, pattern: str, group: int = 0, least: int = 0, must:
     if least or must:
         found = F.filter(found, good)
     spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 
 from cleanlake.llm import ann, chat, langid, quality, toxicity
+from cleanlake.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.01"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,12 +42,65 @@ def test_forward_sums_all_segmentations():
 
         return np.log(tail(0))
 
-    for w in ("abc", "zab", "aabbcc", "a", "é" * 40, "ab" * 30):
+    for w in ("abc", "zab", "aabbcc", "a", "é" * 40, "ab" * 30, "abcz" * 16):
         word = langid.MARK + w
         got = lattice.forward(lattice.pieces(lattice.codes([word])), p)[0]
         assert got == pytest.approx([brute(word, j) for j in range(3)])
 
 
+def brute_counts(lattice, pieces, word, p):
+    """The expected number of each piece over all segmentations of a word, one by one."""
+    index, out, total = {x: i for i, x in enumerate(pieces)}, np.zeros(len(pieces) + 2), [0.0]
+
+    def walk(i, prob, used):
+        if i == len(word):
+            total[0] += prob
+            np.add.at(out, used, prob)
+        for k in range(i + 1, len(word) + 1):
+            x = index.get(word[i:k], len(pieces) if k == i + 1 else None)
+            if x is not None:
+                walk(k, prob * p[x], [*used, x])
+
+    walk(0, 1.0, [])
+    return out / total[0]
+
+
+def test_expected_counts_and_long_words(monkeypatch):
+    pieces = [langid.MARK + "ab", "ab", "a", "b", langid.MARK, "bc", "c", langid.MARK + "a"]
+    p = np.random.default_rng(0).random((len(pieces) + 2, 3))
+    p[-2], p[-1] = langid.UNKNOWN, 0
+    lattice = langid.Lattice(pieces)
+    for w in ("abcab", "zab", "aabbccab"):
+        got = lattice.expected(lattice.pieces(lattice.codes([langid.MARK + w])), p[:, 1], np.array([2.0]))
+        assert got[:-1] == pytest.approx(2 * brute_counts(lattice, pieces, langid.MARK + w, p[:, 1])[:-1])
+    rnd = random.Random(1)
+    for length in (513, 1024, 1025, 3000):
+        word = langid.MARK + "".join(rnd.choice("abcz") for _ in range(length - 1))
+        found = lattice.pieces(lattice.codes([word]))
+        counts = lattice.expected(found, p[:, 0], np.ones(1))
+        assert sum(counts[i] * len(x) for i, x in enumerate(pieces)) + counts[len(pieces)] == pytest.approx(length)
+        in_blocks = lattice.forward(found, p)
+        monkeypatch.setattr(langid, "BLOCK", 10**9)
+        assert in_blocks == pytest.approx(lattice.forward(found, p))
+        monkeypatch.undo()
+
+
+def test_fitting_raises_the_likelihood_and_scores_add_up(monkeypatch):
+    pieces = langid.usable_pieces(PIECES)
+    texts = {"de": ["der hund und die katze sind im haus", "das ist ein haus"], "en": ["the dog and the cat are in the house", "this is a house"]}
+    lattice = langid.Lattice(pieces)
+    words = [w for t in texts["en"] for w in t.split()]
+    monkeypatch.setattr(langid, "POOLED", 1e-6)  # the likelihood of one language alone
+    likelihood = [sum(float(lattice.forward(lattice.pieces(lattice.codes([langid.MARK + w])), langid.fit(pieces, texts, r))[0, 1]) for w in words) for r in (1, 2, 4)]
+    assert likelihood == sorted(likelihood)
+    monkeypatch.undo()
+    p = langid.fit(pieces, texts)
+    logs, counts = langid.Scorer(pieces, p).score(["the cat", "der hund", "", "x" * 100_000])
+    for text, got in zip(("the cat", "der hund"), logs, strict=False):
+        assert got == pytest.approx(sum(lattice.forward(lattice.pieces(lattice.codes([langid.MARK + w])), p)[0] for w in text.split()))
+    assert logs[0, 1] > logs[0, 0] and logs[1, 0] > logs[1, 1] and counts.tolist() == [2, 2, 0, 1]
+
+
 def test_languages_held_out(spark):
     docs = table(spark, "documents")
     got = langid.identify(docs, PIECES).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -93,6 +147,44 @@ def test_string_kernel():
         assert got == pytest.approx([brute_kernel(mark + w, mark + "idiot"), brute_kernel(mark + w, mark + "chóna")], abs=1e-5)
 
 
+def test_folded_weights_are_kernel_whitening_and_machine():
+    """A unit's score is the machine's on its whitened kernels, by the definition of the kernel; a text's, of its best unit."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(4, 7)))
+    rows = [(" ".join([word() for _ in range(5)] + ["idiot"] * (i % 2)), i % 2) for i in range(60)]
+    seen = {}
+    real, kernels = toxicity.separate, toxicity.Kernel
+
+    class Kept(kernels):
+        def __init__(self, landmarks):
+            super().__init__(landmarks)
+            seen["landmarks"], seen["kernel"] = landmarks, self
+
+    def kept(x, y, weight, **rest):
+        seen["w"] = real(x, y, weight, **rest)
+        return seen["w"]
+
+    toxicity.separate, toxicity.Kernel = kept, Kept
+    try:
+        model = toxicity.fit(rows)
+    finally:
+        toxicity.separate, toxicity.Kernel = real, kernels
+    marks = seen["landmarks"]
+    own = seen["kernel"].table.T @ seen["kernel"].table
+    value, vector = np.linalg.eigh(own.astype(float))
+    whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
+    score = lambda window: float(np.array([brute_kernel(window, m) for m in marks]) @ whiten @ seen["w"][:-1] + seen["w"][-1])
+    for u in ("idiot", "idi-ot", "abcdef", "xidiotxxabcdefghijabcdefghij"):
+        want = max(score(w) for w in toxicity.windows(u))
+        assert model.unit_scores([u])[0] == pytest.approx(max(want, -1.0), abs=1e-3)
+        assert score(model.best_window(u)) == pytest.approx(want, abs=1e-3)
+    text = "abcdef idiot jjjj idiott"
+    each = [max([-1.0, *(score(w) for w in toxicity.windows(u) if len(w) >= toxicity.ORDER)]) for u in set(toxicity.units(text))]
+    count = min(3, sum(e > toxicity.EVIDENCE for e in [max([-1.0, *(score(w) for w in toxicity.windows(u))]) for u in toxicity.units(text)]))
+    logit = np.array([max(each), count, 1.0]) @ model.calibration
+    assert model.probability(toxicity.Scorer(model).evidence([text]))[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-3)
+
+
 def test_toxicity_finds_gapped_insults_and_spares_others(spark):
     rnd, insults = random.Random(2), ("idiot", "moron", "clown", "worthless")
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st".split()
@@ -174,6 +266,53 @@ def test_passages_cover_texts_and_attention_sums_to_one():
     assert np.add.reduceat(weights, np.cumsum(counts) - counts) == pytest.approx(np.ones(4))
 
 
+def brute_score(model, text):
+    """The forward pass by the definition, one passage after the other."""
+    w, codes, raw = {k: v.astype(float) for k, v in model.weights.items()}, [], []
+    data, begin, _ = quality.passages([text])
+    for x in (quality.describe(data, begin) - model.center) / model.scale:
+        h = np.tanh(np.array([sum(x[i] * w["e"][i, j] for i in range(len(x))) for j in range(quality.CODE)]) + w["eb"])
+        gate = [np.tanh(h @ w["v"][:, k]) / (1 + np.exp(-(h @ w["u"][:, k]))) for k in range(quality.GATE)]
+        codes.append(h)
+        raw.append(sum(g * a for g, a in zip(gate, w["a"], strict=True)))
+    share = np.exp(raw) / np.exp(raw).sum()
+    return 1 / (1 + np.exp(-(sum(s * h for s, h in zip(share, codes, strict=True)) @ w["c"] + w["cb"][0])))
+
+
+def test_quality_is_the_brute_force_forward_pass_and_its_gradient():
+    texts = ["good words here\nand more of them", "bad ### %%%", "", "x" * 2000 + "\né fine line\n\nEND", "one two two two"] * 2
+    model = quality.fit([(t, i % 2) for i, t in enumerate(texts[:5])])
+    assert model.score(texts) == pytest.approx([brute_score(model, t) for t in texts], abs=1e-5)
+    data, begin, counts = quality.passages(texts)
+    x, y = (quality.describe(data, begin) - model.center) / model.scale, np.arange(len(texts)) % 2.0
+    start = np.cumsum(counts) - counts
+    model.weights = {k: v.astype(float) for k, v in model.weights.items()}
+    loss = lambda: -np.mean(y * np.log(p := model.forward(x, start, counts)["p"]) + (1 - y) * np.log(1 - p))
+    rnd = np.random.default_rng(3)
+    for k, g in model.gradient(x, start, counts, y).items():
+        for _ in range(4):
+            at = tuple(rnd.integers(n) for n in model.weights[k].shape)
+            old, side = model.weights[k][at], []
+            for d in (1e-5, -1e-5):
+                model.weights[k][at] = old + d
+                side.append(loss())
+            model.weights[k][at] = old
+            assert (side[0] - side[1]) / 2e-5 == pytest.approx(g[at], abs=1e-6), k
+
+
+def test_samples_are_bounded_and_take_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(i % 10, "t" * (i % 10 + 1) + ("" if i < 10 else " other")) for i in range(40)] + [(None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(3, 1, 0), (None, 1, 0), (50, 1, 0)], LABELS)
+    got = labelled_sample(docs, labels, "quality", 4, 9, 100)
+    assert len(got) == 10 and sorted(y for _, y in got) == [0] * 5 + [1] * 5
+    few = labelled_sample(docs, labels, "quality", 4, 9, 100, most_bytes=20)
+    assert all(sum(len(t) for t, y in few if y == k) <= 20 for k in (0, 1)) and {y for _, y in few} == {0, 1} and set(few) < set(got)
+    langs = docs.withColumn("lang", (docs.doc_id % 2).cast("string"))
+    texts = langid.training_texts(langs, 4, 9, 3)
+    assert sorted(texts) == ["0", "1"] and all(len(t) == 3 for t in texts.values())
+    assert list(langid.training_texts(langs, 4, 9, 3, languages=1)) == ["0"]
+
+
 # neighbours
 
 
