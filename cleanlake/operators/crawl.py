@@ -14,26 +14,49 @@ from pyspark.sql import functions as F
 
 from ..functions.hosts import ip_number, is_idn, is_safe_ip, is_safe_v4, local_name, matches_any, resolve_url
 from . import resources
-from .policy import Policy
+from .html import as_byte_text, failed, until_error
+from .policy import LEVELS, Policy
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir (one of our own only where none is named)."""
+    """The rows of df, computed once and kept in the folder of spark.checkpoint.dir; only a local session may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def connection_violation(url: Column, policy: Policy) -> Column:
-    """The rule that a parsed URL to be fetched breaks: non_https, idn_connection, dangerous_connection, unsafe_address; else null."""
+VIOLATIONS = "array<struct<type:string,level:string>>"
+
+
+def violation(when: Column, kind: str, level: str) -> Column:
+    return F.when(when, F.struct(F.lit(kind).alias("type"), F.lit(level).alias("level")))
+
+
+def up_to_error(found: list[Column]) -> Column:
+    """The violations that hold, in order, up to and with the first of level error."""
+    held = F.filter(F.array(*found), lambda v: v.isNotNull()).cast(VIOLATIONS)
+    return until_error(held)
+
+
+def connection_violations(url: Column, policy: Policy) -> Column:
+    """The rules that a parsed URL to be fetched breaks: non_https, idn_connection, dangerous_connection, unsafe_address, each with its level."""
     number = ip_number(url["host"])
-    return (
-        F.when(url["href"].isNull() | (url["scheme"] != "https"), "non_https")
-        .when(is_idn(url), "idn_connection")
-        .when(matches_any(url["host"], policy.denied), "dangerous_connection")
-        .when(number.isNotNull() & ~is_safe_v4(number), "unsafe_address")
-    )
+    none = F.lit(False)
+    return up_to_error([
+        violation(url["href"].isNull() | F.coalesce(url["scheme"] != "https", F.lit(True)), "non_https", "error"),
+        violation(is_idn(url), "idn_connection", policy.idn_connection),
+        violation(matches_any(url["host"], policy.denied), "dangerous_connection", policy.dangerous_connection),
+        violation(F.coalesce(number.isNotNull() & ~is_safe_v4(number), none), "unsafe_address", "error"),
+    ])
+
+
+def refusal(violations: Column) -> Column:
+    """The type of the violation of level error; null if there is none."""
+    return F.get(F.filter(violations, lambda v: v["level"] == LEVELS[-1]), F.lit(0))["type"]
 
 
 def safe_addresses(dns: DataFrame) -> DataFrame:
@@ -41,20 +64,30 @@ def safe_addresses(dns: DataFrame) -> DataFrame:
     return dns.where(F.coalesce(is_safe_ip(F.col("ip")), F.lit(False)))
 
 
-def redirect_failures(hops: DataFrame, policy: Policy) -> DataFrame:
-    """chain, hop_no, type: the first hop of each chain (chain, hop_no, url) that breaks a rule: IDN, number, domain."""
-    url = resolve_url(F.col("url"), F.lit("https://localhost/"))
+def redirect_actions(hops: DataFrame, policy: Policy) -> DataFrame:
+    """chain, hop_no, type, level: what each redirect of each chain (chain, hop_no, url) breaks, in order: IDN, number, domain."""
     nth = F.row_number().over(W.partitionBy("chain").orderBy("hop_no")) - 1
-    marked = hops.withColumn("_u", url).withColumn("_n", nth).where("_n > 0")
-    kind = (
-        F.when(is_idn(F.col("_u")), "idn_connection")
-        .when(F.col("_n") > policy.max_redirects.value, "max_redirects")
-        .when(matches_any(F.col("_u.host"), policy.denied), "dangerous_connection")
-    )
-    bad = marked.withColumn("type", kind).where("type is not null")
+    marked = hops.withColumn("_u", resolve_url(F.col("url"), F.lit("https://localhost/"))).withColumn("_n", nth).where("_n > 0")
+    found = up_to_error([
+        violation(is_idn(F.col("_u")), "idn_connection", policy.idn_connection),
+        violation(F.col("_n") > policy.max_redirects.value, "max_redirects", policy.max_redirects.level),
+        violation(matches_any(F.col("_u.host"), policy.denied), "dangerous_connection", policy.dangerous_connection),
+    ])
+    return marked.select("chain", "hop_no", F.inline(found))
+
+
+def redirect_failures(hops: DataFrame, policy: Policy) -> DataFrame:
+    """chain, hop_no, type: the first hop of each chain that breaks a rule of level error, which ends it."""
+    bad = redirect_actions(hops, policy).where(F.col("level") == LEVELS[-1])
     return bad.groupBy("chain").agg(F.min(F.struct("hop_no", "type")).alias("f")).select("chain", "f.hop_no", "f.type")
 
 
+def redirect_owners(hops: DataFrame, visited: DataFrame) -> DataFrame:
+    """chain, url, source_idx: whose redirects a chain's are: the source that asked for its first URL; chains of no source are left out."""
+    first = hops.groupBy("chain").agg(F.min_by("url", "hop_no").alias("url"))
+    return first.join(visited.groupBy("url").agg(F.min("source_idx").alias("source_idx")), "url").select("chain", "url", "source_idx")
+
+
 def first_claims(found: DataFrame) -> DataFrame:
     """The rows of found (source_idx, seq, url, ...) that claim their URL: the lowest (source_idx, seq) of each."""
     claim = found.groupBy("url").agg(F.min(F.struct("source_idx", "seq")).alias("_c")).select("url", F.col("_c.source_idx").alias("_s"), F.col("_c.seq").alias("_q"))
@@ -124,22 +157,33 @@ def running_bytes(fetched: DataFrame, policy: Policy, carried: DataFrame | None
 
 
 def sanitize_responses(fetched: DataFrame, policy: Policy) -> DataFrame:
-    """fetched (url, content_type, data, ...) with type, violation and output: what each resource becomes.
+    """fetched (url, content_type, data, ...) with type, violations, violation (the first), output and found: what each resource becomes.
 
-    type is sniffed, else by extension, else as declared. Images lose their metadata, style sheets and scripts are
-    rewritten, PDFs pass or are blocked; a violation of level error leaves no output.
+    Markup loses its entity declarations as it comes in. type is sniffed, else by extension, else as declared. Images lose
+    their metadata, style sheets and scripts are rewritten, PDFs pass or are blocked; a violation of level error leaves no
+    output. found holds the resources that a style sheet names.
     """
-    rows = fetched.withColumn("type", resources.resource_type(F.col("data"), F.col("url"), F.col("content_type")))
+    markup = resources.is_markup(F.col("content_type"), F.col("url"))
+    bytes_of = F.decode("data", "ISO-8859-1")
+    declared = F.coalesce(markup & resources.has_entity(bytes_of) & bytes_of.rlike(resources.ENTITY), F.lit(False))
+    clean = F.encode(resources.without_entities(bytes_of, policy.xml_entities, as_byte_text), "ISO-8859-1")
+    rows = fetched.withColumn("_entity", declared).withColumn("data", F.when(F.col("_entity"), clean).otherwise(F.col("data")))
+    rows = rows.withColumn("type", resources.resource_type(F.col("data"), F.col("url"), F.col("content_type")))
     text = F.decode("data", "UTF-8")
-    css = resources.sanitize_css_udf(policy)(F.when(F.col("type") == "text/css", text), F.col("url"))
-    rows = rows.withColumn("_css", css)
-    violation = (
-        F.when(resources.mime_mismatch(F.col("content_type"), F.coalesce(resources.mime_sniff(F.col("data")), resources.mime_by_extension(F.col("url")))), F.struct(F.lit("mismatched_mime").alias("type"), F.lit(policy.mismatched_mime).alias("level")))
-        .when(F.col("type").isNull(), F.struct(F.lit("unknown_resource").alias("type"), F.lit(policy.unknown_resource).alias("level")))
-        .when((F.col("type") == "application/pdf") & resources.has_active_pdf(F.col("data")), F.struct(F.lit("pdf_active_content").alias("type"), F.lit(policy.pdf_active_content).alias("level")))
-        .when((F.col("type") == "application/javascript") & resources.is_dangerous_js(text), F.struct(F.lit("dangerous_js").alias("type"), F.lit(policy.dangerous_js.level).alias("level")))
-        .when(F.size("_css.actions") > 0, F.struct(F.col("_css.actions")[0]["type"].alias("type"), F.element_at("_css.actions", -1)["level"].alias("level")))
-    )
+    rows = rows.withColumn("_css", resources.sanitize_css_udf(policy)(F.when(F.col("type") == "text/css", text), F.col("url")))
+    actual = F.coalesce(resources.mime_sniff(F.col("data")), resources.mime_by_extension(F.col("url")))
+    fixed = F.filter(
+        F.array(
+            violation(F.col("_entity"), "xml_entities", policy.xml_entities.level),
+            violation(resources.mime_mismatch(F.col("content_type"), actual), "mismatched_mime", policy.mismatched_mime),
+            violation(F.col("type").isNull(), "unknown_resource", policy.unknown_resource),
+            violation((F.col("type") == "application/pdf") & resources.has_active_pdf(F.col("data")), "pdf_active_content", policy.pdf_active_content),
+            violation((F.col("type") == "application/javascript") & resources.is_dangerous_js(text), "dangerous_js", policy.dangerous_js.level),
+        ),
+        lambda v: v.isNotNull(),
+    ).cast(VIOLATIONS)
+    of_css = F.transform(F.coalesce("_css.actions", F.array().cast("array<struct<level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")), lambda a: F.struct(a["type"].alias("type"), a["level"].alias("level")))
+    held = F.when(F.col("data").isNotNull(), until_error(F.concat(fixed, of_css.cast(VIOLATIONS)))).otherwise(F.array().cast(VIOLATIONS))
     out = (
         F.when(F.col("type") == "image/png", resources.strip_png(F.when(F.col("type") == "image/png", F.col("data"))))
         .when(F.col("type") == "image/jpeg", resources.strip_jpeg(F.when(F.col("type") == "image/jpeg", F.col("data"))))
@@ -147,32 +191,63 @@ def sanitize_responses(fetched: DataFrame, policy: Policy) -> DataFrame:
         .when(F.col("type") == "application/javascript", F.encode(resources.sanitize_js(text, policy.dangerous_js), "UTF-8"))
         .otherwise(F.col("data"))
     )
-    rows = rows.withColumn("violation", violation).withColumn("_out", out)
-    blocked = F.coalesce(F.col("violation.level") == "error", F.lit(False))
-    return rows.withColumn("output", F.when(~blocked, F.col("_out"))).withColumn("found", F.when(~blocked, F.col("_css.subresources"))).drop("_css", "_out")
+    rows = rows.withColumn("violations", held).withColumn("_out", out)
+    good = ~failed(F.col("violations"))
+    rows = rows.withColumn("violation", F.get("violations", F.lit(0))).withColumn("output", F.when(good, F.col("_out"))).withColumn("found", F.when(good, F.col("_css.subresources")))
+    return rows.drop("_css", "_out", "_entity")
 
 
-def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
-    """source_idx, depth, seq, url, local_name, status, type, violation, output of all resources that the seeds lead to.
+def answers(asked: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
+    """asked (url, ...) with what came back (status_code, content_type, data, size), broken (the violations of its connection) and refused.
+
+    refused is the type of what ended the request before its body: a violation of level error, of the URL, of one of its
+    redirects (hops: chain, hop_no, url) or of its host, which has no safe address in dns (host, ip); `failed` without a
+    response or with a status other than 2xx. size is the declared content_length, if known, or that of the body.
+    """
+    rows = asked.withColumn("_url", resolve_url(F.col("url"), F.lit("https://localhost/"))).withColumn("broken", connection_violations(F.col("_url"), policy))
+    if dns is not None:
+        safe = safe_addresses(dns).select(F.col("host").alias("_host")).distinct().withColumn("_safe", F.lit(True))
+        rows = rows.join(safe, F.col("_url.host") == F.col("_host"), "left").drop("_host")
+        lost = (F.col("_url.host_kind") == "domain") & F.col("_safe").isNull()
+        rows = rows.withColumn("broken", F.when(lost & refusal(F.col("broken")).isNull(), F.concat("broken", F.array(violation(F.lit(True), "unsafe_address", "error")).cast(VIOLATIONS))).otherwise(F.col("broken"))).drop("_safe")
+    if hops is not None:
+        first = hops.groupBy("chain").agg(F.min_by("url", "hop_no").alias("url"))
+        one = F.struct("hop_no", "_n", "type", "level")
+        told = redirect_actions(hops, policy).withColumn("_n", F.lit(0)).join(first, "chain").groupBy("url").agg(F.array_sort(F.collect_list(one)).alias("_told"))
+        told = told.select("url", F.transform("_told", lambda x: F.struct(x["type"].alias("type"), x["level"].alias("level"))).cast(VIOLATIONS).alias("_told"))
+        rows = rows.join(told, "url", "left").withColumn("broken", until_error(F.concat("broken", F.coalesce("_told", F.array().cast(VIOLATIONS))))).drop("_told")
+    rows = rows.drop("_url").join(responses, "url", "left")
+    lost = F.col("data").isNull() | ~F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    rows = rows.withColumn("refused", F.coalesce(refusal(F.col("broken")), F.when(lost, "failed")))
+    size = F.greatest(F.length("data"), F.col("content_length")) if "content_length" in responses.columns else F.length("data")
+    return rows.withColumn("size", F.when(F.col("refused").isNull(), size).otherwise(0).cast("long"))
+
+
+def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
+    """source_idx, depth, seq array<bigint>, url, local_name, status, type, violations, violation, output of all resources that the seeds lead to.
 
     seeds: source_idx, seq, url, local_name. responses: url, status_code, content_type, data and, if known, the declared
-    content_length, which counts before the body does; URLs without a response fail.
-    Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most. Requests and bytes
-    of a source are counted over all levels; a URL over budget is not visited, so that a later level may ask for it.
+    content_length, which counts before the body does; URLs without a response fail. hops and dns are those of answers().
+    Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most; seq is the path from
+    the seed. Requests and bytes of a source are counted over all levels; a URL over budget is not visited, so that a
+    later level may ask for it. Every round is kept (cut) before the next one, so that plans do not grow with the depth.
     """
-    visited, out, found, requests, spent = None, None, seeds, None, None
+    kind = dict(seeds.dtypes)["seq"]
+    found = seeds if kind.startswith("array") else seeds.withColumn("seq", F.array(F.col("seq").cast("long")))
+    visited, out, requests, spent = None, None, None, None
     for depth in range(1, policy.max_resource_depth.value + 1):
         seen = visited if visited is not None else found.select("url").limit(0)
-        queued = enqueue(found, seen, policy, depth, requests)
-        url = resolve_url(F.col("url"), F.lit("https://localhost/"))
-        asked = queued.withColumn("_url", url).withColumn("refused", connection_violation(F.col("_url"), policy)).drop("_url").join(responses, "url", "left")
-        status = F.when(F.col("status") != "fetch", F.col("status")).when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("data").isNull() | ~F.col("status_code").between(200, 299), "failed").otherwise("fetched")
-        size = F.greatest(F.length("data"), F.col("content_length")) if "content_length" in responses.columns else F.length("data")
-        asked = running_bytes(asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", size).otherwise(0)), policy, spent)
-        asked = cut(asked)
-        asked = asked.withColumn("status", F.when((F.col("status") == "fetched") & ~F.col("within") & F.lit(policy.max_bytes.level == "error"), "max_bytes").otherwise(F.col("status")))
+        queued = cut(enqueue(found, seen, policy, depth, requests))
+        asked = answers(queued, responses, policy, hops, dns)
+        status = F.when(F.col("status") != "fetch", F.col("status")).when(F.col("refused").isNotNull(), F.col("refused")).otherwise("fetched")
+        asked = asked.withColumn("status", status).withColumn("size", F.when(F.col("status") == "fetched", F.col("size")).otherwise(0))
+        asked = cut(running_bytes(asked, policy, spent))
+        over = (F.col("status") == "fetched") & ~F.col("within")
+        told = F.when(over, F.concat("broken", F.array(violation(F.lit(True), "max_bytes", policy.max_bytes.level)).cast(VIOLATIONS))).otherwise(F.col("broken"))
+        asked = asked.withColumn("broken", told).withColumn("status", F.when(over & F.lit(policy.max_bytes.level == "error"), "max_bytes").otherwise(F.col("status")))
         done = sanitize_responses(asked.withColumn("data", F.when(F.col("status") == "fetched", F.col("data"))), policy).withColumn("depth", F.lit(depth))
-        rows = done.select("source_idx", "depth", "seq", "url", "local_name", "status", "type", "violation", "output", "found")
+        done = done.withColumn("violations", F.concat("broken", "violations"))
+        rows = cut(done.select("source_idx", "depth", "seq", "url", "local_name", "status", "type", "violations", "violation", "output", "found"))
         out = rows if out is None else out.unionByName(rows)
         now = queued.where("status <> 'over_budget'").select("url")
         visited = now if visited is None else visited.union(now)
@@ -181,7 +256,7 @@ def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy) -> DataFrame:
         used = asked.groupBy("source_idx").agg(F.sum("size").alias("bytes"))
         spent = cut((used if spent is None else spent.unionByName(used)).groupBy("source_idx").agg(F.sum("bytes").alias("bytes")))
         found = rows.where("status = 'fetched'").select("source_idx", F.posexplode("found").alias("k", "f"), "seq")
-        found = found.select("source_idx", (F.col("seq") * 100000 + F.col("k")).alias("seq"), "f.url", "f.local_name")
+        found = found.select("source_idx", F.concat("seq", F.array(F.col("k").cast("long"))).alias("seq"), "f.url", "f.local_name")
     return out.drop("found")
 
 

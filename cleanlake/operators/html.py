@@ -121,17 +121,18 @@ def until_error(actions: Column) -> Column:
     return F.when(stop > 0, F.slice(actions, 1, stop.cast("int"))).otherwise(actions)
 
 
-def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> DataFrame:
-    """key, output, actions array, subresources array: one row for each document; see sanitize_html.
+def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str | Column = LOCAL_BASE) -> DataFrame:
+    """key, output, actions array, subresources array: one row for each document; see sanitize_html. base may be a column of documents.
 
     Documents are dealt by the key; their segments are exploded and gathered without another shuffle. What an element asks
     for is worked out on its segment's row, with the base that holds there; a document's own rows carry what its entities are.
     """
     spark = documents.sparkSession  # several tasks a core: a document costs far more time than its bytes suggest
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    docs = documents.select(F.col(key), F.col(html).alias("_text")).repartition(parts, key).select(key, as_bytes(F.col("_text")).alias("_html"))
-    docs = docs.select(key, "_html", declared_entities(F.col("_html"), policy).alias("_declared"), resources.without_entities(F.col("_html"), policy.xml_entities, as_byte_text).alias("_clean"))
-    cut = docs.select(key, F.col("_html").isNotNull().alias("_some"), "_declared", F.regexp_extract_all("_clean", F.lit(COARSE), F.lit(0)).alias("_raw"))
+    start = F.lit(base) if isinstance(base, str) else base
+    docs = documents.select(F.col(key), F.col(html).alias("_text"), start.alias("_start")).repartition(parts, key).select(key, "_start", as_bytes(F.col("_text")).alias("_html"))
+    docs = docs.select(key, "_start", "_html", declared_entities(F.col("_html"), policy).alias("_declared"), resources.without_entities(F.col("_html"), policy.xml_entities, as_byte_text).alias("_clean"))
+    cut = docs.select(key, "_start", F.col("_html").isNotNull().alias("_some"), "_declared", F.regexp_extract_all("_clean", F.lit(COARSE), F.lit(0)).alias("_raw"))
     tag, head, body, at = (F.col(c) for c in ("tag", "head", "body", "at"))
     is_base = lambda raw: raw.rlike(r"(?i)^<base[\s/>]")
 
@@ -151,17 +152,17 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     none = F.lit(None).cast("array<string>")
     heads = F.filter("_raw", is_base)
     hrefs = F.transform(heads, lambda raw: _first(judged_list(F.lit("base"), F.regexp_extract(raw, OPEN_TAG, 1), F.lit(0)), "href")["now"])
-    cut = cut.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs).otherwise(none)).withColumn("_bases", _bases(F.col("_hrefs"), F.lit(base)))
+    cut = cut.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs).otherwise(none)).withColumn("_bases", _bases(F.col("_hrefs"), F.col("_start")))
     flags = F.when(F.col("_hrefs").isNotNull(), running_totals(F.transform("_raw", lambda raw: is_base(raw).cast("int"))))
-    cut = cut.select(key, "_some", "_declared", "_raw", "_bases", running_totals(F.transform("_raw", F.length)).alias("_ends"), flags.alias("_seen"))
+    cut = cut.select(key, "_start", "_some", "_declared", "_raw", "_bases", running_totals(F.transform("_raw", F.length)).alias("_ends"), flags.alias("_seen"))
 
     def placed(raw: Column, i: Column) -> Column:
         before = F.get("_bases", (F.get("_seen", i - 1) - 1).cast("int"))
         return F.struct(i.alias("pos"), raw.alias("raw"), (F.get("_ends", i) - F.length(raw)).alias("at"), before.alias("base"))
 
-    rows = cut.select(key, "_some", "_declared", F.explode_outer(F.transform("_raw", placed)).alias("s"))
+    rows = cut.select(key, "_start", "_some", "_declared", F.explode_outer(F.transform("_raw", placed)).alias("s"))
     declared = F.when(F.coalesce(F.col("s.pos"), F.lit(0)) == 0, F.col("_declared"))
-    rows = rows.select(key, "_some", declared.alias("_declared"), "s.pos", "s.at", F.coalesce("s.base", F.lit(base)).alias("_base"), F.coalesce("s.raw", F.lit("")).alias("raw"), F.regexp_extract("s.raw", OPEN_TAG, 1).alias("_open"))
+    rows = rows.select(key, "_some", declared.alias("_declared"), "s.pos", "s.at", F.coalesce("s.base", "_start").alias("_base"), F.coalesce("s.raw", F.lit("")).alias("raw"), F.regexp_extract("s.raw", OPEN_TAG, 1).alias("_open"))
     rows = rows.select(
         key, "_some", "_declared", "pos", "at", "_base", F.when(F.col("_open") != "", F.lower(F.regexp_extract("_open", TAG_NAME, 1))).alias("tag"), F.when(F.col("_open") != "", F.col("_open")).otherwise(F.col("raw")).alias("head"),
         F.expr("if(_open <> '', substring(raw, length(_open) + 1), '')").alias("body"),

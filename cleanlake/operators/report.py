@@ -23,10 +23,16 @@ def reports(actions: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
     return inputs.join(packed, key, "left").withColumn("actions", F.coalesce("actions", empty))
 
 
+def shortened(value: Column, most: int = SHOWN) -> Column:
+    """The longest prefix of value, in whole characters, of less than `most` bytes, and three dots; value if that is all of it."""
+    data = F.encode(value, "UTF-8")
+    prefix = F.coalesce(*(F.try_validate_utf8(F.substring(data, 1, n).cast("string")) for n in range(most - 1, max(0, most - 5), -1)))
+    return F.when(F.octet_length(value) >= most, F.concat(prefix, F.lit("..."))).otherwise(value)
+
+
 def log_lines(actions: DataFrame, key: str, least: str = "trace") -> DataFrame:
     """key, seq, line: a text line for each action of at least that level, long values cut."""
-    shown = F.when(F.octet_length("original") >= SHOWN, F.concat(F.substring("original", 1, SHOWN // 4), F.lit("..."))).otherwise(F.col("original"))
-    line = F.format_string("[%s] %s: %s%s", F.upper("level"), F.col("type"), F.coalesce(shown, F.lit("")), F.when(F.col("replacement").isNotNull(), F.concat(F.lit(" -> "), "replacement")).otherwise(""))
+    line = F.format_string("[%s] %s: %s%s", F.upper("level"), F.col("type"), F.coalesce(shortened(F.col("original")), F.lit("")), F.when(F.col("replacement").isNotNull(), F.concat(F.lit(" -> "), "replacement")).otherwise(""))
     return actions.where(level_number(F.col("level")) >= LEVELS.index(least)).select(key, "seq", line.alias("line"))
 
 

@@ -18,7 +18,7 @@ ENTITY = r"(?is)<!ENTITY((?:[^>\\]|\\.)*+)>"
 JS = r"(?s)(?:eval|alert|document[ \t\r\n]*\.[ \t\r\n]*write)[ \t\r\n]*\("
 PDF_STREAM = r"(?s)(?<=^|[ \t\n\f\r>])stream.*?(?:endstream|\z)"
 PDF_ACTIVE = r"/(?:JS|JavaScript|AA|OpenAction)(?=[\x00 \t\n\f\r\[\]<>(){}/%]|\z)"
-_ARGUMENT = r"""(?>"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|(?:[^\;)]++|\\.)*+)"""
+_ARGUMENT = r"""(?>"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|(?:[^\\;)]++|\\.)*+)"""
 CSS = rf"(?s)(?:@import[ \t\r\n]++({_ARGUMENT})[ \t\r\n]*+;|url[ \t\r\n]*+\([ \t\r\n]*+({_ARGUMENT})[ \t\r\n]*+\))"
 #: Fixed tables of the known resource types.
 MIME_NAMES = {
@@ -111,19 +111,29 @@ def is_markup(content_type: Column, url: Column) -> Column:
 
 
 def _strip_jpeg(data: bytes) -> bytes:
+    """Segment by segment up to the end marker; what stands between segments stays, what follows the end goes."""
     if data[:2] != b"\xff\xd8":
         return data
-    out, i = [data[:2]], 2
-    while i + 1 < len(data):
-        if data[i] != 0xFF or data[i + 1] in (0xD9, 0xDA):  # image data and what follows stay as they are
-            end = data.rfind(b"\xff\xd9")
-            return b"".join([*out, data[i : end + 2 if end >= i else len(data)]])
-        if i + 4 > len(data) or (size := int.from_bytes(data[i + 2 : i + 4], "big")) < 2 or i + 2 + size > len(data):
-            return b"".join([*out, data[i:]])
-        if data[i + 1] != 0xE1:
-            out.append(data[i : i + 2 + size])
-        i += 2 + size
-    return b"".join([*out, data[i:]])
+    kept, i = [data[:2]], 2
+    while i < len(data):
+        mark = data.find(b"\xff", i)
+        if mark < 0 or mark + 1 == len(data):
+            kept.append(data[i:])
+            break
+        kept.append(data[i:mark])
+        kind, i = data[mark + 1], mark
+        if kind == 0xD9:
+            kept.append(data[i : i + 2])
+            break
+        bare = kind == 0 or 0xD0 <= kind <= 0xD7  # an escaped byte of image data, or a restart marker
+        size = 2 if bare else 2 + int.from_bytes(data[i + 2 : i + 4], "big")
+        if not bare and i + 4 > len(data) or i + size > len(data):
+            kept.append(data[i:])
+            break
+        if kind != 0xE1:
+            kept.append(data[i : i + size])
+        i += size
+    return b"".join(kept)
 
 
 def _strip_png(data: bytes) -> bytes:

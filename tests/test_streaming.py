@@ -27,8 +27,9 @@ def test_files(spark, tmp_path):
     for name, data in (("a.html", b"<b>"), ("d/b.PDF", b"%PDF"), ("d/c.png", b"x")):
         (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / name).write_bytes(data)
-    found, urls = files.read_inputs(spark, [f"{tmp_path}/in", "https://h/"])
-    assert sorted((r.input.rpartition("/")[2], r.kind) for r in found.collect()) == [("a.html", "html"), ("b.PDF", "pdf"), ("c.png", "html")]
+    found, urls, missing = files.read_inputs(spark, [f"{tmp_path}/in", "https://h/", f"{tmp_path}/none", f"{tmp_path}/in/a.html"])
+    assert sorted((r.input.rpartition("/")[2], r.kind) for r in found.collect()) == [("a.html", "html"), ("a.html", "html"), ("b.PDF", "pdf"), ("c.png", "html")]
+    assert missing == [f"{tmp_path}/none"] and [r.input.rpartition("/")[2] for r in found.orderBy("source_idx").collect()] == ["a.html", "b.PDF", "c.png", "a.html"]
     assert [r.url for r in urls.collect()] == ["https://h/"]
     (tmp_path / "t.json").write_text('{"a": ["x"], "b": []}')
     assert {r.file: r.expected_rules for r in files.read_ground_truth(spark, f"{tmp_path}/t.json").collect()} == {"a": ["x"], "b": []}
