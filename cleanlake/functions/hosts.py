@@ -103,6 +103,46 @@ def _ascii(host: str) -> str | None:
         return None
 
 
+def _number(part: str) -> int | None:
+    """A part of an IPv4 address: decimal, octal after 0, hexadecimal after 0x; None if it is none."""
+    base = 16 if part[:2] in ("0x", "0X") else 8 if len(part) > 1 and part[0] == "0" else 10
+    digits = part[2:] if base == 16 else part[1:] if base == 8 else part
+    try:
+        return int(digits, base) if digits.isascii() and "_" not in digits else None
+    except ValueError:
+        return 0 if digits == "" and base == 16 else None
+
+
+def _v4(host: str) -> str | None:
+    """The dotted form of a host that ends in a number, of one to four parts; "" if it ends in none, None if it is no address."""
+    parts = host.split(".")
+    if len(parts) > 1 and parts[-1] == "":
+        parts.pop()
+    if not parts[-1] or not (parts[-1].isdigit() or re.fullmatch(r"0[xX][0-9a-fA-F]*", parts[-1])):
+        return ""
+    numbers = [_number(p) for p in parts]
+    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        return None
+    whole = sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1])) + numbers[-1]
+    return ".".join(str(whole >> s & 255) for s in (24, 16, 8, 0))
+
+
+def _without_dots(path: str) -> str:
+    """path without . and .. segments, also where they are percent-encoded."""
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for i, p in enumerate(parts):
+        plain = re.sub("(?i)%2e", ".", p)
+        if plain == "..":
+            del out[-1:]
+        elif plain != ".":
+            out.append(p)
+            continue
+        if i == len(parts) - 1:
+            out.append("")
+    return "/" + "/".join(out)
+
+
 @functools.lru_cache(maxsize=1 << 16)  # a page's links repeat
 def parse_url(value: str, base: str) -> tuple | None:
     """href, scheme, host, original host and its kind of value, joined to base; None if it cannot be."""
@@ -124,11 +164,14 @@ def parse_url(value: str, base: str) -> tuple | None:
     host = original.lower() if original.startswith("[") else _ascii(original)
     if not host or any(c in host for c in " #%/:<>?@\\^|") and not host.startswith("["):
         return None
-    kind = "ipv6" if host.startswith("[") else "ipv4" if host.replace(".", "").isdigit() and host.count(".") == 3 else "domain"
+    if (number := "" if host.startswith("[") else _v4(host)) is None:
+        return None
+    host = number or host
+    kind = "ipv6" if host.startswith("[") else "ipv4" if number else "domain"
     port = raw[len(original) :]
     if port in (":", ":80" if parts.scheme == "http" else ":443" if parts.scheme == "https" else ":"):
         port = ""
-    tail = (parts.path or "/") + ("?" + parts.query if "?" in joined.partition("#")[0] else "") + ("#" + parts.fragment if "#" in joined else "")
+    tail = _without_dots(parts.path or "/") + ("?" + parts.query if "?" in joined.partition("#")[0] else "") + ("#" + parts.fragment if "#" in joined else "")
     user = parts.netloc[: len(parts.netloc) - len(raw)]
     return f"{parts.scheme}://{user}{host}{port}{tail}", parts.scheme, host, original, kind
 

@@ -265,6 +265,12 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     return whole.select(key, F.when(good, F.col("_out")).alias("output"), until_error(F.col("_all")).alias("actions"), F.when(good, F.col("_named")).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"))
 
 
+def listed_actions(rows: DataFrame, key: str) -> DataFrame:
+    """key, seq, level, type, original, replacement, loc_start, loc_end: a row for each action of rows (key, actions), numbered from 1."""
+    each = rows.select(key, F.posexplode("actions").alias("n", "a"))
+    return each.select(key, (F.col("n") + 1).alias("seq"), *(F.col(f"a.{c}") for c in ("level", "type", "original", "replacement", "loc_start", "loc_end")))
+
+
 def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str = LOCAL_BASE) -> Sanitized:
     """The policy applied to whole documents.
 
@@ -274,11 +280,10 @@ def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     documents have a null output and no action; a document's rows are found by key, which must be unique and not null.
     """
     rows = sanitize_rows(documents, policy, key, html, base)
-    actions = rows.select(key, F.posexplode("actions").alias("n", "a"))
     found = rows.select(key, F.posexplode("subresources").alias("n", "s"))
     return Sanitized(
         rows.select(key, "output"),
-        actions.select(key, (F.col("n") + 1).alias("seq"), *(F.col(f"a.{c}") for c in ("level", "type", "original", "replacement", "loc_start", "loc_end"))),
+        listed_actions(rows, key),
         found.select(key, (F.col("n") + 1).alias("seq"), "s.url", "s.local_name"),
     )
 

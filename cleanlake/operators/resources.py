@@ -107,7 +107,7 @@ def mime_mismatch(content_type: Column, actual: Column) -> Column:
 
 def is_markup(content_type: Column, url: Column) -> Column:
     path = F.regexp_replace(url, r"[?#].*$", "")
-    return F.coalesce(mime_clean(content_type).rlike("html|xml|svg"), F.lit(False)) | F.coalesce(path.rlike(r"\.(html|htm|xml|svg|xhtml)$"), F.lit(False))
+    return F.coalesce(mime_clean(content_type).rlike("html|xml|svg"), F.lit(False)) | F.coalesce(F.lower(path).rlike(r"\.(html|htm|xml|svg|xhtml)$"), F.lit(False))
 
 
 def _strip_jpeg(data: bytes) -> bytes:

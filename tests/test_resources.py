@@ -86,4 +86,8 @@ def test_urls():
     assert p("http://googlé.com", "https://h/")[:4] == ("http://xn--googl-fsa.com/", "http", "xn--googl-fsa.com", "googlé.com")
     assert p("../c?d#e", "https://h/a/b/x")[0] == "https://h/a/c?d#e" and p("//o.org/x", "https://h/")[2] == "o.org"
     assert p("рф", "https://h/a")[0].startswith("https://h/") and p("https://", "https://h/") is None
+    for text, want in (("https://0x7f.1/", "127.0.0.1"), ("https://2130706433/", "127.0.0.1"), ("https://0300.0250.1/", "192.168.0.1"), ("https://1.2.3.4./", "1.2.3.4"), ("https://1.2.3.256/", None), ("https://1.2.3.4.5/", None), ("https://0x/", "0.0.0.0")):
+        got = p(text, "https://h/")
+        assert got is None if want is None else got[2:5:2] == (want, "ipv4")
+    assert p("https://h/a/%2E%2e/b/./c/..", "https://h/")[0] == "https://h/b/" and p("https://h/../..", "https://h/")[0] == "https://h/"
     assert p("https://10.0.0.1/x", "https://h/")[4] == "ipv4" and p("mailto:x@y", "https://h/")[2] is None
