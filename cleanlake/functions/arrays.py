@@ -34,10 +34,13 @@ def running_totals(numbers: Column) -> Column:
 
         return one
 
-    out = numbers.cast("array<bigint>")
-    for k in range(_STEPS):
-        out = let(out, step(_STEP**k))
-    return out
+    def all_steps(a: Column) -> Column:
+        for k in range(1, _STEPS):
+            a = let(a, step(_STEP**k))
+        return a
+
+    first = lambda a: let(step(1)(a), lambda x: F.when(F.size(x) > _STEP, all_steps(x)).otherwise(x))
+    return let(numbers.cast("array<bigint>"), first)
 
 
 def match_ranges(text: Column, pattern: str, made: Callable[[Column, Column, Column], Column]) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +45,7 @@ def is_handler(name: Column) -> Column:
 
 
 def is_dangerous_uri(value: Column) -> Column:
-    bare = F.lower(F.regexp_replace(value, r"^\s+|\s+$", ""))
-    return F.startswith(bare, F.lit("data:")) | F.startswith(bare, F.lit("javascript:"))
+    return value.rlike(r"(?i)^\s*+(?:data|javascript):")
 
 
 def replaced(rule: ReplaceRule, keep: Column) -> Column:
@@ -65,14 +65,15 @@ def _action(when: Column, rule: ReplaceRule | str, kind: str, original: Column,
 RESOLVED = T.StructType([*URL.fields, T.StructField("local", T.StringType())])
 
 
-@F.pandas_udf(RESOLVED)
-def _resolve(value: pd.Series, base: pd.Series, ext: pd.Series) -> pd.DataFrame:
-    """value joined to base, and its local name if ext is given; a page's links repeat, and each is worked out once."""
-    none, rows = (None,) * 6, []
-    for v, b, e in zip(value, base, ext, strict=True):
+@F.arrow_udf(RESOLVED)
+def _resolve(value: pa.Array, base: pa.Array, ext: pa.Array) -> pa.Array:
+    """value joined to base, and its local name if ext is given; null fields where there is no value, or none that can be joined."""
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    for v, b, e in zip(value.to_pylist(), base.to_pylist(), ext.to_pylist(), strict=True):
         got = None if v is None else parse_url(v, b)
-        rows.append(none if got is None else (*got, None if e is None else local_file(got[0], e)))
-    return pd.DataFrame(rows, columns=RESOLVED.names, dtype=object)
+        for column, x in zip(out, (None,) * 6 if got is None else (*got, None if e is None else local_file(got[0], e)), strict=True):
+            column.append(x)
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in out], RESOLVED.names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -229,7 +230,9 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         F.coalesce(css["actions"], F.array().cast("array<struct<level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")),
         lambda c, i: F.struct(F.lit(3).alias("step"), i.cast("int").alias("sub"), *(c[n].alias(n) for n in ("level", "type", "original", "replacement")), (shift + c["loc_start"]).alias("loc_start"), (shift + c["loc_end"]).alias("loc_end")),
     )
-    acts = F.filter(F.concat(F.flatten(F.transform(attrs, by_attribute)), by_element, by_css), lambda x: x.isNotNull())
+    odd = F.exists(attrs, lambda a: a["handler"] | a["uri"])
+    of_attributes = F.when(odd, F.flatten(F.transform(attrs, by_attribute))).otherwise(F.slice(by_element, 1, 0))
+    acts = F.filter(F.concat(of_attributes, by_element, by_css), lambda x: x.isNotNull())
     acts = F.transform(acts, lambda x: F.struct(F.col("pos").cast("long").alias("pos"), *(x[n].alias(n) for n in ("step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"))))
 
     # the segment again

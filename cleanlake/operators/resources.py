@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -207,14 +210,19 @@ def _css(text: str, base: str, policy: Policy) -> tuple:
 
 
 def sanitize_css_udf(policy: Policy):  # noqa: ANN201
-    """A function of style sheet and base URL to CSS_RESULT: arguments of url() and @import made local or replaced."""
-
-    @F.pandas_udf(CSS_RESULT)
-    def run(text: pd.Series, base: pd.Series) -> pd.DataFrame:
-        rows = [(None, [], []) if t is None else _css(t, b, policy) if "url" in t or "@import" in t else (t, [], []) for t, b in zip(text, base, strict=True)]
-        names = ("level", "type", "original", "replacement", "loc_start", "loc_end")
-        return pd.DataFrame(
-            {"output": [r[0] for r in rows], "actions": [[dict(zip(names, a, strict=True)) for a in r[1]] for r in rows], "subresources": [[{"url": u, "local_name": n} for u, n in r[2]] for r in rows]}
-        )
+    """A function of style sheet and base URL to CSS_RESULT, null for null: arguments of url() and @import made local or replaced."""
+
+    names = ("level", "type", "original", "replacement", "loc_start", "loc_end")
+    action = pa.struct([(n, pa.int64() if n.startswith("loc") else pa.string()) for n in names])
+    kind = pa.struct([("output", pa.string()), ("actions", pa.list_(action)), ("subresources", pa.list_(pa.struct([("url", pa.string()), ("local_name", pa.string())])))])
+
+    @F.arrow_udf(CSS_RESULT)
+    def run(text: pa.Array, base: pa.Array) -> pa.Array:
+        rows: list[dict | None] = [None] * len(text)
+        for i in np.flatnonzero(np.asarray(pc.is_valid(text))):
+            t, b = text[int(i)].as_py(), base[int(i)].as_py()
+            output, actions, found = _css(t, b, policy) if "url" in t or "@import" in t else (t, [], [])
+            rows[i] = {"output": output, "actions": [dict(zip(names, x, strict=True)) for x in actions], "subresources": [{"url": u, "local_name": n} for u, n in found]}
+        return pa.array(rows, kind)
 
     return run

@@ -70,17 +70,20 @@ def attribute_list(tag: Column, head: Column, at: Column) -> Column:
     def placed(x: Column) -> Column:
         first = at + F.length(head) - F.length(x["rest"])
         lengths = F.transform(F.arrays_zip(x["found"].alias("w"), F.slice(x["between"], 1, F.size(x["found"])).alias("b")), lambda p: F.length(p["w"]) + F.length(p["b"]))
-        zipped = F.arrays_zip(x["found"].alias("w"), running_totals(lengths).alias("e"))
-        return F.transform(zipped, lambda p: let(F.struct(F.regexp_extract(p["w"], ATTRIBUTE, 1).alias("name"), F.regexp_extract(p["w"], ATTRIBUTE, 2).alias("raw")), lambda n: one(n, first + p["e"] - F.length(p["w"]))))
+        zipped = F.arrays_zip(x["found"].alias("w"), x["names"].alias("n"), x["raws"].alias("r"), running_totals(lengths).alias("e"))
+        return F.transform(zipped, lambda p: one(p["n"], p["r"], first + p["e"] - F.length(p["w"])))
 
-    def one(n: Column, begin: Column) -> Column:
-        value = as_text(F.regexp_replace(n["raw"], r"""(?s)^(["'])(.*)\1$""", "$2"))
-        return F.struct(F.lower(n["name"]).alias("name"), n["name"].alias("raw_name"), n["raw"].alias("raw_value"), value.alias("value"), begin.cast("bigint").alias("name_at"))
+    def one(name: Column, raw: Column, begin: Column) -> Column:
+        inner = F.when(F.startswith(raw, F.lit('"')) | F.startswith(raw, F.lit("'")), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        value = F.when(F.octet_length(inner) == F.length(inner), inner).otherwise(as_text(inner))
+        return F.struct(F.lower(name).alias("name"), name.alias("raw_name"), raw.alias("raw_value"), value.alias("value"), begin.cast("bigint").alias("name_at"))
 
-    rest = F.regexp_replace(head, TAG_NAME, "")
-    inner = lambda r: F.regexp_replace(r, r"/?>$", "")
-    parts = lambda r: F.struct(r.alias("rest"), F.regexp_extract_all(inner(r), F.lit(ATTRIBUTE), F.lit(0)).alias("found"), F.split(inner(r), ATTRIBUTE, -1).alias("between"))
-    return F.when(F.length(head) > F.length(tag) + 2, let(let(rest, parts), placed)).otherwise(F.array().cast(ATTRIBUTES))
+    def parts(rest: Column) -> Column:
+        inner = F.regexp_replace(rest, r"/?>$", "")
+        return let(inner, lambda r: F.struct(rest.alias("rest"), *(F.regexp_extract_all(r, F.lit(ATTRIBUTE), F.lit(k)).alias(n) for k, n in enumerate(("found", "names", "raws"))), F.split(r, ATTRIBUTE, -1).alias("between")))
+
+    listed = let(let(F.regexp_replace(head, TAG_NAME, ""), parts), placed)
+    return F.when(F.length(head) > F.length(tag) + 2, listed).otherwise(F.array().cast(ATTRIBUTES))
 
 
 def attributes(tags: DataFrame, key: str) -> DataFrame:
