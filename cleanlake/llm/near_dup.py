@@ -4,13 +4,17 @@ A document's set is that of its shingles' hashes. Every element throws points on
 spaced, and a register keeps the least point that fell on it, on a scale of powers of BASE. Registers of two sets merge
 by their minimum to those of the union, and agree about as often as the sets do. Documents of equal sets are one class.
 Classes that agree in all registers of a band may be linked; they are gathered in clusters, in which pairs are told
-apart by the likelihood of their registers, and pairs that may reach the threshold are compared by their full sets,
-the likeliest first, as long as they are not joined yet. A cluster of more than BLOCK classes is worked on in pairs of
-blocks, each by another task.
+apart by the likelihood of their registers alone, 512 bytes a class. The pairs that may reach the threshold make groups;
+of these, and no others, the full sets are worked out. Each class is first compared with the likeliest class before it, a
+number of comparisons in proportion to the classes, which joins nearly all there is to join. Groups that are in several
+parts still are then compared part with part, pair by pair, the likeliest first, as long as they are not joined yet.
+A large cluster or group is worked on in pairs of blocks, bounded in classes and bytes, each by another task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +27,8 @@ from .hashing import mix64
 #: Registers; base and rate of their scale.
 REGISTERS, BASE, RATE = 256, 1.001, 20.0
 #: The chance with which a pair at the threshold may escape all bands; how many of its standard errors below the
-#: threshold an estimate may be; classes of a block.
-ESCAPE, ERRORS, BLOCK = 3e-6, 5, 256
+#: threshold an estimate may be; classes of a block, and bytes of their sets.
+ESCAPE, ERRORS, BLOCK, BLOCK_BYTES = 3e-6, 5, 64, 4 << 20
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
@@ -138,19 +142,16 @@ def joint_estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.
     return (low + high) / 2
 
 
-def verified(ids: np.ndarray, block: np.ndarray, cross: bool, levels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A link for each join of classes whose sets overlap by percent; if cross, only of classes of different blocks."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+def likely(sizes: np.ndarray, levels: np.ndarray, part: np.ndarray, percent: int) -> tuple[list[int], list[int], list[float]]:
+    """The pairs of rows of different parts whose sets may overlap by percent, by size and likelihood, and their estimates."""
     ones, twos, rate = [], [], []
     floor = percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
-        j = j[fits & (block[j] != block[i])] if cross else j[fits]
+    for i in range(len(sizes) - 1):
+        j = np.arange(i + 1, len(sizes))
+        j = j[(100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (part[j] != part[i])]
         if not len(j):
             continue
-        same = (levels[j] == levels[i]).sum(axis=1)
-        j = j[same >= (floor - 0.04) * REGISTERS]
+        j = j[(levels[j] == levels[i]).sum(axis=1) >= (floor - 0.04) * REGISTERS]
         if len(j):
             more, less = (levels[i] > levels[j]).sum(axis=1), (levels[i] < levels[j]).sum(axis=1)
             got = joint_estimate(more, less, np.full(len(j), sizes[i], float), sizes[j].astype(float))
@@ -158,14 +159,23 @@ def verified(ids: np.ndarray, block: np.ndarray, cross: bool, levels: np.ndarray
             ones += [i] * len(j)
             twos += j.tolist()
             rate += got.tolist()
+    return ones, twos, rate
+
+
+def overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def joins(pairs: tuple[list[int], list[int], list[float]], parts: np.ndarray, holds: Callable[[int, int], bool]) -> list[int]:
+    """The numbers of the pairs that join parts not joined yet, the likeliest first, of those for which `holds`."""
+    ones, twos, rate = pairs
     forest, out = Forest(), []
-    for k in np.argsort(-np.array(rate), kind="stable"):
-        i, j = ones[k], twos[k]
-        if forest.root(i) != forest.root(j):
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (sizes[i] + sizes[j] - common):
-                forest.join(i, j)
-                out.append((int(ids[i]), int(ids[j])))
+    for k in np.argsort(-np.array(rate), kind="stable").tolist():
+        x, y = int(parts[ones[k]]), int(parts[twos[k]])
+        if forest.root(x) != forest.root(y) and holds(ones[k], twos[k]):
+            forest.join(x, y)
+            out.append(k)
     return out
 
 
@@ -173,6 +183,35 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def pairs_of(ids: np.ndarray, pairs: list[tuple[int, int]], rate: list[float]) -> pa.RecordBatch | None:
+    """hi, lo, rate of pairs of places in ids."""
+    if not pairs:
+        return None
+    at = ids[np.array(pairs)]
+    return pa.RecordBatch.from_arrays([pa.array(at.max(axis=1)), pa.array(at.min(axis=1)), pa.array(rate, pa.float64())], ["hi", "lo", "rate"])
+
+
+def in_blocks(rows: DataFrame, key: str, fn: Callable[[pa.Table, bool], pa.RecordBatch | None]) -> DataFrame:
+    """hi, lo, rate: fn on every pair of blocks of rows (key, class, n, data, part) that share a key, and on every block by itself.
+
+    fn gets the rows of both blocks, with their block's number, and whether these are two. Blocks hold BLOCK classes and
+    BLOCK_BYTES, by a hash of the class.
+    """
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("data")) / BLOCK_BYTES))
+    blocks = cut(rows.groupBy(key).agg(F.count("*").alias("k"), size.cast("int").alias("blocks")).where("k > 1").drop("k"))
+    placed = rows.join(small_enough(blocks, 12), key).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    keys = [key, "one", "two"]
+    dealt = dealt.select(*keys, "block", "class", "n", "part", "data").repartition(*keys).sortWithinPartitions(*keys, "class")
+
+    def run(batches):
+        for t in sorted_groups(batches, 3):
+            if t.num_rows > 1 and (got := fn(t, t.column("one")[0] != t.column("two")[0])) is not None:
+                yield got
+
+    return dealt.mapInArrow(run, "hi long, lo long, rate double")
+
+
 def digests(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two words that stand for each set."""
     ends = np.concatenate([[0], np.cumsum(counts)])
@@ -232,41 +271,60 @@ def linked_rows(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     banded = heads.mapInArrow(hashed, "band long, class long")
     shared = cut(banded.groupBy("band").agg(F.count("*").alias("k"), F.min("class").alias("head")).where("k > 1").select("band", "head"))
     near = banded.join(small_enough(shared, 16), "band").where("class <> head").select(F.col("class").alias("hi"), F.col("head").alias("lo")).distinct()
-    members = cut(with_roots(components(near)).withColumnRenamed("component", "cluster").join(classes, "class"))
-    blocks = cut(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    members = cut(members.join(small_enough(blocks, 12), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    clustered = cut(with_roots(components(near)).withColumnRenamed("component", "cluster").join(heads, "class").join(classes.select("class", "n"), "class"))
+
+    def maybe(t: pa.Table, cross: bool) -> pa.RecordBatch | None:
+        ids, levels = t.column("class").to_numpy(), np.stack([np.frombuffer(x, np.uint16) for x in t.column("data").to_pylist()])
+        block = t.column("block").to_numpy()
+        found = likely(t.column("n").to_numpy(), levels, block if cross else np.arange(len(ids)), percent)
+        keep = joins(found, np.arange(len(ids)), lambda i, j: True)
+        return pairs_of(ids, [(found[0][k], found[1][k]) for k in keep], [found[2][k] for k in keep])
+
+    # what may be linked, as trees of each pair of blocks: all that is likely is connected in them
+    trees = in_blocks(clustered.select("cluster", "class", "n", F.col("levels").alias("data"), F.lit(0).cast("long").alias("part")), "cluster", maybe)
+    trees = cut(trees)
+    groups = cut(with_roots(components(trees.select("hi", "lo"))).withColumnRenamed("component", "cluster"))
+    members = groups.join(classes, "class")
 
     def again(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat, counts = shingle_sets([t or "" for t in batch.column(0).to_pylist()], width)
-        d1, d2 = digests(flat, counts)
-        keep = (d1.view(np.int64) == np.asarray(batch.column(2))) & (d2.view(np.int64) == np.asarray(batch.column(3)))
         levels, ends = sketch(flat, counts), np.concatenate([[0], np.cumsum(counts)])
-        rows = np.flatnonzero(keep)
-        data = pa.array([levels[i].tobytes() + flat[ends[i] : ends[i + 1]].tobytes() for i in rows], pa.binary())
-        rest = [batch.column(k).take(pa.array(rows)) for k in (1, 4, 5, 6)]
-        return pa.RecordBatch.from_arrays([*rest, data], ["class", "cluster", "blocks", "block", "data"])
+        data = pa.array([levels[i].tobytes() + flat[ends[i] : ends[i + 1]].tobytes() for i in range(len(counts))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts), data], ["class", "cluster", "n", "data"])
+
+    rows = texts.join(small_enough(cut(members), 80), same_row(members, texts)).select("text", "class", "cluster").dropDuplicates(["class"])  # an id's repeated rows count once
+    sets = cut(map_texts(rows, "text", again, "class long, cluster long, n long, data binary"))
 
-    rows = texts.join(small_enough(members, 80), same_row(members, texts)).select("text", "class", "d1", "d2", "cluster", "blocks", "block")
-    sets = map_texts(rows, "text", again, "class long, cluster long, blocks int, block int, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "class", "block", "data")
+    # each class with the likeliest one before it
+    first = trees.groupBy("hi").agg(F.max(F.struct("rate", F.col("lo"))).alias("best")).select("hi", F.col("best.lo").alias("lo"))
+    two = first.join(sets.select(F.col("class").alias("hi"), F.col("data").alias("a")), "hi").join(sets.select(F.col("class").alias("lo"), F.col("data").alias("b")), "lo").select("hi", "lo", "a", "b")
 
     def compare(batches):
-        for t in sorted_groups(batches, 3):
-            ids = t.column("class").to_numpy()
-            _, at = np.unique(ids, return_index=True)  # an id's repeated rows count once
-            if len(at) < 2:
-                continue
-            data = t.column("data")
-            raw = [data[int(i)].as_py() for i in at]
-            levels = np.stack([np.frombuffer(x, np.uint16, REGISTERS) for x in raw])
-            found = verified(ids[at], t.column("block").to_numpy()[at], t.column("one")[0] != t.column("two")[0], levels, [np.frombuffer(x, np.uint64, offset=2 * REGISTERS) for x in raw], percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.int64()), pa.array([min(x) for x in found], pa.int64())], ["hi", "lo"])
-
-    keys = ["cluster", "one", "two"]
-    links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "hi long, lo long")
-    linked = cut(with_roots(components(cut(links))).join(classes.select("class", "least"), "class"))
+        read = lambda x: np.frombuffer(x.as_py(), np.uint64, offset=2 * REGISTERS)
+        for batch in batches:
+            hit = [overlap(read(a), read(b), percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["hi", "lo"]).filter(pa.array(hit, pa.bool_()))
+
+    sure = cut(two.mapInArrow(compare, "hi long, lo long"))
+    parts = cut(with_roots(components(sure)).withColumnRenamed("component", "part"))
+    placed = groups.join(small_enough(parts, 16), "class", "left").withColumn("part", F.coalesce("part", "class"))
+    several = placed.groupBy("cluster").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("cluster")
+    open_ones = cut(placed.join(small_enough(cut(several), 8), "cluster", "left_semi").select("class", "part"))
+
+    def verify(t: pa.Table, cross: bool) -> pa.RecordBatch | None:
+        ids, part, block = (t.column(c).to_numpy() for c in ("class", "part", "block"))
+        raw = t.column("data").to_pylist()
+        levels, own = np.stack([np.frombuffer(x, np.uint16, REGISTERS) for x in raw]), [np.frombuffer(x, np.uint64, offset=2 * REGISTERS) for x in raw]
+        found = likely(t.column("n").to_numpy(), levels, part, percent)
+        if cross:
+            keep = [k for k in range(len(found[0])) if block[found[0][k]] != block[found[1][k]]]
+            found = tuple([x[k] for k in keep] for x in found)
+        keep = joins(found, part, lambda i, j: overlap(own[i], own[j], percent))
+        return pairs_of(ids, [(found[0][k], found[1][k]) for k in keep], [found[2][k] for k in keep])
+
+    rest = in_blocks(sets.join(small_enough(open_ones, 16), "class"), "cluster", verify)
+    links = cut(sure.union(rest.select("hi", "lo")))
+    linked = cut(with_roots(components(links)).join(classes.select("class", "least"), "class"))
     names = cut(linked.groupBy("component").agg(F.min("least").alias("name")))
     linked = cut(linked.select("class", "component").join(small_enough(names, 16), "component"))
     of_class = classes.join(small_enough(linked, 24), "class", "left").select(*set_key, F.coalesce("component", "class").alias("group"), F.coalesce("name", "least").alias("name"))
