@@ -5,7 +5,8 @@ codewords are chosen by a beam search over the codebooks; the codes, the norm of
 residual are stored. A query is scored against a code by looking up its products with the codewords. Rows whose looked
 up score, with what their residual may plausibly add, reaches the query's k-th are reranked by their exact product.
 
-Queries and candidates meet in blocks of bounded size, each pair of blocks in a group of its own.
+Queries and candidates meet in blocks of bounded size, each pair of blocks in a group of its own; of a candidate only its
+code and two norms are sent there. The vectors themselves are fetched by id, once, for the rows that are left.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def build(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Codeboo
     if lengths is None:
         return rows.select("id", "v", F.lit(b"").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("rest")), None, 0
     dimension, n = lengths
-    rows = rows.where(F.size("v") == dimension)
+    rows = rows.where(F.size("v") == dimension).groupBy("id").agg(F.min("v").alias("v"))  # of an id's vectors the least one
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     part = rows.where(order < min(1.0, 1.5 * SAMPLE / n) * (1 << 30)).select("v", order.alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()
     books = fit(np.array([r[0] for r in part]))
@@ -133,28 +134,26 @@ def build(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, Codeboo
     return cut(rows.mapInArrow(encode, "id long, v array<double>, codes binary, norm double, rest double")), books, dimension
 
 
-def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, codes: np.ndarray, norm: np.ndarray, rest: np.ndarray, words: np.ndarray, k: int, distance: bool = False) -> tuple:
-    """query ids, candidate ids and exact scores: each query's k best of the block that the codes do not rule out."""
+def scan_block(q: np.ndarray, qid: np.ndarray, xid: np.ndarray, codes: np.ndarray, norm: np.ndarray, rest: np.ndarray, words: np.ndarray, k: int, distance: bool = False) -> tuple:
+    """query ids, candidate ids, looked up scores, and those with what the residual may add, of what may be among a query's k best of the block."""
     table = np.einsum("qd,mkd->mqk", q.astype(np.float32), words, optimize=True)
     reach = np.sqrt((q**2).sum(axis=1)) + (norm.max(initial=0) if distance else 0)
-    out: tuple[list, list, list] = ([], [], [])
-    slack = (ALLOWANCE / np.sqrt(x.shape[1]) * rest).astype(np.float32)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    slack = (ALLOWANCE / np.sqrt(q.shape[1]) * rest).astype(np.float32)
     for s in range(0, len(q), 256):
         looked = sum(t[s : s + 256][:, codes[:, j]] for j, t in enumerate(table))
         if distance:  # |q - y|^2 = |q|^2 - 2 (q.y - |y|^2 / 2), by the stored norm of y
             looked = looked - (norm**2 / 2).astype(np.float32)
         for i, score in enumerate(looked, start=s):
+            most = score + reach[i] * slack
             if len(xid) > k:
                 least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]  # one more, for the query itself
-                at = np.flatnonzero(score + reach[i] * slack >= least)
+                at = np.flatnonzero(most >= least)
             else:
                 at = np.arange(len(xid))
             at = at[xid[at] != qid[i]]
-            exact = -((x[at] - q[i]) ** 2).sum(axis=1) if distance else (x[at] * q[i]).sum(axis=1)
-            best = np.lexsort((xid[at], -exact))[:k]
-            out[0].append(np.full(len(best), qid[i]))
-            out[1].append(xid[at][best])
-            out[2].append(exact[best])
+            for column, x in zip(out, (np.full(len(at), qid[i]), xid[at], score[at], most[at]), strict=True):
+                column.append(x)
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
@@ -165,7 +164,7 @@ def nearest(vectors: DataFrame, k: int = 20, queries: Column | None = None, key:
 
     `queries` is a condition on the id, by default ids divisible by 20; candidates are all rows but those of the
     query's id, all of them if fewer than k. Nearest first, ties to the smaller id. Null, zero and non-finite vectors,
-    null ids, and vectors of another length than most take no part; rows that share an id count once. The codebooks
+    null ids, and vectors of another length than most take no part; rows that share an id count once, with the least vector. The codebooks
     are fitted on the driver to at most SAMPLE rows; every row is indexed. Lookup leaves rows out by probability
     (ALLOWANCE standard deviations of the residual's product): measured recall is in the README.
     """
@@ -178,28 +177,37 @@ def nearest(vectors: DataFrame, k: int = 20, queries: Column | None = None, key:
         n, m = index.count(), asked.count()
         groups, sides = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-        left = asked.select(F.lit(0).alias("role"), "id", "v", "codes", "norm", "rest", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(sides)).cast("int").alias("side")).withColumn("part", every(groups))
-        right = index.select(F.lit(1).alias("role"), "id", "v", "codes", "norm", "rest", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")).withColumn("side", every(sides))
+        none = F.lit(None)
+        left = asked.select(F.lit(0).alias("role"), "id", "v", none.cast("binary").alias("codes"), F.lit(0.0).alias("norm"), F.lit(0.0).alias("rest"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(sides)).cast("int").alias("side")).withColumn("part", every(groups))
+        right = index.select(F.lit(1).alias("role"), "id", none.cast("array<double>").alias("v"), "codes", "norm", "rest", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("part")).withColumn("side", every(sides))
         words = vectors.sparkSession.sparkContext.broadcast(books.words)
         columns = ["part", "side", "role", "id", "v", "codes", "norm", "rest"]
 
-        def search(batches):
+        def scan(batches):
             for t in sorted_groups(batches, 2):
                 role, ids = t.column("role").to_numpy(), t.column("id").to_numpy()
-                picks = []
-                for r in (0, 1):
-                    at = np.flatnonzero(role == r)
-                    _, first = np.unique(ids[at], return_index=True)
-                    picks.append(at[first])
+                picks = [np.flatnonzero(role == r) for r in (0, 1)]
                 if not len(picks[0]) or not len(picks[1]):
                     continue
-                x = matrix(t.column("v").combine_chunks(), dimension)
+                q = matrix(t.column("v").take(pa.array(picks[0])).combine_chunks(), dimension)
                 codes = np.frombuffer(b"".join(t.column("codes").take(pa.array(picks[1])).to_pylist()), np.uint8).reshape(len(picks[1]), -1)
                 norm, rest = (t.column(c).to_numpy()[picks[1]] for c in ("norm", "rest"))
-                a, b, c = search_block(x[picks[0]], ids[picks[0]], x[picks[1]], ids[picks[1]], codes, norm, rest, words.value, k, distance)
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(float))], ["query_id", "vec_id", "score"])
+                a, b, c, d = scan_block(q, ids[picks[0]], ids[picks[1]], codes, norm, rest, words.value, k, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(float)), pa.array(d.astype(float))], ["query_id", "vec_id", "looked", "most"])
 
         dealt = left.select(*columns).union(right.select(*columns)).repartition("part", "side").sortWithinPartitions("part", "side", "role", "id")
-        found = dealt.mapInArrow(search, schema)
+        scanned = cut(dealt.mapInArrow(scan, "query_id long, vec_id long, looked double, most double"))
+        nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("looked")))
+        least = scanned.select("query_id", "looked").withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("looked").alias("least"))
+        left_over = scanned.join(least, "query_id").where(F.col("most") >= F.col("least")).select("query_id", "vec_id")
+        both = left_over.join(index.select(F.col("id").alias("vec_id"), F.col("v").alias("x")), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+
+        def rerank(batches):
+            for batch in batches:
+                x, q = matrix(batch.column(2), dimension), matrix(batch.column(3), dimension)
+                exact = -((x - q) ** 2).sum(axis=1) if distance else (x * q).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact)], ["query_id", "vec_id", "score"])
+
+        found = both.select("query_id", "vec_id", "x", "q").mapInArrow(rerank, schema)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
