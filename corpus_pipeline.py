@@ -15,15 +15,26 @@ LEARN_FOLDS, LEFT_OUT = 4, 2
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no name of theirs can meet an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, learned from the labels of docs outside the held-out fold, accepts."""
     model = quality.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", LEARN_FOLDS, LEFT_OUT, quality.SAMPLE))
-    return quality.apply(docs, model).where(F.col("_quality") >= GOOD).drop("_quality")
+    return unpacked(quality.apply(packed(docs), model).where(F.col("_quality") >= GOOD), docs)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, lines of 20 characters or more that 3 documents share only in the last of them; n_chars follows."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    kept = unpacked(line_dedup.dedup_lines(packed(docs)), docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,26 +43,27 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Of a group's rows of that id one stays, the one of the largest set (then of the largest hash of the text, then the
     least row); rows of one id that are not alike are documents of their own.
     """
-    row = ["doc_id", "text_hash"]
-    found = cut(near_dup.linked_rows(docs))
+    row, own = ["doc_id", "text_hash"], packed(docs)
+    found = cut(near_dup.linked_rows(own))
     gone = cut(found.where(~F.col("kept")).select(*row).distinct())
-    left = docs.withColumn("text_hash", F.xxhash64("text")).join(small_enough(gone, 24), row, "left_anti")
+    left = own.withColumn("text_hash", F.xxhash64("text")).join(small_enough(gone, 24), row, "left_anti")
     groups = found.where("kept and doc_id is not null").select(*row, "n_shingles", F.coalesce("group", F.lit(-1)).alias("group"))
     twice = cut(groups.groupBy("doc_id", "group").agg(F.count("*").alias("k"), F.max(F.struct("n_shingles", "text_hash")).alias("best")).where("k > 1"))
     if not twice.isEmpty():
         rows = groups.join(small_enough(twice, 48), ["doc_id", "group"]).select(*row, (F.col("text_hash") == F.col("best.text_hash")).alias("best"))
         rows = cut(rows.distinct())
-        one = left.join(small_enough(rows.where("best").select(*row), 24), row, "left_semi").groupBy(*row).agg(F.min(F.struct(*docs.columns)).alias("r"))
-        left = left.join(small_enough(rows.select(*row), 24), row, "left_anti").select(docs.columns).unionByName(one.select("r.*"))
-    return left.select(docs.columns)
+        one = left.join(small_enough(rows.where("best").select(*row), 24), row, "left_semi").groupBy(*row).agg(F.min(F.struct(*own.columns)).alias("r"))
+        left = left.join(small_enough(rows.select(*row), 24), row, "left_anti").select(own.columns).unionByName(one.select("r.*"))
+    return unpacked(left, docs)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no ten words in a row of any test item, nor a whole shorter item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    own = packed(docs)
+    found = decontaminate.contamination(own, table(spark, sf_dir, "benchmark"))
     gone = small_enough(cut(found.where("n_hit > 0").select(*decontaminate.KEYS).distinct()), 32)
-    keyed = docs.select("*", *decontaminate.row_key(docs["doc_id"], docs["text"]))
-    return keyed.join(gone, decontaminate.KEYS, "left_anti").select(docs.columns)
+    keyed = own.select("*", *decontaminate.row_key(own["doc_id"], own["text"]))
+    return unpacked(keyed.join(gone, decontaminate.KEYS, "left_anti"), docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
