@@ -80,3 +80,12 @@ def test_unlike_rows_of_one_id_both_stay(spark):
     more = [(5, rows[0][1] + " more"), rows[0], (13, ""), (13, " "), (13, "some words")]
     got = corpus_pipeline.without_near_duplicates(spark, frame(spark, rows + more), SF)
     assert sorted((r.doc_id, len((r.text or "").split())) for r in got.collect()) == [(3, 60), (5, 61), (5, 90), (6, 90), (13, 0), (13, 2)]
+
+
+def test_columns_whose_names_clash(spark):
+    names = ["_quality", "_k1", "_k2", "_gone", "_maybe", "text_hash", "group", "n_shingles", "kept", "n_lines", "n_dropped", "n_hit", "items", "rest", "at", "a b"]
+    rows = spark.createDataFrame([(1, "some words of a text", *(f"{n} 1" for n in names)), (2, None, *(f"{n} 2" for n in names))], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _, f in corpus_pipeline.STAGES[:4]:
+        got = f(spark, rows, SF)
+        assert got.columns == rows.columns
+        assert all(r[n] == f"{n} {r.doc_id}" for r in got.collect() for n in names)
