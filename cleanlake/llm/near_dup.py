@@ -202,7 +202,9 @@ def in_blocks(rows: DataFrame, key: str, fn: Callable[[pa.Table, bool], pa.Recor
     placed = rows.join(small_enough(blocks, 12), key).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     keys = [key, "one", "two"]
-    dealt = dealt.select(*keys, "block", "class", "n", "part", "data").repartition(*keys).sortWithinPartitions(*keys, "class")
+    spark = rows.sparkSession  # a fixed number of tasks: a pair of blocks costs far more time than its bytes suggest
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = dealt.select(*keys, "block", "class", "n", "part", "data").repartition(tasks, *keys).sortWithinPartitions(*keys, "class")
 
     def run(batches):
         for t in sorted_groups(batches, 3):
