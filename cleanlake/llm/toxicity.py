@@ -196,15 +196,20 @@ class Kernel:
 
 def separate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
     """Weights, the last a constant, of the L2 support vector machine, by Newton steps on the rows inside the margin."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w, last = np.zeros(x.shape[1]), None
+    w, last, total = np.zeros(x.shape[1] + 1), None, weight.sum()
+    parts = [slice(s, s + 8192) for s in range(0, len(x), 8192)]  # in double precision only a part at once
+    with_one = lambda part: np.concatenate([x[part], np.ones((len(x[part]), 1))], axis=1).astype(np.float64)
     for _ in range(steps):
-        inside = y * (x @ w) < 1
+        inside = np.concatenate([y[p] * (with_one(p) @ w) < 1 for p in parts])
         if last is not None and (inside == last).all():
             break
-        a = x[inside] * weight[inside, None]
-        w = np.linalg.solve(a.T @ x[inside] / weight.sum() + ridge * np.eye(len(w)), a.T @ y[inside] / weight.sum())
-        last = inside
+        left, right = ridge * np.eye(len(w)), np.zeros(len(w))
+        for p in parts:
+            z = with_one(p)[inside[p]]
+            a = z * weight[p][inside[p], None] / total
+            left += a.T @ z
+            right += a.T @ y[p][inside[p]]
+        w, last = np.linalg.solve(left, right), inside
     return w
 
 
@@ -318,11 +323,12 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         return Model(weights, float(w[-1]), calibration)
 
     negative = [w for u in clean for w in windows(u) if len(w) >= ORDER]
-    below = kernel.of(negative) @ whiten
+    narrow = whiten.astype(np.float32)
+    below = kernel.of(negative) @ narrow
     positive = [w for u in lean[:LANDMARKS] for w in windows(u) if len(w) >= ORDER]  # the first guess; later rounds look at all toxic texts
-    now, hard = None, np.zeros((0, below.shape[1]))
+    now, hard = None, np.zeros((0, below.shape[1]), np.float32)
     for _ in range(ROUNDS):
-        x = np.concatenate([kernel.of(positive) @ whiten, below, hard])
+        x = np.concatenate([kernel.of(positive) @ narrow, below, hard])
         labels = np.concatenate([np.ones(len(positive)), -np.ones(len(below) + len(hard))])
         share = HARD if len(hard) else 0.0
         weight = np.concatenate([np.full(len(z), part / max(1, len(z))) for z, part in ((positive, 0.5), (below, 0.5 * (1 - share)), (hard, 0.5 * share))])
@@ -334,7 +340,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
         witness = sorted({u for u in best if score[u] > -0.5 and (seen[u][0] == 0 or odds.get(u, 0) > 1.5)})
         positive = [w for w in (now.best_window(u) for u in witness) if len(w) >= ORDER] or positive
         worst = [u for u in clean if score[u] > -0.8]  # counted once more, as negatives that are hard to tell
-        hard = kernel.of([w for u in worst for w in windows(u) if len(w) >= ORDER]) @ whiten if worst else hard
+        hard = kernel.of([w for u in worst for w in windows(u) if len(w) >= ORDER]) @ narrow if worst else hard
     now.calibration = logistic(Scorer(now).evidence([t for t, _ in rows]), y)
     return now
 
