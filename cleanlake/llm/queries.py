@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, line_dedup, near_dup, oracles, quality, secret_scan, toxicity
+from . import alignment, ann, bpe, chat, decontaminate, fill_in_middle, langid, line_dedup, near_dup, oracles, quality, secret_scan, token_counts, toxicity
 from .common import table
 
-RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+RANKS, PIECES, BYTE_LEVEL = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ann": op2_ann,
@@ -90,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_alignment": op12_alignment,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op5_secrets": oracles.secrets(secret_scan.KINDS, secret_scan.SCOPE),
@@ -97,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op7_near_dup": oracles.OP7,
     "op9_chat": oracles.OP9,
     "op10_line_dedup": oracles.OP10,
+    "op11_fill_in_middle": oracles.OP11,
 }

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows_of(frame):
     names = sorted(frame.columns)
-    return names, sorted(map(tuple, frame[names].astype(str).values.tolist()))
+    return names, sorted(map(tuple, frame[names].convert_dtypes().astype(str).values.tolist()))
 
 
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
