@@ -5,14 +5,15 @@ from __future__ import annotations
 import functools
 import ipaddress
 import re
-import unicodedata
-from urllib.parse import urljoin, urlsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .urls import parse_url
+
 #: Fixed ranges of IPv4 addresses that are not safe to connect to, first and last.
 UNSAFE_V4 = (
     ("0.0.0.0", "0.0.0.0"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
@@ -95,87 +96,6 @@ def listed_hosts(rows: DataFrame, host: str, listed: DataFrame, target: str, how
     return rows.join(hits, rows[host] == hits["_h"], "left_anti")
 
 
-def _ascii(host: str) -> str | None:
-    host = unicodedata.normalize("NFKC", host).lower()
-    try:
-        return host if host.isascii() else host.encode("idna").decode()
-    except UnicodeError:
-        return None
-
-
-def _number(part: str) -> int | None:
-    """A part of an IPv4 address: decimal, octal after 0, hexadecimal after 0x; None if it is none."""
-    base = 16 if part[:2] in ("0x", "0X") else 8 if len(part) > 1 and part[0] == "0" else 10
-    digits = part[2:] if base == 16 else part[1:] if base == 8 else part
-    try:
-        return int(digits, base) if digits.isascii() and "_" not in digits else None
-    except ValueError:
-        return 0 if digits == "" and base == 16 else None
-
-
-def _v4(host: str) -> str | None:
-    """The dotted form of a host that ends in a number, of one to four parts; "" if it ends in none, None if it is no address."""
-    parts = host.split(".")
-    if len(parts) > 1 and parts[-1] == "":
-        parts.pop()
-    if not parts[-1] or not (parts[-1].isdigit() or re.fullmatch(r"0[xX][0-9a-fA-F]*", parts[-1])):
-        return ""
-    numbers = [_number(p) for p in parts]
-    if len(parts) > 4 or None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
-        return None
-    whole = sum(n << 8 * (3 - i) for i, n in enumerate(numbers[:-1])) + numbers[-1]
-    return ".".join(str(whole >> s & 255) for s in (24, 16, 8, 0))
-
-
-def _without_dots(path: str) -> str:
-    """path without . and .. segments, also where they are percent-encoded."""
-    out: list[str] = []
-    parts = path.split("/")[1:]
-    for i, p in enumerate(parts):
-        plain = re.sub("(?i)%2e", ".", p)
-        if plain == "..":
-            del out[-1:]
-        elif plain != ".":
-            out.append(p)
-            continue
-        if i == len(parts) - 1:
-            out.append("")
-    return "/" + "/".join(out)
-
-
-@functools.lru_cache(maxsize=1 << 16)  # a page's links repeat
-def parse_url(value: str, base: str) -> tuple | None:
-    """href, scheme, host, original host and its kind of value, joined to base; None if it cannot be."""
-    text = unicodedata.normalize("NFC", value).strip("".join(map(chr, range(33)))).translate({9: None, 10: None, 13: None})
-    if re.fullmatch(r"(?i)(?:https?|ftp|wss?):[/\\]*", text):
-        return None
-    try:
-        scheme = text.partition(":")[0].lower()
-        joined = urljoin(base, text.replace("\\", "/") if scheme in ("http", "https") or ":" not in text else text)
-        parts = urlsplit(joined)
-    except ValueError:
-        return None
-    if parts.scheme not in ("http", "https", "ftp", "ws", "wss"):
-        return (joined, parts.scheme, None, None, None) if parts.scheme else None
-    raw = parts.netloc.rpartition("@")[2]
-    original = raw if raw.startswith("[") else raw.partition(":")[0]
-    if raw.startswith("["):
-        original = raw.partition("]")[0] + "]"
-    host = original.lower() if original.startswith("[") else _ascii(original)
-    if not host or any(c in host for c in " #%/:<>?@\\^|") and not host.startswith("["):
-        return None
-    if (number := "" if host.startswith("[") else _v4(host)) is None:
-        return None
-    host = number or host
-    kind = "ipv6" if host.startswith("[") else "ipv4" if number else "domain"
-    port = raw[len(original) :]
-    if port in (":", ":80" if parts.scheme == "http" else ":443" if parts.scheme == "https" else ":"):
-        port = ""
-    tail = _without_dots(parts.path or "/") + ("?" + parts.query if "?" in joined.partition("#")[0] else "") + ("#" + parts.fragment if "#" in joined else "")
-    user = parts.netloc[: len(parts.netloc) - len(raw)]
-    return f"{parts.scheme}://{user}{host}{port}{tail}", parts.scheme, host, original, kind
-
-
 @F.pandas_udf(URL)
 def resolve_url(value: pd.Series, base: pd.Series) -> pd.DataFrame:
     """href, scheme, host, host_original, host_kind of value joined to base; all null if it cannot be joined."""
@@ -187,51 +107,67 @@ def is_idn(url: Column) -> Column:
     return F.coalesce((url["host_kind"] == "domain") & (url["host"] != url["host_original"]), F.lit(False))
 
 
-_MASK = (1 << 64) - 1
-
-
-def _rounds(v: list[int], n: int) -> None:
-    rot = lambda x, b: (x << b | x >> (64 - b)) & _MASK
+def _rounds(v: list[np.ndarray], n: int) -> None:
+    rot = lambda x, b: (x << np.uint64(b)) | (x >> np.uint64(64 - b))
     for _ in range(n):
-        v[0] = (v[0] + v[1]) & _MASK
+        v[0] = v[0] + v[1]
         v[1] = rot(v[1], 13) ^ v[0]
         v[0] = rot(v[0], 32)
-        v[2] = (v[2] + v[3]) & _MASK
+        v[2] = v[2] + v[3]
         v[3] = rot(v[3], 16) ^ v[2]
-        v[0] = (v[0] + v[3]) & _MASK
+        v[0] = v[0] + v[3]
         v[3] = rot(v[3], 21) ^ v[0]
-        v[2] = (v[2] + v[1]) & _MASK
+        v[2] = v[2] + v[1]
         v[1] = rot(v[1], 17) ^ v[2]
         v[2] = rot(v[2], 32)
 
 
-def siphash13(data: bytes) -> int:
-    """SipHash-1-3 with a zero key (Aumasson and Bernstein, 2012)."""
-    v = [0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573]
-    whole = len(data) // 8 * 8
-    words = [int.from_bytes(data[i : i + 8], "little") for i in range(0, whole, 8)]
-    words.append(int.from_bytes(data[whole:], "little") | (len(data) & 255) << 56)
-    for m in words:
-        v[3] ^= m
-        _rounds(v, 1)
-        v[0] ^= m
-    v[2] ^= 255
-    _rounds(v, 3)
-    return v[0] ^ v[1] ^ v[2] ^ v[3]
+def siphash13(rows: list[bytes]) -> np.ndarray:
+    """SipHash-1-3 with a zero key (Aumasson and Bernstein, 2012) of each row; rows of as many words are hashed together."""
+    out, words = np.zeros(len(rows), np.uint64), np.array([len(r) // 8 for r in rows], np.int64)
+    for n in np.unique(words):
+        at = np.flatnonzero(words == n)
+        padded = b"".join(rows[i].ljust(8 * (n + 1) - 1, b"\0") + bytes([len(rows[i]) & 255]) for i in at)
+        blocks = np.frombuffer(padded, "<u8").reshape(len(at), n + 1).T
+        v = [np.full(len(at), x, np.uint64) for x in (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)]
+        for m in blocks:
+            v[3] = v[3] ^ m
+            _rounds(v, 1)
+            v[0] = v[0] ^ m
+        v[2] = v[2] ^ np.uint64(255)
+        _rounds(v, 3)
+        out[at] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
+
+
+def url_names(hrefs: list[str]) -> dict[str, str]:
+    """Sixteen hexadecimal digits that name each URL."""
+    distinct = list(set(hrefs))
+    return dict(zip(distinct, (f"{h:016x}" for h in siphash13([h.encode() + b"\xff" for h in distinct]).tolist()), strict=True))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def url_name(href: str) -> str:
+    return url_names([href])[href]
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def local_file(href: str, default: str) -> str:
-    """The local name of a URL; default is the extension of those without one."""
+def file_extension(href: str, default: str) -> str:
+    """The letters and digits after the last dot of the last path segment, or default."""
     last = re.sub(r"[?#].*$", "", href, flags=re.S).split("://", 1)[-1].partition("/")[2].rpartition("/")[2]
-    found = "".join(c for c in last.rpartition(".")[2] if c.isalnum()) if "." in last else ""
-    return f"sub_{siphash13(href.encode() + b'\xff'):016x}.{found or default}"
+    return "".join(c for c in last.rpartition(".")[2] if c.isalnum()) if "." in last else ""
+
+
+def local_files(hrefs: list[str], defaults: list[str]) -> list[str]:
+    """The local name of each URL; its default is the extension of one without any."""
+    names = url_names(hrefs)
+    return [f"sub_{names[h]}.{file_extension(h, d) or d}" for h, d in zip(hrefs, defaults, strict=True)]
 
 
 @F.pandas_udf(T.StringType())
 def url_hash(href: pd.Series) -> pd.Series:
     """Sixteen hexadecimal digits that name a URL."""
-    return href.map(lambda x: f"{siphash13(x.encode() + b'\xff'):016x}", na_action="ignore")
+    return href.map(url_names(href.dropna().tolist()), na_action="ignore").astype(object)
 
 
 def extension(href: Column, default: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import resources, tokens
+from ..operators import html, resources
 from . import hosts
-
+from .markup import START, Scan
 
 
 def _quoted(pattern: str) -> str:
@@ -16,24 +18,35 @@ def _quoted(pattern: str) -> str:
 def statements() -> list[str]:
     """CREATE statements of the functions that need no Python."""
     js, entity, active, stream = (_quoted(p) for p in (resources.JS, resources.ENTITY, resources.PDF_ACTIVE, resources.PDF_STREAM))
-    segment, open_tag, name = (_quoted(p) for p in (tokens.SEGMENT, tokens.OPEN_TAG, tokens.TAG_NAME))
+    uri = _quoted(html.DANGEROUS_URI)
     return [
         f"is_dangerous_js(script STRING) RETURNS BOOLEAN RETURN regexp_like(script, {js})",
-        "is_dangerous_uri(value STRING) RETURNS BOOLEAN RETURN regexp_like(value, '(?i)^\\\\s*+(?:data|javascript):')",
+        f"is_dangerous_uri(value STRING) RETURNS BOOLEAN RETURN regexp_like(value, {uri})",
         f"without_entities(text STRING, replacement STRING) RETURNS STRING RETURN regexp_replace(text, {entity}, replacement)",
         f"has_active_pdf(data BINARY) RETURNS BOOLEAN RETURN regexp_like(regexp_replace(decode(data, 'ISO-8859-1'), {stream}, ''), {active})",
         "host_matches(host STRING, target STRING) RETURNS BOOLEAN RETURN host = target OR endswith(host, '.' || target)",
-        f"html_tags(html STRING) RETURNS TABLE (pos INT, tag STRING, head STRING) RETURN SELECT pos, lower(regexp_extract(head, {name}, 1)), head FROM "
-        f"(SELECT pos, regexp_extract(raw, {open_tag}, 1) AS head FROM (SELECT posexplode(regexp_extract_all(html, {segment}, 0)) AS (pos, raw))) WHERE head <> ''",
     ]
 
 
+@F.udtf(returnType="pos long, tag string, head string")
+class HtmlTags:
+    """The start tags of a document in order, names lower-cased, and as they stand."""
+
+    def eval(self, html: str | None):  # noqa: ANN201
+        data = (html or "").encode()
+        scan = Scan(data, np.array([len(data)]))
+        for n, i in enumerate(scan.real[scan.kind[scan.real] == START].tolist()):
+            yield n, data[scan.name[0, i] : scan.name[1, i]].decode().lower(), data[scan.at[i] : scan.end[i]].decode()
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the helpers known to spark.sql() in this session; gives their names."""
     names = []
     for s in statements():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {s}")
         names.append(s.partition("(")[0])
+    spark.udtf.register("html_tags", HtmlTags)
+    names.append("html_tags")
     helpers = {"resolve_url": hosts.resolve_url, "is_safe_ip": hosts.is_safe_ip, "url_hash": hosts.url_hash, "strip_jpeg": resources.strip_jpeg, "strip_png": resources.strip_png}
     for name, f in helpers.items():
         spark.udf.register(name, f)

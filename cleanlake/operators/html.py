@@ -1,12 +1,15 @@
 """The policy over HTML: what is done to each document, the rewritten documents, and the resources that they name.
 
-Documents become segments with their attributes; rules are predicates and host-list tests over these rows; the order in
-which a reader of the document would meet the violations decides which one ends it. Only the resolution of URLs and the
-rewriting of style sheets leave the JVM. A document's rows meet again by its key alone, under the shuffle that ordered them.
+Documents become rows of those start tags that a rule may concern, with their attributes and places; rules are predicates
+and host-list tests over these rows; the order in which a reader of the document would meet the violations decides which
+one ends it. What is changed meets its document again by its key alone, under the shuffle that dealt it, and is spliced
+into the document's bytes; what lies between never leaves them. Reading tags, resolving URLs and rewriting style sheets
+leave the JVM, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import running_totals
-from ..functions.hosts import URL, is_idn, local_file, matches_any, parse_url
+from ..functions.arrays import let
+from ..functions.hosts import URL, is_idn, local_files, matches_any
+from ..functions.urls import parse_url
 from . import resources
 from .policy import ATTRIBUTE_BREAKERS, LEVELS, Policy, ReplaceRule
-from .tokens import COARSE, OPEN_TAG, TAG_NAME, as_bytes, as_text, attribute_list, span_list
+from .tokens import TAG, as_bytes, span_list, tag_list
 
 #: Fixed table: the attribute of each element that holds a URL, and the default extension if it is a resource.
 URL_ATTRIBUTES = (
@@ -29,6 +33,12 @@ URL_ATTRIBUTES = (
 )
 LOCAL_BASE = "https://localhost/"
 _BREAKERS = f"[{ATTRIBUTE_BREAKERS}]"
+#: Tags that a rule may concern by their name.
+MATTER = frozenset((*(t for t, _, _ in URL_ATTRIBUTES), "base", "meta"))
+#: What may stand before a scheme: white space of any kind, and the control characters that URLs are trimmed of.
+_BEFORE = r"[\x00-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: data: and javascript:, also with the tabs and line ends that URLs lose.
+DANGEROUS_URI = rf"(?i)^{_BEFORE}*+(?:" + "|".join(r"[\t\n\r]*+".join(w) for w in ("data:", "javascript:")) + ")"
 
 
 @dataclass(frozen=True)
@@ -45,7 +55,7 @@ def is_handler(name: Column) -> Column:
 
 
 def is_dangerous_uri(value: Column) -> Column:
-    return value.rlike(r"(?i)^\s*+(?:data|javascript):")
+    return value.rlike(DANGEROUS_URI)
 
 
 def replaced(rule: ReplaceRule, keep: Column) -> Column:
@@ -68,12 +78,13 @@ RESOLVED = T.StructType([*URL.fields, T.StructField("local", T.StringType())])
 @F.arrow_udf(RESOLVED)
 def _resolve(value: pa.Array, base: pa.Array, ext: pa.Array) -> pa.Array:
     """value joined to base, and its local name if ext is given; null fields where there is no value, or none that can be joined."""
-    out: tuple[list, ...] = ([], [], [], [], [], [])
-    for v, b, e in zip(value.to_pylist(), base.to_pylist(), ext.to_pylist(), strict=True):
-        got = None if v is None else parse_url(v, b)
-        for column, x in zip(out, (None,) * 6 if got is None else (*got, None if e is None else local_file(got[0], e)), strict=True):
-            column.append(x)
-    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in out], RESOLVED.names)
+    each = [None if v is None else parse_url(v, b) for v, b in zip(value.to_pylist(), base.to_pylist(), strict=True)]
+    columns = list(zip(*(g or (None,) * 5 for g in each), strict=True)) or [()] * 5
+    local, exts = [None] * len(each), ext.to_pylist()
+    some = [i for i, (g, e) in enumerate(zip(each, exts, strict=True)) if g is not None and e is not None]
+    for i, name in zip(some, local_files([each[i][0] for i in some], [exts[i] for i in some]), strict=True):
+        local[i] = name
+    return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (*columns, local)], RESOLVED.names)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -95,6 +106,7 @@ def _first(attrs: Column, name: Column | str) -> Column:
     return F.get(F.filter(attrs, lambda a: a["name"] == name), F.lit(0))
 
 
+EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
 ACTIONS = "array<struct<pos:bigint,step:int,sub:int,level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>"
 
 
@@ -122,20 +134,35 @@ def until_error(actions: Column) -> Column:
     return F.when(stop > 0, F.slice(actions, 1, stop.cast("int"))).otherwise(actions)
 
 
-def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str | Column = LOCAL_BASE) -> DataFrame:
+def spliced(doc: Column, edits: Column) -> Column:
+    """doc (binary) as text, with the text of each of edits (start, end, text: in order, apart) in place of its bytes."""
+
+    def one(d: Column) -> Column:
+        part = lambda begin, end: F.substring(d, (begin + 1).cast("int"), (end - begin).cast("int")).cast("string")
+        before = lambda i: F.coalesce(F.get(edits, i - 1)["end"], F.lit(0))
+        pieces = F.transform(edits, lambda e, i: F.concat(part(before(i), e["start"]), e["text"]))
+        return F.concat(F.array_join(pieces, ""), part(before(F.size(edits)), F.octet_length(d).cast("long")))
+
+    return F.when(F.size(edits) == 0, doc.cast("string")).otherwise(let(doc, one))
+
+
+def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", html: str = "html", base: str | Column = LOCAL_BASE, deal: bool = True) -> DataFrame:
     """key, output, actions array, subresources array: one row for each document; see sanitize_html. base may be a column of documents.
 
-    Documents are dealt by the key; their segments are exploded and gathered without another shuffle. What an element asks
-    for is worked out on its segment's row, with the base that holds there; a document's own rows carry what its entities are.
+    Documents are dealt first, as a table of pages may have few partitions, and a document costs far more time than its bytes
+    suggest; a table in many even partitions needs no dealing, which spares a shuffle of its documents. What an element asks for
+    is worked out on its tag's row, with the base that holds there; a row before the first holds the document's bytes. A
+    document's rows are in one task, and are gathered there before they are shuffled by the key.
     """
-    spark = documents.sparkSession  # several tasks a core: a document costs far more time than its bytes suggest
+    spark = documents.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     start = F.lit(base) if isinstance(base, str) else base
-    docs = documents.select(F.col(key), F.col(html).alias("_text"), start.alias("_start")).repartition(parts, key).select(key, "_start", as_bytes(F.col("_text")).alias("_html"))
-    docs = docs.select(key, "_start", "_html", declared_entities(F.col("_html"), policy).alias("_declared"), resources.without_entities(F.col("_html"), policy.xml_entities, as_byte_text).alias("_clean"))
-    cut = docs.select(key, "_start", F.col("_html").isNotNull().alias("_some"), "_declared", F.regexp_extract_all("_clean", F.lit(COARSE), F.lit(0)).alias("_raw"))
-    tag, head, body, at = (F.col(c) for c in ("tag", "head", "body", "at"))
-    is_base = lambda raw: raw.rlike(r"(?i)^<base[\s/>]")
+    docs = documents.select(F.col(key), F.col(html).alias("_text"), start.alias("_start"))
+    docs = docs.repartition(parts, key) if deal else docs
+    declared = F.when(resources.has_entity(F.col("_text")), declared_entities(as_bytes(F.col("_text")), policy))
+    docs = docs.select(key, "_start", F.col("_text").isNotNull().alias("_some"), declared.alias("_declared"), resources.without_entities(F.col("_text"), policy.xml_entities).alias("_clean"))
+    docs = docs.select("*", tag_list(MATTER)(F.col("_clean")).alias("_tags"))
+    tag, body, at = (F.col(c) for c in ("tag", "body", "at"))
 
     # attributes, one by one
     drop_handlers, edit_uris = policy.event_handlers.replace is not None, policy.dangerous_uris.replace is not None
@@ -145,37 +172,26 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         uri = is_dangerous_uri(a["value"]) & ~(handler & F.lit(drop_handlers))
         changed = (handler & F.lit(drop_handlers)) | (uri & F.lit(edit_uris))
         now = F.when(handler & F.lit(drop_handlers), replaced(policy.event_handlers, a["value"])).when(uri, replaced(policy.dangerous_uris, a["value"])).otherwise(a["value"])
-        return F.struct(*(a[c].alias(c) for c in ("name", "raw_name", "raw_value", "value", "name_at")), handler.alias("handler"), uri.alias("uri"), changed.alias("changed"), now.alias("now"))
-
-    def judged_list(name: Column, open_tag: Column, begin: Column) -> Column:
-        return F.transform(attribute_list(name, open_tag, begin), judged)
-
-    none = F.lit(None).cast("array<string>")
-    heads = F.filter("_raw", is_base)
-    hrefs = F.transform(heads, lambda raw: _first(judged_list(F.lit("base"), F.regexp_extract(raw, OPEN_TAG, 1), F.lit(0)), "href")["now"])
-    cut = cut.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs).otherwise(none)).withColumn("_bases", _bases(F.col("_hrefs"), F.col("_start")))
-    flags = F.when(F.col("_hrefs").isNotNull(), running_totals(F.transform("_raw", lambda raw: is_base(raw).cast("int"))))
-    cut = cut.select(key, "_start", "_some", "_declared", "_raw", "_bases", running_totals(F.transform("_raw", F.length)).alias("_ends"), flags.alias("_seen"))
-
-    def placed(raw: Column, i: Column) -> Column:
-        before = F.get("_bases", (F.get("_seen", i - 1) - 1).cast("int"))
-        return F.struct(i.alias("pos"), raw.alias("raw"), (F.get("_ends", i) - F.length(raw)).alias("at"), before.alias("base"))
-
-    rows = cut.select(key, "_start", "_some", "_declared", F.explode_outer(F.transform("_raw", placed)).alias("s"))
-    declared = F.when(F.coalesce(F.col("s.pos"), F.lit(0)) == 0, F.col("_declared"))
-    rows = rows.select(key, "_some", declared.alias("_declared"), "s.pos", "s.at", F.coalesce("s.base", "_start").alias("_base"), F.coalesce("s.raw", F.lit("")).alias("raw"), F.regexp_extract("s.raw", OPEN_TAG, 1).alias("_open"))
+        return F.struct(*(a[c].alias(c) for c in ("name", "raw_name", "raw_value", "value", "name_at", "name_end")), handler.alias("handler"), uri.alias("uri"), changed.alias("changed"), now.alias("now"))
+
+    heads = F.filter("_tags", lambda t: t["tag"] == "base")
+    hrefs = F.transform(heads, lambda t: _first(F.transform(t["attrs"], judged), "href")["now"])
+    docs = docs.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs)).withColumn("_bases", _bases(F.col("_hrefs"), F.col("_start")))
+    kind = T._parse_datatype_string(TAG)
+    whole = F.struct(*(F.lit(-1 if f.name == "pos" else None).cast(f.dataType).alias(f.name) for f in kind if f.name != "doc"), F.col("_clean").cast("binary").alias("doc"))
+    elements = F.concat(F.array(whole), F.coalesce("_tags", F.array().cast(f"array<{TAG}>")))
+    rows = docs.select(key, "_start", "_some", "_declared", "_bases", F.explode(elements).alias("t"))
     rows = rows.select(
-        key, "_some", "_declared", "pos", "at", "_base", F.when(F.col("_open") != "", F.lower(F.regexp_extract("_open", TAG_NAME, 1))).alias("tag"), F.when(F.col("_open") != "", F.col("_open")).otherwise(F.col("raw")).alias("head"),
-        F.expr("if(_open <> '', substring(raw, length(_open) + 1), '')").alias("body"),
+        key, F.when(F.col("t.pos") < 0, F.col("_some")).alias("_some"), F.when(F.col("t.pos") < 0, F.col("_declared")).alias("_declared"), "t.*",
+        F.coalesce(F.get("_bases", (F.col("t.bases") - 1).cast("int")), "_start").alias("_base"),
     )
-    rows = rows.withColumn("attrs", judged_list(tag, head, at))
+    rows = rows.withColumn("attrs", F.transform("attrs", judged))
     attrs = F.col("attrs")
 
     def by_attribute(a: Column, i: Column) -> Column:
-        end = a["name_at"] + F.length(a["raw_name"])
         return F.array(
-            _action(a["handler"], policy.event_handlers, "event_handlers", a["value"], a["name_at"], end, 1, i * 2),
-            _action(a["uri"], policy.dangerous_uris, "dangerous_uris", F.lower(a["value"]), a["name_at"], end, 1, i * 2 + 1),
+            _action(a["handler"], policy.event_handlers, "event_handlers", a["value"], a["name_at"], a["name_end"], 1, i * 2),
+            _action(a["uri"], policy.dangerous_uris, "dangerous_uris", F.lower(a["value"]), a["name_at"], a["name_end"], 1, i * 2 + 1),
         )
 
     # the element's URL
@@ -188,7 +204,7 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     found = _first(attrs, url_name)
     rows = rows.withColumn("_u", F.when(~(found["changed"] & (found["now"] == "")), found))
     u = F.col("_u")
-    sheet_text = F.when((tag == "style") & (body != ""), as_text(body))
+    sheet_text = F.when(tag == "style", body)
     rows = rows.select("*", _resolve(u["now"], F.col("_base"), ext).alias("_url"), resources.sanitize_css_udf(policy)(sheet_text, F.col("_base")).alias("_css"))
     url = F.col("_url")
     joined, idn, denied = url["href"].isNotNull(), is_idn(url), matches_any(url["host"], policy.denied)
@@ -215,9 +231,9 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     # refreshes, inline scripts and styles
     refresh = F.coalesce((tag == "meta") & F.exists(attrs, lambda a: (a["name"] == "http-equiv") & (F.lower(a["value"]) == "refresh")), F.lit(False))
     js = F.coalesce((tag == "script") & body.rlike(resources.JS), F.lit(False))
-    hit, js_at = F.regexp_extract("body", resources.JS, 0), at + F.length("head") + F.regexp_instr("body", F.lit(resources.JS)) - 1
-    css, shift = F.col("_css"), at + F.length("head")
-    start, end = u["name_at"], u["name_at"] + F.length(u["raw_name"])
+    hit, js_at = F.regexp_extract("body", resources.JS, 0), F.col("open_end") + F.octet_length(F.substr("body", F.lit(1), F.regexp_instr("body", F.lit(resources.JS)) - 1))
+    css, shift = F.col("_css"), F.col("open_end")
+    start, end = u["name_at"], u["name_end"]
     by_element = F.array(
         _action(joined & idn, policy.idn, "idn", u["now"], start, end, 2, F.lit(0)),
         _action(joined & denied, policy.dangerous_domains, "dangerous_domains", u["now"], start, end, 2, F.lit(1)),
@@ -233,39 +249,49 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     odd = F.exists(attrs, lambda a: a["handler"] | a["uri"])
     of_attributes = F.when(odd, F.flatten(F.transform(attrs, by_attribute))).otherwise(F.slice(by_element, 1, 0))
     acts = F.filter(F.concat(of_attributes, by_element, by_css), lambda x: x.isNotNull())
-    acts = F.transform(acts, lambda x: F.struct(F.col("pos").cast("long").alias("pos"), *(x[n].alias(n) for n in ("step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"))))
+    acts = F.transform(acts, lambda x: F.struct(F.col("pos").alias("pos"), *(x[n].alias(n) for n in ("step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"))))
+    any_ = lambda *tests: functools.reduce(lambda x, y: x | y, (F.coalesce(t, F.lit(False)) for t in tests))
+    some = any_(odd, joined & (idn | denied), bad_script, bad_frame, refresh, js, F.size(css["actions"]) > 0)
+    acts = F.when(some, acts).otherwise(F.array().cast(ACTIONS))
 
-    # the segment again
+    # what takes the place of the tag and of its text
     touched = F.exists(attrs, lambda a: a["changed"]) | F.col("_set").isNotNull()
     is_url = lambda a: F.coalesce(F.col("_set").isNotNull() & (a["name_at"] == u["name_at"]), F.lit(False))
     final = lambda a: F.when(is_url(a), F.col("_set")).otherwise(a["now"])
     edited = lambda a: a["changed"] | is_url(a)
     raw = lambda a: F.when(a["raw_value"] == "", a["raw_name"]).otherwise(F.concat(a["raw_name"], F.lit("="), a["raw_value"]))
     kept = F.filter(attrs, lambda a: ~(edited(a) & (final(a) == "")))
-    inner = F.array_join(F.transform(kept, lambda a: F.when(edited(a), F.concat(a["raw_name"], F.lit('="'), as_bytes(final(a)), F.lit('"'))).otherwise(raw(a))), " ")
-    closing = F.when(head.rlike(r"/>$"), " />").otherwise(">")
-    open_tag = F.concat(F.regexp_extract("head", r"^<[A-Za-z][^\s/>]*", 0), F.when(inner != "", F.concat(F.lit(" "), inner)).otherwise(""), closing)
-    text = F.coalesce(as_bytes(css["output"]), body)
+    quoted = lambda x: F.concat(F.lit('="'), F.replace(x, F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    inner = F.array_join(F.transform(kept, lambda a: F.when(edited(a), F.concat(a["raw_name"], quoted(final(a)))).otherwise(raw(a))), " ")
+    closing = F.when(F.col("closing"), " />").otherwise(">")
+    open_tag = F.concat(F.lit("<"), F.col("raw_tag"), F.when(inner != "", F.concat(F.lit(" "), inner)).otherwise(""), closing)
+    text = F.when(css["output"] != body, css["output"])
     if policy.dangerous_js.replace is not None:
         text = F.when(js, F.lit(policy.dangerous_js.replace)).otherwise(text)
-    piece = F.concat(F.when(touched, open_tag).otherwise(head), text)
-    if policy.meta_refresh.replace == "":
-        piece = F.when(refresh, text).otherwise(piece)
+    gone = refresh & F.lit(policy.meta_refresh.replace == "")
+    edits = F.array(
+        F.when(gone, F.struct(at.alias("start"), F.col("open_end").alias("end"), F.lit("").alias("text"))).when(touched, F.struct(at.alias("start"), F.col("open_end").alias("end"), open_tag.alias("text"))),
+        F.when(text.isNotNull(), F.struct(F.col("open_end").alias("start"), F.col("body_end").alias("end"), text.alias("text"))),
+    )
+    edits = F.when(gone | touched | text.isNotNull(), F.filter(edits, lambda e: e.isNotNull())).otherwise(F.array().cast(EDITS))
     named = F.when(F.col("_local").isNotNull(), F.array(F.struct(url["href"].alias("url"), F.col("_local").alias("local_name"))))
     named = F.coalesce(named, css["subresources"], F.array().cast("array<struct<url:string,local_name:string>>"))
-    made = rows.select(key, "_some", "_declared", F.coalesce("pos", F.lit(0)).alias("pos"), piece.alias("piece"), acts.alias("acts"), named.alias("named"))
-    some = F.filter(F.collect_list(F.struct("pos", "piece")), lambda x: x["piece"] != "")
-    one = F.when((F.size("acts") > 0) | (F.size("named") > 0), F.struct("pos", "acts", "named"))
-    whole = made.groupBy(key).agg(F.max("_some").alias("_some"), F.max("_declared").alias("_declared"), F.array_sort(some).alias("pieces"), F.array_sort(F.collect_list(one)).alias("all"))
+    made = rows.select(key, "pos", "_some", "_declared", "doc", edits.alias("edits"), acts.alias("acts"), named.alias("named"))
+    all_of = lambda c: F.array_sort(F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c)))))
+    one = F.when(F.size("named") > 0, F.struct("pos", "named"))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    whole = made.groupBy(key).agg(first("_some"), first("_declared"), first("doc"), all_of("edits").alias("_edits"), all_of("acts").alias("_acts"), F.array_sort(F.collect_list(one)).alias("_names"))
     whole = whole.select(
         key,
         "_some",
-        as_text(F.array_join(F.transform("pieces", lambda x: x["piece"]), "")).alias("_out"),
-        F.concat(F.coalesce("_declared", F.array().cast(ACTIONS)), F.array_sort(F.flatten(F.transform("all", lambda x: x["acts"])))).alias("_all"),
-        F.flatten(F.transform("all", lambda x: x["named"])).alias("_named"),
+        "doc",
+        "_edits",
+        F.concat(F.coalesce("_declared", F.array().cast(ACTIONS)), "_acts").alias("_all"),
+        F.flatten(F.transform("_names", lambda x: x["named"])).alias("_named"),
     )
     good = F.col("_some") & ~failed(F.col("_all"))
-    return whole.select(key, F.when(good, F.col("_out")).alias("output"), until_error(F.col("_all")).alias("actions"), F.when(good, F.col("_named")).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"))
+    out = F.when(good, spliced(F.col("doc"), F.col("_edits")))
+    return whole.select(key, out.alias("output"), until_error(F.col("_all")).alias("actions"), F.when(good, F.col("_named")).otherwise(F.array().cast("array<struct<url:string,local_name:string>>")).alias("subresources"))
 
 
 def listed_actions(rows: DataFrame, key: str) -> DataFrame:
@@ -278,7 +304,7 @@ def sanitize_html(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     """The policy applied to whole documents.
 
     Entity declarations are dealt with first, in the whole document; offsets are bytes of what they leave. Then, in
-    order of segments: each attribute (handlers, then dangerous URIs), then what the element asks for. The first
+    order of tags: each attribute (handlers, then dangerous URIs), then what the element asks for. The first
     action of level error ends its document: later ones are dropped, the output is null and no resource is named. Null
     documents have a null output and no action; a document's rows are found by key, which must be unique and not null.
     """

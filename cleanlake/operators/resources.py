@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hosts import parse_url, siphash13
+from ..functions.hosts import url_name
+from ..functions.urls import parse_url
 from .policy import Policy, ReplaceRule
 
 #: Fixed patterns.
@@ -195,7 +196,7 @@ def _css(text: str, base: str, policy: Policy) -> tuple:
                 ext = "".join(c for c in url[0].partition("?")[0].partition("#")[0].rpartition("/")[2].rpartition(".")[2] if c.isalnum())
                 last_part = url[0].partition("?")[0].partition("#")[0].rpartition("/")[2]
                 ext = ext if "." in last_part and ext else "".join(c for c in clean.rpartition(".")[2].partition("?")[0] if c.isalnum()) or "bin"
-                new = f"sub_{siphash13(url[0].encode() + b'\xff'):016x}.{ext}"
+                new = f"sub_{url_name(url[0])}.{ext}"
                 found.append((url[0], new))
         if rule is not None:
             kind, r = rule

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cleanlake.functions import hosts
+from cleanlake.functions import hosts, urls
 from cleanlake.operators import resources as R
 from cleanlake.operators.policy import Policy, ReplaceRule
 
@@ -82,7 +82,7 @@ def test_local_names(spark, url, name):
 
 
 def test_urls():
-    p = hosts.parse_url
+    p = urls.parse_url
     assert p("http://googlé.com", "https://h/")[:4] == ("http://xn--googl-fsa.com/", "http", "xn--googl-fsa.com", "googlé.com")
     assert p("../c?d#e", "https://h/a/b/x")[0] == "https://h/a/c?d#e" and p("//o.org/x", "https://h/")[2] == "o.org"
     assert p("рф", "https://h/a")[0].startswith("https://h/") and p("https://", "https://h/") is None
