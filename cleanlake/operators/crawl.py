@@ -110,29 +110,89 @@ def claimed_queue(found: DataFrame, visited: DataFrame, policy: Policy, depth: i
     return fresh.withColumn("nth", nth).withColumn("status", _queue_status(policy, depth))
 
 
-def enqueue(found: DataFrame, visited: DataFrame, policy: Policy, depth: int = 1, carried: DataFrame | None = None) -> DataFrame:
+#: Named URLs of sources that may go beyond their budget that one task settles at once.
+SETTLED = 1 << 20
+
+
+def _settled(block: DataFrame, budget: int) -> DataFrame:
+    """source_idx, url: what each source of block, one after the other, asks for or would ask for; what an earlier one took is left out.
+
+    block (source_idx, seq, url, before) holds all that its sources name, and few enough rows for one task.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        taken: set[str] = set()
+        now, left = None, 0
+        for batch in batches:
+            keep = []
+            for i, (s, u, before) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("source_idx", "url", "before")), strict=True)):
+                if s != now:
+                    now, left = s, budget - before
+                if u in taken:
+                    continue
+                keep.append(i)
+                if left > 0:
+                    taken.add(u)
+                left -= 1
+            yield batch.take(pa.array(keep, pa.int64())).select(["source_idx", "url"])
+
+    ordered = block.select("source_idx", "seq", "url", "before").repartition(1).sortWithinPartitions("source_idx", "seq", "url")
+    kinds = dict(block.dtypes)
+    return ordered.select("source_idx", "url", "before").mapInArrow(run, f"source_idx {kinds['source_idx']}, url string")
+
+
+def enqueue(found: DataFrame, visited: DataFrame, policy: Policy, depth: int = 1, carried: DataFrame | None = None, settled: int = SETTLED) -> DataFrame:
     """found not visited yet, with nth (its number in its source) and status: fetch, over_budget, too_deep.
 
     As if the sources came one after the other: a URL goes to the first source that names it and is in budget; each
-    source before that one has it over_budget. carried (source_idx, requests) has what earlier rounds counted. Every
-    round hands on the URLs that go beyond a budget: as many rounds as there are sources at worst, one if none goes beyond.
+    source before that one has it over_budget. carried (source_idx, requests) has what earlier rounds counted.
+
+    A source that names no more than its budget takes all that is left to it, so that nothing a later source does with
+    these URLs matters: they are settled by a minimum. Only URLs of sources that may go beyond their budget depend on the order;
+    if they share none, a number within each source settles them. Those that do share some are settled in
+    their order, `settled` rows at a time in one task each, whatever chains they form.
     """
     rest = [c for c in found.columns if c not in ("source_idx", "url", "seq")]
-    fresh = found.join(visited.select("url"), "url", "left_anti").groupBy("source_idx", "url").agg(F.min(F.struct("seq", *rest)).alias("_r"))
+    fresh = found.join(visited.select("url").distinct(), "url", "left_anti").groupBy("source_idx", "url").agg(F.min(F.struct("seq", *rest)).alias("_r"))
     before = found.select("source_idx").limit(0).withColumn("requests", F.lit(0)) if carried is None else carried
-    fresh = fresh.select("source_idx", "url", "_r.*").join(before, "source_idx", "left").withColumn("_before", F.coalesce("requests", F.lit(0))).drop("requests")
-    fresh = cut(fresh)
-    nth = F.col("_before") + F.row_number().over(W.partitionBy("source_idx").orderBy("seq", "url"))
-    over = F.col("nth") > policy.max_subresources.value
-    refused = fresh.select("source_idx", "url").limit(0)
-    while True:
-        claim = fresh.join(refused, ["source_idx", "url"], "left_anti").groupBy("url").agg(F.min("source_idx").alias("source_idx"))
-        asked = fresh.join(claim.unionByName(refused), ["source_idx", "url"], "left_semi").withColumn("nth", nth.cast("int"))
-        asked = cut(asked)
-        now = cut(asked.where(over).select("source_idx", "url"))
-        if now.join(refused, ["source_idx", "url"], "left_anti").isEmpty():
-            return asked.drop("_before").select(*found.columns, "nth").withColumn("status", _queue_status(policy, depth))
-        refused = now
+    fresh = fresh.select("source_idx", "url", "_r.*").join(before, "source_idx", "left").withColumn("before", F.coalesce("requests", F.lit(0))).drop("requests")
+    budget, whole = policy.max_subresources.value, cut(fresh)
+    alive, many = cut(whole.select("source_idx", "seq", "url", "before")), None
+    for _ in range(3):  # what light sources take makes more sources light
+        marked = alive.withColumn("_heavy", F.count("*").over(W.partitionBy("source_idx")) > budget - F.col("before"))
+        least = marked.groupBy("url").agg(F.min(F.when(~F.col("_heavy"), F.col("source_idx"))).alias("_light"))
+        alive = cut(marked.join(least, "url").where(F.col("_light").isNull() | (F.col("source_idx") <= F.col("_light"))).drop("_light"))
+        count = alive.count()
+        if many == count:
+            break
+        many, alive = count, alive.drop("_heavy")
+    alive = alive if "_heavy" in alive.columns else alive.withColumn("_heavy", F.count("*").over(W.partitionBy("source_idx")) > budget - F.col("before"))
+    heavy = alive.where("_heavy").drop("_heavy")
+    shared = heavy.groupBy("url").agg(F.count("*").alias("_k")).where("_k > 1").select("url")
+    knotted = cut(heavy.join(shared, "url", "left_semi").select("source_idx").distinct())
+    asked = heavy.join(knotted, "source_idx", "left_anti").select("source_idx", "url")
+    tied = cut(heavy.join(knotted, "source_idx", "left_semi"))
+    while not tied.isEmpty():
+        sizes = tied.groupBy("source_idx").count()
+        ranged = sizes.withColumn("_to", F.sum("count").over(W.orderBy("source_idx").rowsBetween(W.unboundedPreceding, 0))) if sizes.count() <= settled else None
+        if ranged is None:  # more sources than a task should number: the first by quantile, which are fewer rows than `settled`
+            edge = sizes.approxQuantile("source_idx", [min(1.0, settled / (4.0 * tied.count()))], 0.0)[0]
+            names = sizes.where(F.col("source_idx") <= edge).select("source_idx")
+        else:
+            names = ranged.where((F.col("_to") <= settled) | (F.col("_to") == F.col("count"))).select("source_idx")
+        block = tied.join(names, "source_idx", "left_semi")
+        done = cut(_settled(block, budget))
+        asked = asked.unionByName(done)
+        nth = F.row_number().over(W.partitionBy("source_idx").orderBy("seq", "url"))
+        taken = done.join(tied, ["source_idx", "url"]).withColumn("_n", F.col("before") + nth).where(F.col("_n") <= budget).select("url")
+        tied = cut(tied.join(names, "source_idx", "left_anti").join(taken, "url", "left_anti"))
+    nth = F.col("before") + F.row_number().over(W.partitionBy("source_idx").orderBy("seq", "url"))
+    asked = cut(asked.join(whole, ["source_idx", "url"]).withColumn("nth", nth.cast("int")))
+    taken = asked.where(F.col("nth") <= budget).select("url").distinct()
+    claim = alive.where("not _heavy").join(taken, "url", "left_anti").groupBy("url").agg(F.min("source_idx").alias("source_idx"))
+    light = whole.join(claim, ["source_idx", "url"], "left_semi").withColumn("nth", nth.cast("int"))
+    return cut(asked.select(*found.columns, "nth").unionByName(light.select(*found.columns, "nth"))).withColumn("status", _queue_status(policy, depth))
 
 
 def budget_actions(queued: DataFrame, policy: Policy, depth: int = 1) -> DataFrame:
@@ -202,7 +262,8 @@ def answers(asked: DataFrame, responses: DataFrame, policy: Policy, hops: DataFr
 
     refused is the type of what ended the request before its body: a violation of level error, of the URL, of one of its
     redirects (hops: chain, hop_no, url) or of its host, which has no safe address in dns (host, ip); `failed` without a
-    response or with a status other than 2xx. size is the declared content_length, if known, or that of the body.
+    response or with a status other than 2xx. size is the declared content_length, if known, or that of the body. Of several
+    responses of a URL the least counts: one of status 2xx first, then by status and by the other columns in order.
     """
     rows = asked.withColumn("_url", resolve_url(F.col("url"), F.lit("https://localhost/"))).withColumn("broken", connection_violations(F.col("_url"), policy))
     if dns is not None:
@@ -216,25 +277,28 @@ def answers(asked: DataFrame, responses: DataFrame, policy: Policy, hops: DataFr
         told = redirect_actions(hops, policy).withColumn("_n", F.lit(0)).join(first, "chain").groupBy("url").agg(F.array_sort(F.collect_list(one)).alias("_told"))
         told = told.select("url", F.transform("_told", lambda x: F.struct(x["type"].alias("type"), x["level"].alias("level"))).cast(VIOLATIONS).alias("_told"))
         rows = rows.join(told, "url", "left").withColumn("broken", until_error(F.concat("broken", F.coalesce("_told", F.array().cast(VIOLATIONS))))).drop("_told")
-    rows = rows.drop("_url").join(responses, "url", "left")
+    least = F.struct(~F.coalesce(F.col("status_code").between(200, 299), F.lit(False)), "status_code", *(c for c in responses.columns if c not in ("url", "status_code")))
+    one = responses.groupBy("url").agg(F.min(least).alias("_r"))
+    rows = rows.drop("_url").join(one.select("url", *(F.col(f"_r.{c}").alias(c) for c in responses.columns if c != "url")), "url", "left")
     lost = F.col("data").isNull() | ~F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
     rows = rows.withColumn("refused", F.coalesce(refusal(F.col("broken")), F.when(lost, "failed")))
     size = F.greatest(F.length("data"), F.col("content_length")) if "content_length" in responses.columns else F.length("data")
     return rows.withColumn("size", F.when(F.col("refused").isNull(), size).otherwise(0).cast("long"))
 
 
-def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
     """source_idx, depth, seq array<bigint>, url, local_name, status, type, violations, violation, output of all resources that the seeds lead to.
 
     seeds: source_idx, seq, url, local_name. responses: url, status_code, content_type, data and, if known, the declared
     content_length, which counts before the body does; URLs without a response fail. hops and dns are those of answers().
     Style sheets lead to further resources one level deeper, for max_resource_depth rounds at most; seq is the path from
     the seed. Requests and bytes of a source are counted over all levels; a URL over budget is not visited, so that a
-    later level may ask for it. Every round is kept (cut) before the next one, so that plans do not grow with the depth.
+    later level may ask for it. visited (url) is not asked for at all: the inputs themselves. Every round is kept (cut) before the
+    next one, so that plans do not grow with the depth.
     """
     kind = dict(seeds.dtypes)["seq"]
     found = seeds if kind.startswith("array") else seeds.withColumn("seq", F.array(F.col("seq").cast("long")))
-    visited, out, requests, spent = None, None, None, None
+    visited, out, requests, spent = None if visited is None else visited.select("url"), None, None, None
     for depth in range(1, policy.max_resource_depth.value + 1):
         seen = visited if visited is not None else found.select("url").limit(0)
         queued = cut(enqueue(found, seen, policy, depth, requests))

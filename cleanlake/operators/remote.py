@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hosts import resolve_url
 from .crawl import VIOLATIONS, answers, crawl, violation
-from .html import ACTIONS, sanitize_rows, until_error
+from .html import ACTIONS, LOCAL_BASE, sanitize_rows, until_error
 from .local import lossy_text
 from .policy import LEVELS, Policy
 
@@ -52,10 +53,15 @@ def sanitize_pages(urls: DataFrame, responses: DataFrame, policy: Policy, hops:
     )
 
 
-def fetch_subresources(named: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
-    """The resources that sanitized inputs name (source_idx, seq, url, local_name), crawled; nothing if the policy fetches none."""
+def fetch_subresources(named: DataFrame, responses: DataFrame, policy: Policy, hops: DataFrame | None = None, dns: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
+    """The resources that sanitized inputs name (source_idx, seq, url, local_name), crawled; nothing if the policy fetches none.
+
+    inputs (url) are the pages that were asked for themselves, which no page's resources ask for again.
+    """
     asked = named if policy.fetch_sub_resources else named.limit(0)
-    return crawl(asked.withColumn("seq", F.col("seq").cast("long")), responses, policy, hops, dns)
+    if inputs is not None:
+        inputs = inputs.select(resolve_url(F.col("url"), F.lit(LOCAL_BASE))["href"].alias("url")).where("url is not null")
+    return crawl(asked.withColumn("seq", F.col("seq").cast("long")), responses, policy, hops, dns, inputs)
 
 
 def resource_actions(crawled: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-from cleanlake.operators import crawl, report
+import random
+
+import pytest
+
+from cleanlake.operators import crawl, remote, report
 from cleanlake.operators.policy import LimitRule, Policy
 
 
@@ -65,3 +69,54 @@ def test_verdicts_rates_and_reports(spark):
     assert packed == {"a": 2, "b": 1, "c": 0, "d": 1, "e": 0}
     lines = [r.line for r in report.log_lines(actions, "file", "warn").orderBy("seq").collect()]
     assert lines[0].endswith("...") and lines[1] == "[ERROR] x: o" and len(lines) == 2
+
+
+def in_turn(found, visited, budget, carried):
+    """Sources one after the other: what each asks for in vain, and what it gets."""
+    visited, out, counts = set(visited), [], dict(carried)
+    for source in sorted({s for s, _, _ in found}):
+        once = {}
+        for _, seq, url in sorted(x for x in found if x[0] == source):
+            once.setdefault(url, seq)
+        for url, _ in sorted(once.items(), key=lambda x: (x[1], x[0])):
+            if url not in visited:
+                counts[source] = counts.get(source, 0) + 1
+                ok = counts[source] <= budget
+                out.append((source, url, counts[source], "fetch" if ok else "over_budget"))
+                if ok:
+                    visited.add(url)
+    return out
+
+
+@pytest.mark.parametrize("settled", [1, 7, 1 << 20])
+def test_claims_are_those_of_sources_in_turn(spark, settled):
+    rnd = random.Random(settled)
+    for n, urls, budget in ((12, 9, 2), (15, 40, 3), (6, 6, 5)):
+        found = [(rnd.randrange(n), k, f"u{rnd.randrange(urls)}") for k in range(5 * n)]
+        carried = {s: rnd.randrange(budget + 2) for s in range(0, n, 3)}
+        frame = spark.createDataFrame(found, "source_idx long, seq long, url string")
+        seen = spark.createDataFrame([("u0",), ("u0",)], "url string")
+        before = spark.createDataFrame(list(carried.items()), "source_idx long, requests int")
+        got = crawl.enqueue(frame, seen, Policy(max_subresources=LimitRule(budget)), carried=before, settled=settled).collect()
+        assert sorted((r.source_idx, r.url, r.nth, r.status) for r in got) == sorted(in_turn(found, ["u0"], budget, carried))
+
+
+def test_chains_of_sources_need_no_round_each(spark):
+    """Every source names one URL more than it may have, and the last of them is the first of the next source."""
+    n = 2000
+    found = [(s, k, f"u{5 * s + k}") for s in range(n) for k in range(6)]
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    queued = crawl.enqueue(spark.createDataFrame(found, "source_idx long, seq long, url string"), spark.createDataFrame([], "url string"), Policy())
+    assert len(jobs()) < 80  # also those of adaptive stages
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = queued.groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in got} == {"fetch": 5 * n, "over_budget": n}
+
+
+def test_one_response_of_a_url_counts_and_inputs_are_not_fetched_again(spark):
+    url = "https://h.org/a.css"
+    responses = spark.createDataFrame([(url, 200, "text/css", b"b{}"), (url, 200, "text/css", b"a{}"), (url, 500, "text/css", b"0"), ("https://h.org/p", 200, "text/css", b"c{}")], "url string, status_code int, content_type string, data binary")
+    named = spark.createDataFrame([(0, 1, url, "a"), (0, 2, "https://h.org/p", "p")], "source_idx long, seq long, url string, local_name string")
+    got = remote.fetch_subresources(named, responses, Policy(), inputs=spark.createDataFrame([("https://H.org/./p",)], "url string")).collect()
+    assert [(r.url, r.status, bytes(r.output)) for r in got] == [(url, "fetched", b"a{}")]
