@@ -231,7 +231,6 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     # refreshes, inline scripts and styles
     refresh = F.coalesce((tag == "meta") & F.exists(attrs, lambda a: (a["name"] == "http-equiv") & (F.lower(a["value"]) == "refresh")), F.lit(False))
     js = F.coalesce((tag == "script") & body.rlike(resources.JS), F.lit(False))
-    hit, js_at = F.regexp_extract("body", resources.JS, 0), F.col("open_end") + F.octet_length(F.substr("body", F.lit(1), F.regexp_instr("body", F.lit(resources.JS)) - 1))
     css, shift = F.col("_css"), F.col("open_end")
     start, end = u["name_at"], u["name_end"]
     by_element = F.array(
@@ -240,7 +239,10 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         _action(bad_script, policy.dangerous_scripts, "dangerous_scripts", F.coalesce(url["host"], u["now"]), start, end, 2, F.lit(2)),
         _action(bad_frame, policy.dangerous_origins, "dangerous_origins", url["href"], start, end, 2, F.lit(2)),
         _action(refresh, policy.meta_refresh, "meta_refresh", F.lit("refresh"), at, at, 2, F.lit(3)),
-        _action(js, policy.dangerous_js, "dangerous_js", F.concat(hit, F.lit("..)")), js_at, js_at + F.length(hit), 3, F.lit(0)),
+    )
+    by_js = F.transform(
+        F.when(js, resources.js_hits(body, policy.dangerous_js)).otherwise(F.array().cast(resources.HITS)),
+        lambda h, i: _action(F.lit(True), policy.dangerous_js, "dangerous_js", h["text"], F.col("open_end") + h["start"], F.col("open_end") + h["end"], 3, i),
     )
     by_css = F.transform(
         F.coalesce(css["actions"], F.array().cast("array<struct<level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")),
@@ -248,7 +250,7 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     )
     odd = F.exists(attrs, lambda a: a["handler"] | a["uri"])
     of_attributes = F.when(odd, F.flatten(F.transform(attrs, by_attribute))).otherwise(F.slice(by_element, 1, 0))
-    acts = F.filter(F.concat(of_attributes, by_element, by_css), lambda x: x.isNotNull())
+    acts = F.filter(F.concat(of_attributes, by_element, by_js, by_css), lambda x: x.isNotNull())
     acts = F.transform(acts, lambda x: F.struct(F.col("pos").alias("pos"), *(x[n].alias(n) for n in ("step", "sub", "level", "type", "original", "replacement", "loc_start", "loc_end"))))
     any_ = lambda *tests: functools.reduce(lambda x, y: x | y, (F.coalesce(t, F.lit(False)) for t in tests))
     some = any_(odd, joined & (idn | denied), bad_script, bad_frame, refresh, js, F.size(css["actions"]) > 0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import resources
-from .html import LOCAL_BASE, sanitize_rows
+from .html import LOCAL_BASE, sanitize_rows, until_error
 from .policy import LEVELS, Policy
 
 ACTIONS = "array<struct<pos:bigint,step:int,sub:int,level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>"
@@ -29,12 +29,11 @@ def lossy_text(data: Column) -> Column:
     return F.make_valid_utf8(data.cast("string"))
 
 
-def _one(when: Column, level: str, kind: str, original: Column, replacement: str | None) -> Column:
-    made = F.struct(
-        F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step"), F.lit(0).alias("sub"), F.lit(level).alias("level"), F.lit(kind).alias("type"), original.cast("string").alias("original"),
-        F.lit(None if level == "error" else replacement).cast("string").alias("replacement"), F.lit(None).cast("long").alias("loc_start"), F.lit(None).cast("long").alias("loc_end"),
-    )
-    return F.when(when, F.array(made)).otherwise(F.array()).cast(ACTIONS)
+def _told(hits: Column, level: str, kind: str, replacement: str | None) -> Column:
+    """An action for each of the hits (resources.HITS)."""
+    none = F.lit(None if level == "error" else replacement).cast("string")
+    one = lambda h, i: F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), F.lit(level).alias("level"), F.lit(kind).alias("type"), h["text"].alias("original"), none.alias("replacement"), h["start"].alias("loc_start"), h["end"].alias("loc_end"))
+    return F.coalesce(F.transform(hits, one).cast(ACTIONS), F.array().cast(ACTIONS))
 
 
 def sanitize_files(files: DataFrame, policy: Policy, key: str = "source_idx") -> SanitizedFiles:
@@ -47,16 +46,13 @@ def sanitize_files(files: DataFrame, policy: Policy, key: str = "source_idx") ->
     pages = pages.select(key, F.encode("output", "UTF-8").alias("output"), F.col("actions").cast(ACTIONS).alias("actions"), F.col("subresources").cast(RESOURCES).alias("subresources"))
     rest = files.where(~page).select(key, "kind", "data", lossy_text(F.col("data")).alias("text"))
     rest = rest.withColumn("_css", resources.sanitize_css_udf(policy)(F.when(F.col("kind") == "css", F.col("text")), F.lit(LOCAL_BASE)))
-    bad_js = (F.col("kind") == "js") & resources.is_dangerous_js(F.col("text"))
-    bad_pdf = (F.col("kind") == "pdf") & resources.has_active_pdf(F.col("data"))
-    hit = F.regexp_extract(F.regexp_replace(F.decode("data", "ISO-8859-1"), resources.PDF_STREAM, ""), resources.PDF_ACTIVE, 0)
     css = F.transform(
         F.coalesce("_css.actions", F.array().cast("array<struct<level:string,type:string,original:string,replacement:string,loc_start:bigint,loc_end:bigint>>")),
         lambda a, i: F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), *(a[c].alias(c) for c in ("level", "type", "original", "replacement", "loc_start", "loc_end"))),
     ).cast(ACTIONS)
-    script = _one(bad_js, policy.dangerous_js.level, "dangerous_js", F.concat(F.regexp_extract("text", resources.JS, 0), F.lit("..)")), policy.dangerous_js.replace)
-    acts = F.concat(css, script, _one(bad_pdf, policy.pdf_active_content, "pdf_active_content", hit, None))
-    rest = rest.withColumn("actions", F.filter(acts, lambda a: a.isNotNull()))
+    script = _told(F.when(F.col("kind") == "js", resources.js_hits(F.col("text"), policy.dangerous_js)), policy.dangerous_js.level, "dangerous_js", policy.dangerous_js.replace)
+    active = _told(F.when(F.col("kind") == "pdf", resources.pdf_hits(F.col("data"))), policy.pdf_active_content, "pdf_active_content", None)
+    rest = rest.withColumn("actions", until_error(F.concat(css, script, active)))
     blocked = F.exists("actions", lambda a: a["level"] == LEVELS[-1])
     out = F.when(F.col("kind") == "css", F.encode("_css.output", "UTF-8")).when(F.col("kind") == "js", F.encode(resources.sanitize_js(F.col("text"), policy.dangerous_js), "UTF-8")).otherwise(F.col("data"))
     named = F.when(~blocked, F.col("_css.subresources")).cast(RESOURCES)

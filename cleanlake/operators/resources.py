@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import match_ranges
 from ..functions.hosts import url_name
 from ..functions.urls import parse_url
 from .policy import Policy, ReplaceRule
@@ -66,6 +67,30 @@ def has_active_pdf(data: Column) -> Column:
     return F.regexp_replace(F.decode(data, "ISO-8859-1"), PDF_STREAM, "").rlike(PDF_ACTIVE)
 
 
+#: What a hit in a PDF is told as.
+PDF_NAMES = {"/JS": "JavaScript (/JS)", "/JavaScript": "JavaScript", "/AA": "Additional Action (/AA)", "/OpenAction": "OpenAction"}
+HITS = "array<struct<text:string,start:bigint,end:bigint>>"
+
+
+def pdf_hits(data: Column) -> Column:
+    """HITS: the active entries of PDF bytes outside their streams, in order, with their ranges in the whole file.
+
+    Streams and entries are matches of one pattern, so that the bytes of the streams count in the places of what follows them.
+    """
+    text = F.decode(data, "ISO-8859-1")
+    found = match_ranges(text, f"{PDF_STREAM}|{PDF_ACTIVE}", lambda m, begin, end: F.struct(m.alias("text"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+    hits = F.filter(found, lambda x: F.startswith(x["text"], F.lit("/")))
+    told = F.transform(hits, lambda x: F.struct(F.coalesce(_lookup(PDF_NAMES, x["text"]), x["text"]).alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.when(has_active_pdf(data), told).otherwise(F.array().cast(HITS))
+
+
+def js_hits(script: Column, rule: ReplaceRule) -> Column:
+    """HITS: the dangerous calls of a script with their ranges of bytes; but for a rule that keeps scripts, the first alone."""
+    found = match_ranges(F.decode(F.encode(script, "UTF-8"), "ISO-8859-1"), JS, lambda m, begin, end: F.struct(F.concat(m, F.lit("..)")).alias("text"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+    every = rule.replace is None and rule.level != "error"
+    return F.when(is_dangerous_js(script), found if every else F.slice(found, 1, 1)).otherwise(F.array().cast(HITS))
+
+
 def mime_clean(content_type: Column) -> Column:
     bare = F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
     return F.when(bare == "image/jpg", "image/jpeg").otherwise(bare)
