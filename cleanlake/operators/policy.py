@@ -7,6 +7,9 @@ import tomllib
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 LEVELS = ("ignore", "trace", "info", "warn", "error")
 #: Fixed set of characters that no attribute value may bring in.
 ATTRIBUTE_BREAKERS = " \n\r\t\x0c/>="
@@ -44,9 +47,19 @@ class ReplaceRule:
 
 @dataclass(frozen=True)
 class LimitRule:
+    """The most that is allowed, and what going beyond it is logged as. An error ends what went beyond."""
+
     value: int
     level: str = "error"
 
+    def exceeded(self, value: Column | str) -> Column:
+        """Whether value goes beyond the limit; null counts as nothing."""
+        return F.coalesce((F.col(value) if isinstance(value, str) else value) > self.value, F.lit(False))
+
+    def ends(self, value: Column | str) -> Column:
+        """Whether value goes beyond a limit that ends what does."""
+        return self.exceeded(value) if self.level == "error" else F.lit(False)
+
     @classmethod
     def parse(cls, value: Any, default: int) -> LimitRule:
         """A value, a level, a pair of both, or a table with `value` and `level`."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hosts import resolve_url
@@ -31,7 +32,7 @@ def sanitize_pages(urls: DataFrame, responses: DataFrame, policy: Policy, hops:
     must be unique and not null.
     """
     asked = answers(urls.select("source_idx", "url"), responses, policy, hops, dns)
-    large = F.col("size") > policy.max_bytes.value
+    large = policy.max_bytes.exceeded("size")
     other = F.col("content_type").isNotNull() & ~F.contains(F.col("content_type"), F.lit("text/html"))
     told = F.filter(F.array(violation(large, "max_bytes", policy.max_bytes.level), violation(other, "mismatched_mime", "error")), lambda v: v.isNotNull()).cast(VIOLATIONS)
     asked = asked.withColumn("broken", F.when(F.col("refused").isNull(), until_error(F.concat("broken", told))).otherwise(F.col("broken")))
@@ -64,11 +65,13 @@ def fetch_subresources(named: DataFrame, responses: DataFrame, policy: Policy, h
     return crawl(asked.withColumn("seq", F.col("seq").cast("long")), responses, policy, hops, dns, inputs)
 
 
+def numbered_resources(crawled: DataFrame) -> DataFrame:
+    """crawled with sub, the number of each resource in its source, from 1."""
+    return crawled.withColumn("sub", F.row_number().over(W.partitionBy("source_idx").orderBy("depth", "seq")))
+
+
 def resource_actions(crawled: DataFrame) -> DataFrame:
     """source_idx, sub (the resource's number in its source), url, n, level, type of what each crawled resource broke, with its refusal."""
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("source_idx").orderBy("depth", "seq"))
     odd = F.when(F.col("status").isin("failed", "too_deep", "over_budget"), F.array(F.struct(F.col("status").alias("type"), F.lit(LEVELS[-1]).alias("level"))).cast(VIOLATIONS))
     told = F.concat("violations", F.coalesce(odd, F.array().cast(VIOLATIONS)))
-    return crawled.withColumn("sub", nth).select("source_idx", "sub", "url", F.posexplode(told).alias("n", "v")).select("source_idx", "sub", "url", "n", "v.level", "v.type")
+    return numbered_resources(crawled).select("source_idx", "sub", "url", F.posexplode(told).alias("n", "v")).select("source_idx", "sub", "url", "n", "v.level", "v.type")

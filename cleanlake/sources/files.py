@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.crawl import cut
+
+#: Bytes of the numbers of files that are broadcast, at most.
+NUMBERS = 64 << 20
+
 
 def kind_of(path):  # noqa: ANN001, ANN201
     """What a local file is read as, by its extension: pdf, css, js, and html for all else."""
@@ -16,16 +21,38 @@ def kind_of(path):  # noqa: ANN001, ANN201
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
     """source_idx, input, kind, data of every file below the paths; a file is named once for each path that leads to it.
 
-    source_idx follows the order of the paths, then of the files' names. Files are listed and read by tasks.
+    source_idx follows the order of the paths, then of the files' names. Files are listed and read by tasks. Names alone are
+    put in order, by ranges; their numbers, 32 bytes a file, come to the contents by a broadcast up to NUMBERS bytes
+    (beyond it, two million files, contents are shuffled to them).
     """
     rows = None
     for i, path in enumerate(paths):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         part = found.select(F.lit(i).alias("given"), F.col("path").alias("input"), kind_of(F.col("path")).alias("kind"), F.col("content").alias("data"))
         rows = part if rows is None else rows.unionByName(part)
-    nth = F.row_number().over(W.partitionBy("given").orderBy("input")).cast("long")
-    names = rows.select("given", "input").withColumn("source_idx", F.col("given") * F.lit(1 << 40) + nth)
-    return rows.join(names, ["given", "input"]).select("source_idx", "input", "kind", "data")
+    names = numbered_names(rows.select("given", "input"))
+    names = F.broadcast(names) if names.count() * 32 <= NUMBERS else names
+    return rows.withColumns(dict(zip(("_h", "_g"), name_hashes(), strict=True))).join(names, ["given", "_h", "_g"]).select("source_idx", "input", "kind", "data")
+
+
+def name_hashes() -> tuple[Column, Column]:
+    return F.xxhash64("input"), F.xxhash64(F.reverse("input"), F.lit(1))
+
+
+def numbered_names(names: DataFrame) -> DataFrame:
+    """given, _h, _g, source_idx of each name (given, input): its number in the order of given and input, from 1 in each.
+
+    Names are dealt by ranges; a name's number is its place in its range and the sizes of the ranges before it.
+    """
+    key = ["given", "input"]
+    ranged = cut(names.distinct().repartitionByRange(*key).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("given", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("given").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranged = ranged.join(F.broadcast(sizes.withColumn("_before", before)), ["given", "_part"])  # a row for each partition and path
+    nth = F.col("_before") + F.row_number().over(W.partitionBy("given", "_part").orderBy("input"))
+    numbered = ranged.withColumn("source_idx", F.col("given") * F.lit(1 << 40) + nth)
+    h, g = name_hashes()
+    return cut(numbered.select("given", h.alias("_h"), g.alias("_g"), "source_idx"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -89,8 +116,9 @@ def write_resources(crawled: DataFrame, path: str) -> None:
 def write_files(rows: DataFrame, path: str, name: str, data: str) -> None:
     """A file of its own for each row, as local readers want it: `data` under `name` in the folder path.
 
-    Tasks write them, to any file system that pyarrow knows; a task done twice writes the same files again. Of rows that
-    share a name one is kept. Names with a folder in them, and rows without data, are left out.
+    The tasks that hold them write them, to any file system that pyarrow knows; a task done twice writes the same files again.
+    Of rows that share a name the one with the least hash of its data is kept. Names with a folder in them, and rows without
+    data, are left out.
     """
     import pyarrow.fs
 
@@ -105,7 +133,11 @@ def write_files(rows: DataFrame, path: str, name: str, data: str) -> None:
             yield batch.slice(0, 0)
 
     wanted = rows.select(F.col(name).alias("name"), F.col(data).alias("data")).where(F.col("data").isNotNull() & F.col("name").rlike(r"^[^/\\\\]+$") & ~F.col("name").isin(".", ".."))
-    wanted.groupBy("name").agg(F.min("data").alias("data")).mapInArrow(write, "name string, data binary").count()
+    wanted = wanted.withColumn("_h", F.xxhash64("data"))
+    twice = cut(wanted.select("name", "_h").distinct().groupBy("name").agg(F.count("*").alias("_k"), F.min("_h").alias("_least")).where("_k > 1").drop("_k"))
+    if not twice.isEmpty():
+        wanted = wanted.join(twice, "name", "left").where(F.col("_least").isNull() | (F.col("_h") == F.col("_least")))
+    wanted.select("name", "data").mapInArrow(write, "name string, data binary").count()
 
 
 EVALUATION = (

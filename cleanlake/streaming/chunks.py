@@ -116,7 +116,7 @@ def within_budget(filtered: DataFrame, policy: Policy, key: str = "doc_id") -> t
     declarations are told, then max_bytes. A milder rule tells every chunk that goes beyond.
     """
     limit, rules = policy.max_bytes, policy.xml_entities
-    over = F.col("settled") > limit.value
+    over = limit.exceeded("settled")
     so_far = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     marked = filtered.withColumn("_over", over).withColumn("_before", F.coalesce(F.max(F.col("_over")).over(so_far), F.lit(False)))
     marked = marked.where(~F.col("_before")) if limit.level == "error" else marked
