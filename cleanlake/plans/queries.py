@@ -302,15 +302,6 @@ def latency_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.latency(runs).select("size_name", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.round("throughput_ips", 6).alias("throughput_ips"))
 
 
-_RUNS = ((1, 0.063, 2.730), (2, 0.057, 2.505), (4, 0.055, 2.349), (8, 0.054, 2.158), (16, 0.054, 2.308))
-
-
-@query("SELECT workload, threads, seconds, first_value(seconds) OVER (PARTITION BY workload ORDER BY threads) / seconds AS speedup FROM (VALUES " + ", ".join(f"('small', {t}, CAST({a} AS DOUBLE)), ('large', {t}, CAST({b} AS DOUBLE))" for t, a, b in _RUNS) + ") r(workload, threads, seconds)")
-def speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(w, t, s) for t, a, b in _RUNS for w, s in (("small", a), ("large", b))]
-    return report.speedup(spark.createDataFrame(rows, "workload string, threads int, seconds double"))
-
-
 @query("SELECT count(*) AS n, CAST(sum(page_id) AS BIGINT) AS ids, count(DISTINCT copy) AS copies FROM pages, range(10) r(copy)")
 def workload_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = report.replicate(read(spark, sf_dir, "pages"), 10, "page_id")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cleanlake.plans import operator_queries  # noqa: F401  (adds its queries)
+from cleanlake.plans import data_queries, operator_queries  # noqa: F401  (they add their queries)
 from cleanlake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
