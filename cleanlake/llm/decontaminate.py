@@ -5,6 +5,9 @@ item; terms of no item are never asked for. The windows of the items are then lo
 list shifted by the term's offset: a posting of an item's term at position p of a document puts the item at
 p - offset there. The rarest term of each window starts, the second rarest must agree, and what is left is compared
 term by term, so that common terms are read for few places only.
+
+Edited items are found by proximity: where a document holds SEED words of an item in a row, the item's other words are
+expected at the same shift, each at most SLACK words off; a window with all its words but MISSING there is a near match.
 """
 
 from __future__ import annotations
@@ -19,6 +22,12 @@ from .text import lower_ascii, row_key
 #: What is no part of a word: ASCII but for letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEYS = ["_k1", "_k2"]
+#: Words in a row that a near match must hold; how far off the others may stand; how many of a window may be missing.
+SEED, SLACK, MISSING = 5, 2, 1
+#: Parts that the tokens of one term are dealt into where terms are too many to broadcast.
+SALTS = 32
+#: Bytes of terms, at 64 each, that are broadcast.
+TERM_BYTES = 16 << 20
 #: Stands for an item without an id.
 NAMELESS = "\x00"
 
@@ -38,7 +47,11 @@ def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term_id, _k1, _k2, pos: the postings of `terms` (term, term_id) in each whole text of documents, kept."""
     tokens = documents.select(*row_key(F.col("doc_id"), F.col("text")), F.posexplode(words(F.col("text"))).alias("pos", "term"))
     tokens = tokens.withColumn("term", lower_ascii(F.col("term")))
-    return cut(tokens.join(small_enough(terms, 64), "term").select("term_id", "_k1", "_k2", "pos"))
+    if terms.count() * 64 <= TERM_BYTES:
+        return cut(tokens.join(F.broadcast(terms), "term").select("term_id", "_k1", "_k2", "pos"))
+    salt = F.pmod(F.xxhash64("_k1", "pos"), F.lit(SALTS)).cast("int")
+    dealt = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cut(tokens.withColumn("salt", salt).join(dealt, ["term", "salt"]).select("term_id", "_k1", "_k2", "pos"))
 
 
 def windows(terms: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
@@ -54,9 +67,10 @@ def windows(terms: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
-    """item, _k1, _k2, begin, end: runs of document positions in which every word is in an occurrence of a window.
+    """item, version, _k1, _k2, shift, begin, end: runs of document positions in which every word is in an occurrence of a window.
 
-    A run covers one or more windows that overlap at the same shift; runs of other shifts may overlap it.
+    A run covers one or more windows that overlap at the same shift (the place of the item's first word); runs of other
+    shifts may overlap it.
     """
     frequency = cut(index.groupBy("term_id").agg(F.count("*").alias("df")))
     asked = cut(windows(terms, frequency, width))
@@ -78,24 +92,29 @@ def phrase_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
         .groupBy("item", "version", *KEYS, "shift", "run")
         .agg(F.min("pos").alias("begin"), (F.max("pos") + 1).alias("end"), F.first("n").alias("n"))
     )
-    return runs.where(F.col("end") - F.col("begin") >= F.least("n", F.lit(width))).select("item", *KEYS, "begin", "end")
+    return runs.where(F.col("end") - F.col("begin") >= F.least("n", F.lit(width))).select("item", "version", *KEYS, "shift", "begin", "end")
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFrame:
-    """item, _k1, _k2, begin, end: places where the two rarest terms of an item stand at most `within` words apart.
+def proximity_matches(index: DataFrame, terms: DataFrame, width: int, seed: int = SEED, slack: int = SLACK, missing: int = MISSING) -> DataFrame:
+    """item, _k1, _k2: documents with a near match of an item of `width` words or more; an exact match is one too.
 
-    Either order counts. Items of one distinct term give the places of that term.
+    A near match is a window of `width` item words that holds `seed` words which stand in the document in a row, or lies at
+    the shift of such words, and of which all but `missing` stand there at most `slack` words off the place that the shift expects.
     """
-    frequency = cut(index.groupBy("term_id").agg(F.count("*").alias("df")))
-    ranked = terms.join(small_enough(frequency, 16), "term_id").select("item", "term_id", "df").distinct()
-    two = ranked.groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term_id"))), 1, 2).alias("two"))
-    two = cut(two.select("item", F.col("two")[0]["term_id"].alias("a"), F.get("two", F.lit(1))["term_id"].alias("b")))
-    left = index.join(small_enough(two, 48), index["term_id"] == two["a"]).select("item", "b", *KEYS, "pos")
-    alone = left.where("b is null").select("item", *KEYS, F.col("pos").alias("begin"), (F.col("pos") + 1).alias("end"))
-    block = lambda at: F.floor(at / (within + 1)).cast("long")
-    right = index.join(small_enough(cut(two.where("b is not null").select(F.col("b").alias("term_id")).distinct()), 16), "term_id", "left_semi").select(F.col("term_id").alias("b"), *KEYS, F.col("pos").alias("q")).withColumn("block", block(F.col("q")))
-    pairs = left.where("b is not null").withColumn("block", F.explode(F.sequence(block(F.col("pos") - within), block(F.col("pos") + within)))).join(right, ["b", *KEYS, "block"]).where(F.abs(F.col("pos") - F.col("q")) <= within)
-    return pairs.select("item", *KEYS, F.least("pos", "q").alias("begin"), (F.greatest("pos", "q") + 1).alias("end")).distinct().unionByName(alone)
+    long = cut(terms.where(F.col("n") >= width))
+    shifts = cut(phrase_matches(index, long, seed).select("item", "version", *KEYS, "shift").distinct())
+    holders = small_enough(cut(shifts.select(*KEYS).distinct()), 32)
+    near = index.join(holders, KEYS, "left_semi")
+    expected = shifts.join(small_enough(long, 64), ["item", "version"])
+    off = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
+    met = expected.withColumn("off", off).withColumn("pos", F.col("shift") + F.col("at") + F.col("off")).join(near, [*KEYS, "pos", "term_id"], "left_semi")
+    met = met.select("item", "version", *KEYS, "shift", "n", "at").distinct()
+    by_place = W.partitionBy("item", "version", *KEYS, "shift").orderBy("at")
+    hit = F.lit(False)
+    for before in range(missing + 1):  # words of the window that are missing before the first one that is met
+        held = F.count("*").over(by_place.rangeBetween(0, width - 1 - before))
+        hit = hit | ((held >= width - missing) & (F.col("at") >= before) & (F.col("at") - before + width <= F.col("n")))
+    return met.withColumn("near", hit).where("near").select("item", *KEYS).distinct()
 
 
 def index_for(documents: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -106,23 +125,26 @@ def index_for(documents: DataFrame, items: DataFrame, key: str = "item_id", text
     return build_index(documents, ids), terms
 
 
-def contamination(documents: DataFrame, items: DataFrame, width: int = 10, key: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, _k1, _k2, n_words, n_hit, items array<string>: a row for each row of documents.
+def contamination(documents: DataFrame, items: DataFrame, width: int = 10, key: str = "item_id", text: str = "text", near: bool = False) -> DataFrame:
+    """doc_id, _k1, _k2, n_words, n_hit, items array<string>, with `near` also near_items: a row for each row of documents.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. Windows are `width` consecutive
     words of an item; an item of fewer words, but not none, is one window. n_hit counts the document's words inside
     any occurrence of a window, items are the ids, as strings and sorted, with an occurrence. Null texts have no words.
     Repeated rows each get their result, null ids too; items that share an id are looked up each and named once; those
-    without an id count for hits and are not named.
+    without an id count for hits and are not named. near_items are the ids of items of `width` words or more with a near
+    match (proximity_matches), exact ones among them.
     """
     index, terms = index_for(documents, items, key, text)
     runs = cut(phrase_matches(index, terms, width))
     before = F.coalesce(F.max("end").over(W.partitionBy(*KEYS).orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = runs.select(*KEYS, "begin", "end").distinct().withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", before)))
     hits = ranges.groupBy(*KEYS).agg(F.sum("new").alias("n_hit"))
-    named = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_set(F.when(F.col("item") != NAMELESS, F.col("item")))).alias("items"))
+    ids = lambda: F.array_sort(F.collect_set(F.when(F.col("item") != NAMELESS, F.col("item"))))
+    named = runs.groupBy(*KEYS).agg(ids().alias("items"))
     found = hits.join(named, KEYS)
+    if near:
+        found = found.join(cut(proximity_matches(index, terms, width)).groupBy(*KEYS).agg(ids().alias("near_items")), KEYS, "full_outer")
     rows = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return rows.join(found, KEYS, "left").select(
-        "doc_id", *KEYS, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ["items", "near_items"][: 1 + near]]
+    return rows.join(found, KEYS, "left").select("doc_id", *KEYS, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *lists)

@@ -26,10 +26,15 @@ places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s
 hits AS (SELECT doc_id, s, p.size, item FROM (SELECT doc_id, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS t FROM places) p
          JOIN win ON win.size = p.size AND win.t = p.t),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+fives AS (SELECT DISTINCT item, w, p, array_to_string(list_slice(w, p, p + 4), ' ') AS t FROM (SELECT item, w, unnest(range(1, len(w) - 3)) AS p FROM iw WHERE len(w) >= 10)),
+shifts AS (SELECT DISTINCT doc_id, d.w AS dw, item, f.w AS iw, q - p AS shift FROM (SELECT doc_id, w, q, array_to_string(list_slice(w, q, q + 4), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS q FROM dw)) d JOIN fives f ON d.t = f.t),
+met AS (SELECT doc_id, item, iw, list_filter(range(1, len(iw) + 1), lambda k: list_contains(dw[greatest(1, shift + k - 2):greatest(0, shift + k + 2)], iw[k])) AS h FROM shifts),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met
+         WHERE len(list_filter(range(1, len(iw) - 8), lambda s: len(list_filter(h, lambda k: k >= s AND k < s + 10)) >= 9)) > 0) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(named.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(near.items, '')) AS near_sha256
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 OP9 = """

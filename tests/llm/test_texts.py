@@ -210,12 +210,43 @@ def test_contamination(spark, docs, rows):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute_items(table, items)
 
 
-def test_proximity(spark):
-    docs = frame(spark, [(1, "alpha x x beta"), (2, "alpha x x x beta"), (3, "beta alpha"), (4, None), (5, "alpha")])
-    index, terms = decontaminate.index_for(docs, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"))
-    keys = {(r._k1, r._k2): r.doc_id for r in docs.select("doc_id", *decontaminate.row_key(docs.doc_id, docs.text)).collect()}
-    got = sorted((keys[r._k1, r._k2], r.begin, r.end) for r in decontaminate.proximity_matches(index, terms, 3).collect())
-    assert got == [(1, 0, 4), (3, 0, 2)]
+def brute_near(rows, items, width=10, seed=5, slack=2, missing=1):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    out = {}
+    for i, t in rows:
+        w, named = words(t), set()
+        for k, item in items:
+            q = words(item)
+            if len(q) < width or k is None:
+                continue
+            shifts = {d - p for d in range(len(w) - seed + 1) for p in range(len(q) - seed + 1) if w[d : d + seed] == q[p : p + seed]}
+            for s in shifts:
+                met = [q[p] in w[max(0, s + p - slack) : max(0, s + p + slack + 1)] for p in range(len(q))]
+                if any(sum(met[b : b + width]) >= width - missing for b in range(len(q) - width + 1)):
+                    named.add(str(k))
+        out[i] = sorted(named)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity(spark, docs, rows, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "TERM_BYTES", 16 << 20 if broadcast else 0)
+    table, passage = rows
+    w, rnd = passage.split(), random.Random(9)
+    edited = []
+    for i in range(120):  # words of the passage that are replaced, left out, doubled or swapped
+        v = list(w[rnd.randrange(10) : 14 + rnd.randrange(16)])
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(v) - 1)
+            v[k : k + 2] = rnd.choice([["other", v[k + 1]], [v[k]], [v[k], v[k + 1], "more"], [v[k + 1], v[k]], ["x", "y", "z", v[k], v[k + 1]]])
+        edited.append((5000 + i, " ".join([*(["pad"] * rnd.randrange(3)), *v])))
+    items = [(1, passage), (2, " ".join(w[5:20])), (3, " ".join(w[:9])), (None, " ".join(w[3:18])), (4, None), (5, " ".join(["a"] * 12))]
+    table = table + edited
+    got = decontaminate.contamination(frame(spark, table), spark.createDataFrame(items, "item_id long, text string"), near=True)
+    want = brute_near(table, items)
+    assert {r.doc_id: r.near_items for r in got.collect()} == want
+    exact = brute_items(table, [x for x in items if len((x[1] or "").split()) >= 10])
+    assert all(set(exact[i][2]) <= set(want[i]) for i in want) and sum(len(want[i]) > len(exact[i][2]) for i in want) > 10
 
 
 # near-duplicates
