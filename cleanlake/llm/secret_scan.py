@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .common import cut
 from .text import row_key, span_list
 
@@ -32,6 +33,10 @@ KINDS = (
     ("token", TOKEN, 0, 0, ("[0-9]", "[A-Za-z]"), "secret", True),
 )
 SCOPE = 256
+#: Kinds that count beside a secret only, and are looked for only in texts that hold one.
+LATE = ("endpoint", "account")
+#: What a text holds if it holds a match of a kind.
+MAY_HOLD = {"access": "AKIA", "endpoint": r"://|[0-9]\.[0-9]"}
 
 
 def _complementary(a: Column, b: Column) -> Column:
@@ -39,16 +44,22 @@ def _complementary(a: Column, b: Column) -> Column:
 
 
 def scan_parts(documents: DataFrame) -> DataFrame:
-    """doc_id, _k1, _k2, parts: every part of any kind in each whole text, in the order of start and kind."""
+    """doc_id, _k1, _k2, parts: the parts in each whole text, in the order of start and kind: of LATE kinds, where there is a secret part."""
     text = F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def of(i: int) -> Column:
-        _, pattern, group, least, must, _, _ = KINDS[i]
+        name, pattern, group, least, must, _, _ = KINDS[i]
         spans = span_list(text, pattern, group, least, must)
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+        spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+        return F.when(text.rlike(MAY_HOLD[name]), spans).otherwise(none) if name in MAY_HOLD else spans
+
+    def with_late(first: Column) -> Column:
+        secret = F.exists(first, lambda p: p["kind"].isin(*(i for i, k in enumerate(KINDS) if k[5] == "secret")))
+        return F.when(secret, F.array_sort(F.concat(first, *(of(i) for i, k in enumerate(KINDS) if k[0] in LATE)))).otherwise(F.array_sort(first))
 
-    found = [of(i) for i in range(len(KINDS))]
-    return documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.array_sort(F.concat(*found)).alias("parts"))
+    first = F.concat(*(of(i) for i, k in enumerate(KINDS) if k[0] not in LATE))
+    return documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), let(first, with_late).alias("parts"))
 
 
 def link_parts(parts: DataFrame, scope: int) -> DataFrame:
