@@ -22,12 +22,12 @@ from .hashing import HashTable
 MARK = "▁"
 #: Longest piece used; probability of a character that is no piece; weight of the pooled counts, in tokens.
 PIECE_CHARS, UNKNOWN, POOLED = 16, 1e-8, 200.0
-#: Training documents of a language, and languages, at most.
-SAMPLE, LANGUAGES = 400, 200
+#: Training documents of a language, languages, and bytes of training texts of all languages, at most.
+SAMPLE, LANGUAGES, TRAIN_BYTES = 400, 200, 64 << 20
 #: Distinct words that a Python worker remembers; cells of a matrix.
 REMEMBERED, CELLS = 400_000, 1 << 20
-#: Characters of a block of a long word.
-BLOCK = 512
+#: Characters of a block of a long word; cells of the matrices of blocks that are found at once.
+BLOCK, BLOCK_CELLS = 512, 1 << 21
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -91,7 +91,8 @@ class Lattice:
         """[1, language]: the same of one long word, all its blocks at once.
 
         The sums at the last PIECE_CHARS places are a linear function of those a block before. Each block finds its own
-        matrix, from as many starts as there are places; the matrices are then applied one after the other.
+        matrix, from as many starts as there are places; the matrices are then applied one after the other. Some blocks are
+        done at once, as many as BLOCK_CELLS holds.
         """
         length, width, n = len(pieces[0]), PIECE_CHARS, p.shape[1]
         blocks = -(-length // BLOCK)
@@ -100,24 +101,26 @@ class Lattice:
             at[k - 1, k - 1 : k - 1 + len(x)] = x
         at = at.reshape(width, blocks, BLOCK)
         real = np.minimum(BLOCK, length - np.arange(blocks) * BLOCK)  # the last block may be shorter
-        now = np.zeros((width, blocks, width, n))  # [place, the last first; block; start; language]
-        now[np.arange(width), :, np.arange(width)] = 1
-        logs = np.zeros((blocks, n))
-        for e in range(BLOCK):
-            new = sum(now[k - 1] * p[at[k - 1, :, e]][:, None, :] for k in range(1, width + 1))
-            live = e < real
-            now[1:, live] = now[:-1, live].copy()
-            now[0, live] = new[live]
-            if e % width == width - 1:
-                top = now.max(axis=(0, 2))
-                now /= top[None, :, None, :]
-                logs += np.log(top)
-        state, total = np.zeros((width, n)), logs.sum(axis=0)
+        state, total = np.zeros((width, n)), np.zeros(n)
         state[0] = 1
-        for b in range(blocks):
-            state = np.einsum("jsn,sn->jn", now[:, b], state)
-            top = state.max(axis=0)
-            state, total = state / top, total + np.log(top)
+        some = max(1, BLOCK_CELLS // (width * width * n))
+        for first in range(0, blocks, some):
+            own, ends = at[:, first : first + some], real[first : first + some]
+            now = np.zeros((width, len(ends), width, n))  # [place, the last first; block; start; language]
+            now[np.arange(width), :, np.arange(width)] = 1
+            for e in range(BLOCK):
+                new = sum(now[k - 1] * p[own[k - 1, :, e]][:, None, :] for k in range(1, width + 1))
+                live = e < ends
+                now[1:, live] = now[:-1, live].copy()
+                now[0, live] = new[live]
+                if e % width == width - 1:
+                    top = now.max(axis=(0, 2))
+                    now /= top[None, :, None, :]
+                    total += np.log(top).sum(axis=0)
+            for b in range(len(ends)):
+                state = np.einsum("jsn,sn->jn", now[:, b], state)
+                top = state.max(axis=0)
+                state, total = state / top, total + np.log(top)
         return (np.log(np.maximum(state[0], 1e-300)) + total)[None]
 
     def expected(self, pieces: list[np.ndarray], p: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -223,13 +226,14 @@ class Scorer:
         return np.stack([np.bincount(row, self.logs[at, j], len(found)) for j in range(self.p.shape[1])], axis=1), counts
 
 
-def training_texts(documents: DataFrame, folds: int, left_out: int, most: int, languages: int = LANGUAGES, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[str]]:
+def training_texts(documents: DataFrame, folds: int, left_out: int, most: int, languages: int = LANGUAGES, most_bytes: int = SAMPLE_BYTES, all_bytes: int = TRAIN_BYTES) -> dict[str, list[str]]:
     """Texts of at most `most` ids and `most_bytes` bytes of each of the `languages` most frequent languages, from rows outside the fold.
 
-    Ids are taken in the order of a hash, an id of several languages for the first of them by name.
+    All languages together have at most `all_bytes` bytes, in equal shares, and one text each in any case. Ids are taken in the order of a hash, an id of several languages for the first of them by name.
     """
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != left_out))
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    names = cut(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang"))
+    most_bytes = min(most_bytes, all_bytes // max(1, names.count()))
     ids = rows.select("doc_id", "lang").join(F.broadcast(names), "lang").withColumn("h", F.xxhash64("doc_id")).groupBy("doc_id", "h").agg(F.min("lang").alias("lang"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     picked = cut(ids.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth"))
@@ -239,15 +243,15 @@ def training_texts(documents: DataFrame, folds: int, left_out: int, most: int, l
     return {lang: list(texts) for lang, texts in out.items()}
 
 
-def identify(documents: DataFrame, path: str, folds: int = 4, left_out: int = 2, most: int = SAMPLE) -> DataFrame:
+def identify(documents: DataFrame, path: str, folds: int = 4, left_out: int = 2, most: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score: a row for each row of documents, from its whole text.
 
     `path` is a SentencePiece model on the driver. The models are fitted on the driver to at most `most` documents of
-    each language, whose crc32 of the id mod `folds` is not left_out; held_out marks the others, and rows without an
+    each of the `languages` most frequent languages, whose crc32 of the id mod `folds` is not left_out; held_out marks the others, and rows without an
     id. score is the share of the predicted language in the sum of all languages' probabilities. `und`, with score 0, if a text
     is null or has no letter, or nothing could be learned. Ties go to the first language by name.
     """
-    texts = training_texts(documents, folds, left_out, most)
+    texts = training_texts(documents, folds, left_out, most, languages)
     names = list(texts)
     pieces = usable_pieces(path)
     model = documents.sparkSession.sparkContext.broadcast((pieces, fit(pieces, texts) if names else None))

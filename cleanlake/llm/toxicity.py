@@ -46,7 +46,7 @@ SIGNS = ".,;:!?*-_|\"'()#%&"
 REMEMBERED = 500_000
 SPACED = re.compile(r"(?<!\w)(?:\w[ .\-_*]{1,2}){3,}\w(?!\w)")
 #: Fixed table of signs that stand for letters.
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Letters that look like Latin ones, in lower case.
 LETTERS = str.maketrans("аеорсухіјѕԁһԛԝкмтвнѵ" + "αονικρτυχεηωγβμ" + "ɑɡı", "aeopcyxijsdhqwkmtbhv" + "aovikptuxenwybm" + "agi")
 #: Marks that are left when letters are composed, and invisible signs.

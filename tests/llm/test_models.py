@@ -403,3 +403,21 @@ def test_long_and_hot_conversations_keep_system_turn_and_context(spark):
     want = brute_perspectives(rows, 16384, 4096)
     assert {(r.conv_id, r.perspective, r.block): (r.text, [(m.start, m.end) for m in r["mask"]]) for r in got} == want and len(got) == len(want)
     assert len({k[2] for k in want}) > 20
+
+
+def test_a_long_word_is_the_same_in_any_slices(monkeypatch):
+    rnd = np.random.default_rng(3)
+    pieces = [langid.MARK, *"abc", "ab", "bca", langid.MARK + "a"]
+    lattice, word = langid.Lattice(pieces), langid.MARK + "".join(rnd.choice(list("abcz"), 4000))
+    p = rnd.random((len(pieces) + 2, 30)) / 10
+    p[-1] = 0
+    at = lattice.pieces(lattice.codes([word]))
+    whole = lattice.forward(at, p)
+    monkeypatch.setattr(langid, "BLOCK_CELLS", 3 * 256 * 30)
+    assert np.allclose(lattice.forward(at, p), whole, rtol=1e-12)
+
+
+def test_languages_share_the_bytes_of_training(spark):
+    rows = [(i, f"{'x' * 90} {i}", f"l{i % 10}") for i in range(400)]
+    got = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 2, 400, languages=5, all_bytes=2000)
+    assert len(got) == 5 and all(sum(map(len, t)) <= 400 for t in got.values())
