@@ -8,6 +8,8 @@ term by term, so that common terms are read for few places only.
 
 Edited items are found by proximity: where a document holds SEED words of an item in a row, the item's other words are
 expected at the same shift, each at most SLACK words off; a window with all its words but MISSING there is a near match.
+Of its rarest words all but MISSING are there as well: only documents that hold two of MISSING + 2 rarest words of a
+window at about the same shift are looked at any further.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return cut(tokens.withColumn("salt", salt).join(dealt, ["term", "salt"]).select("term_id", "_k1", "_k2", "pos"))
 
 
-def windows(terms: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
-    """item, version, n, start, size, by_rarity: the windows all of whose terms occur, with their terms, rarest first.
+def windows(terms: DataFrame, frequency: DataFrame, width: int, missing: int = 0) -> DataFrame:
+    """item, version, n, start, size, by_rarity: the windows whose terms occur, all but `missing`, with their terms, rarest first.
 
     by_rarity: array<struct<df,term_id,at>>. Items shorter than width are one window.
     """
@@ -63,7 +65,7 @@ def windows(terms: DataFrame, frequency: DataFrame, width: int) -> DataFrame:
     size = F.least("n", F.lit(width))
     spread = known.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.col("at"), F.col("n") - F.col("size")))))
     made = spread.groupBy("item", "version", "n", "size", "start").agg(F.array_sort(F.collect_list(F.struct("df", "term_id", "at"))).alias("by_rarity"))
-    return made.where(F.col("by_rarity")[0]["df"] > 0)
+    return made.where(F.get("by_rarity", F.lit(missing))["df"] > 0)
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
@@ -102,9 +104,14 @@ def proximity_matches(index: DataFrame, terms: DataFrame, width: int, seed: int
     the shift of such words, and of which all but `missing` stand there at most `slack` words off the place that the shift expects.
     """
     long = cut(terms.where(F.col("n") >= width))
-    shifts = cut(phrase_matches(index, long, seed).select("item", "version", *KEYS, "shift").distinct())
-    holders = small_enough(cut(shifts.select(*KEYS).distinct()), 32)
-    near = index.join(holders, KEYS, "left_semi")
+    frequency = cut(index.groupBy("term_id").agg(F.count("*").alias("df")))
+    rarest = windows(long, frequency, width, missing).select("item", "version", F.explode(F.slice("by_rarity", 1, missing + 2)).alias("r"))
+    rarest = cut(rarest.where("r.df > 0").select("item", "version", "r.term_id", "r.at").distinct())
+    places = index.join(small_enough(rarest, 40), "term_id").select("item", "version", *KEYS, "at", (F.col("pos") - F.col("at")).alias("shift"))
+    about = W.partitionBy("item", "version", *KEYS).orderBy("shift").rangeBetween(-2 * slack, 0)
+    two = places.withColumn("_two", F.min("at").over(about) < F.max("at").over(about)).where("_two").select(*KEYS).distinct()
+    near = cut(index.join(small_enough(cut(two), 32), KEYS, "left_semi"))
+    shifts = cut(phrase_matches(near, long, seed).select("item", "version", *KEYS, "shift").distinct())
     expected = shifts.join(small_enough(long, 64), ["item", "version"])
     off = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
     met = expected.withColumn("off", off).withColumn("pos", F.col("shift") + F.col("at") + F.col("off")).join(near, [*KEYS, "pos", "term_id"], "left_semi")
