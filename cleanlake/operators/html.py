@@ -23,7 +23,7 @@ from ..functions.hosts import URL, is_idn, local_files, matches_any
 from ..functions.urls import parse_url
 from . import resources
 from .policy import ATTRIBUTE_BREAKERS, LEVELS, Policy, ReplaceRule
-from .tokens import TAG, as_bytes, span_list, tag_list
+from .tokens import TAG, tag_list
 
 #: Fixed table: the attribute of each element that holds a URL, and the default extension if it is a resource.
 URL_ATTRIBUTES = (
@@ -115,12 +115,12 @@ def as_byte_text(text: str) -> str:
     return text.encode().decode("latin-1")
 
 
-def declared_entities(data: Column, policy: Policy) -> Column:
+def declared_entities(text: Column, policy: Policy) -> Column:
     """The actions of a document's entity declarations, which come before all others."""
     rule = policy.xml_entities
     new = F.lit(None if rule.level == "error" else rule.replace).cast("string")
     one = lambda x, i: F.struct(F.lit(-1).cast("long").alias("pos"), F.lit(0).alias("step"), i.cast("int").alias("sub"), F.lit(rule.level).alias("level"), F.lit("xml_entities").alias("type"), x["text"].alias("original"), new.alias("replacement"), x["start"].alias("loc_start"), x["end"].alias("loc_end"))
-    return F.when(resources.has_entity(data), F.transform(span_list(data, resources.ENTITY), one))
+    return F.transform(resources.byte_spans(resources.ENTITY)(F.when(resources.has_entity(text), text)), one)
 
 
 def failed(actions: Column) -> Column:
@@ -159,9 +159,8 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     start = F.lit(base) if isinstance(base, str) else base
     docs = documents.select(F.col(key), F.col(html).alias("_text"), start.alias("_start"))
     docs = docs.repartition(parts, key) if deal else docs
-    declared = F.when(resources.has_entity(F.col("_text")), declared_entities(as_bytes(F.col("_text")), policy))
-    docs = docs.select(key, "_start", F.col("_text").isNotNull().alias("_some"), declared.alias("_declared"), resources.without_entities(F.col("_text"), policy.xml_entities).alias("_clean"))
-    docs = docs.select("*", tag_list(MATTER)(F.col("_clean")).alias("_tags"))
+    docs = docs.select(key, "_start", "_text", F.col("_text").isNotNull().alias("_some"), resources.without_entities(F.col("_text"), policy.xml_entities).alias("_clean"))
+    docs = docs.select(key, "_start", "_some", "_clean", declared_entities(F.col("_text"), policy).alias("_declared"), tag_list(MATTER)(F.col("_clean")).alias("_tags"))
     tag, body, at = (F.col(c) for c in ("tag", "body", "at"))
 
     # attributes, one by one
@@ -205,7 +204,7 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     rows = rows.withColumn("_u", F.when(~(found["changed"] & (found["now"] == "")), found))
     u = F.col("_u")
     sheet_text = F.when(tag == "style", body)
-    rows = rows.select("*", _resolve(u["now"], F.col("_base"), ext).alias("_url"), resources.sanitize_css_udf(policy)(sheet_text, F.col("_base")).alias("_css"))
+    rows = rows.select("*", _resolve(u["now"], F.col("_base"), ext).alias("_url"), resources.sanitize_css_udf(policy)(sheet_text, F.col("_base")).alias("_css"), resources.js_hits(F.when(tag == "script", body), policy.dangerous_js).alias("_hits"))
     url = F.col("_url")
     joined, idn, denied = url["href"].isNotNull(), is_idn(url), matches_any(url["host"], policy.denied)
     if policy.compat:  # allowing a.b also allows b, and not the subdomains of a.b
@@ -230,7 +229,7 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
 
     # refreshes, inline scripts and styles
     refresh = F.coalesce((tag == "meta") & F.exists(attrs, lambda a: (a["name"] == "http-equiv") & (F.lower(a["value"]) == "refresh")), F.lit(False))
-    js = F.coalesce((tag == "script") & body.rlike(resources.JS), F.lit(False))
+    js = F.size("_hits") > 0
     css, shift = F.col("_css"), F.col("open_end")
     start, end = u["name_at"], u["name_end"]
     by_element = F.array(
@@ -241,7 +240,7 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         _action(refresh, policy.meta_refresh, "meta_refresh", F.lit("refresh"), at, at, 2, F.lit(3)),
     )
     by_js = F.transform(
-        F.when(js, resources.js_hits(body, policy.dangerous_js)).otherwise(F.array().cast(resources.HITS)),
+        "_hits",
         lambda h, i: _action(F.lit(True), policy.dangerous_js, "dangerous_js", h["text"], F.col("open_end") + h["start"], F.col("open_end") + h["end"], 3, i),
     )
     by_css = F.transform(

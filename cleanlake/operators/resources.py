@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -84,11 +86,27 @@ def pdf_hits(data: Column) -> Column:
     return F.when(has_active_pdf(data), told).otherwise(F.array().cast(HITS))
 
 
+@cache
+def byte_spans(pattern: str):  # noqa: ANN201
+    """A function of texts to HITS: the leftmost matches of pattern that do not overlap, and their ranges of bytes; null for null."""
+    found, kind = re.compile(pattern.encode()), pa.list_(pa.struct([("text", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf(HITS)
+    def run(text: pa.Array) -> pa.Array:
+        rows: list[list | None] = [None] * len(text)
+        for i in np.flatnonzero(np.asarray(pc.is_valid(text))):
+            rows[i] = [{"text": m.group().decode("utf-8", "replace"), "start": m.start(), "end": m.end()} for m in found.finditer(text[int(i)].as_py().encode())]
+        return pa.array(rows, kind)
+
+    return run
+
+
 def js_hits(script: Column, rule: ReplaceRule) -> Column:
     """HITS: the dangerous calls of a script with their ranges of bytes; but for a rule that keeps scripts, the first alone."""
-    found = match_ranges(F.decode(F.encode(script, "UTF-8"), "ISO-8859-1"), JS, lambda m, begin, end: F.struct(F.concat(m, F.lit("..)")).alias("text"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+    found = byte_spans(JS)(F.when(is_dangerous_js(script), script))
     every = rule.replace is None and rule.level != "error"
-    return F.when(is_dangerous_js(script), found if every else F.slice(found, 1, 1)).otherwise(F.array().cast(HITS))
+    told = F.transform(found if every else F.slice(found, 1, 1), lambda x: F.struct(F.concat(x["text"], F.lit("..)")).alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.coalesce(told, F.array().cast(HITS))
 
 
 def mime_clean(content_type: Column) -> Column:

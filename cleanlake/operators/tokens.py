@@ -10,7 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import match_ranges
 from ..functions.markup import LOWER, START, Scan, lists, ranges
 
 ATTRIBUTES = "array<struct<name:string,raw_name:string,raw_value:string,value:string,name_at:bigint,name_end:bigint>>"
@@ -26,15 +25,6 @@ def as_bytes(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def as_text(data: Column) -> Column:
-    return F.decode(F.encode(data, "ISO-8859-1"), "UTF-8")
-
-
-def span_list(text: Column, pattern: str) -> Column:
-    """array<struct<text,start,end>>: the matches of pattern, as text, and their ranges of bytes in text, which holds a character for each."""
-    return match_ranges(text, pattern, lambda m, begin, end: F.struct(as_text(m).alias("text"), begin.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
-
-
 def _tags(data: bytes, ends: np.ndarray, matter: frozenset[str] | None) -> pa.Array:
     """A list of TAG for each document. With matter, only tags of such a name with attributes, those with an attribute
     named on.. or a colon in a value, base elements, and scripts and styles with text."""
