@@ -6,10 +6,8 @@ list shifted by the term's offset: a posting of an item's term at position p of
 p - offset there. The rarest term of each window starts, the second rarest must agree, and what is left is compared
 term by term, so that common terms are read for few places only.
 
-Edited items are found by proximity: where a document holds SEED words of an item in a row, the item's other words are
-expected at the same shift, each at most SLACK words off; a window with all its words but MISSING there is a near match.
-Of its rarest words all but MISSING are there as well: only documents that hold two of MISSING + 2 rarest words of a
-window at about the same shift are looked at any further.
+Edited items are found by proximity in the same lists: the second rarest term may stand SLACK words off the place that the
+rarest expects, and so may every other; a window with all its words but MISSING there is a near match.
 """
 
 from __future__ import annotations
@@ -24,8 +22,8 @@ from .text import lower_ascii, row_key
 #: What is no part of a word: ASCII but for letters and digits.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 KEYS = ["_k1", "_k2"]
-#: Words in a row that a near match must hold; how far off the others may stand; how many of a window may be missing.
-SEED, SLACK, MISSING = 5, 2, 1
+#: How far off, in words, those of a near match may stand; how many of a window may be missing.
+SLACK, MISSING = 2, 1
 #: Parts that the tokens of one term are dealt into where terms are too many to broadcast.
 SALTS = 32
 #: Bytes of terms, at 64 each, that are broadcast.
@@ -57,71 +55,70 @@ def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def windows(terms: DataFrame, frequency: DataFrame, width: int, missing: int = 0) -> DataFrame:
-    """item, version, n, start, size, by_rarity: the windows whose terms occur, all but `missing`, with their terms, rarest first.
+    """item, version, n, start, size, by_rarity: the windows whose terms occur, all but `missing`, with those that do, rarest first.
 
-    by_rarity: array<struct<df,term_id,at>>. Items shorter than width are one window.
+    by_rarity: array<struct<df,at,term_id>>. Items shorter than width are one window.
     """
     known = terms.join(small_enough(frequency, 16), "term_id", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
     size = F.least("n", F.lit(width))
     spread = known.withColumn("size", size).withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.col("at"), F.col("n") - F.col("size")))))
-    made = spread.groupBy("item", "version", "n", "size", "start").agg(F.array_sort(F.collect_list(F.struct("df", "term_id", "at"))).alias("by_rarity"))
-    return made.where(F.get("by_rarity", F.lit(missing))["df"] > 0)
+    occurs = F.when(F.col("df") > 0, F.struct("df", "at", "term_id"))
+    made = spread.groupBy("item", "version", "n", "size", "start").agg(F.array_sort(F.collect_list(occurs)).alias("by_rarity"))
+    return made.where(F.size("by_rarity") >= F.greatest(F.lit(1), F.col("size") - F.when(F.col("size") < width, 0).otherwise(missing)))
 
 
-def phrase_matches(index: DataFrame, terms: DataFrame, width: int) -> DataFrame:
-    """item, version, _k1, _k2, shift, begin, end: runs of document positions in which every word is in an occurrence of a window.
+def aligned(index: DataFrame, terms: DataFrame, width: int, slack: int = 0, missing: int = 0) -> DataFrame:
+    """item, version, n, _k1, _k2, shift, at, exact: the item's words that stand in a document where its first word stands at `shift`.
 
-    A run covers one or more windows that overlap at the same shift (the place of the item's first word); runs of other
-    shifts may overlap it.
+    Shifts are those where the rarest word of a window stands in its place, and the second rarest at most `slack` words off. The
+    word at `at` stands at most `slack` words off; exact says that it is in its place.
     """
     frequency = cut(index.groupBy("term_id").agg(F.count("*").alias("df")))
-    asked = cut(windows(terms, frequency, width))
-    first = asked.select("item", "version", "size", "n", F.col("by_rarity")[0].alias("a"), F.when(F.size("by_rarity") > 1, F.col("by_rarity")[1]).alias("b"))
+    asked = windows(terms, frequency, width, missing)
+    first = asked.select("item", "version", F.col("by_rarity")[0].alias("a"), F.get("by_rarity", F.lit(1)).alias("b"))
     first = cut(first.select("item", "version", F.col("a.term_id").alias("term_id"), F.col("a.at").alias("at"), F.col("b.term_id").alias("b_term"), F.col("b.at").alias("b_at")).distinct())
+    off = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
     places = index.join(small_enough(first, 64), "term_id").select("item", "version", *KEYS, (F.col("pos") - F.col("at")).alias("shift"), "b_term", "b_at")
     alone = places.where("b_term is null").select("item", "version", *KEYS, "shift")
     second = small_enough(cut(first.where("b_term is not null").select(F.col("b_term").alias("term_id")).distinct()), 16)
     rest = index.join(second, "term_id", "left_semi").withColumnRenamed("term_id", "b_term")
-    agreed = places.where("b_term is not null").withColumn("pos", F.col("shift") + F.col("b_at")).distinct().join(rest, [*KEYS, "pos", "b_term"], "left_semi").select("item", "version", *KEYS, "shift")
+    wanted = places.where("b_term is not null").withColumn("off", off).withColumn("pos", F.col("shift") + F.col("b_at") + F.col("off"))
+    agreed = wanted.select("item", "version", *KEYS, "shift", "pos", "b_term").distinct().join(rest, [*KEYS, "pos", "b_term"], "left_semi").select("item", "version", *KEYS, "shift")
     shifts = cut(agreed.unionByName(alone).distinct())
     holders = small_enough(cut(shifts.select(*KEYS).distinct()), 32)
     near = index.join(holders, KEYS, "left_semi")
-    expected = shifts.join(small_enough(terms, 64), ["item", "version"]).withColumn("pos", F.col("shift") + F.col("at"))
+    expected = shifts.join(small_enough(terms, 64), ["item", "version"]).withColumn("off", off).withColumn("pos", F.col("shift") + F.col("at") + F.col("off"))
     met = expected.join(near, [*KEYS, "pos", "term_id"], "left_semi")
+    return met.groupBy("item", "version", "n", *KEYS, "shift", "at").agg(F.bool_or(F.col("off") == 0).alias("exact"))
+
+
+def phrase_matches(met: DataFrame, width: int) -> DataFrame:
+    """item, version, _k1, _k2, shift, begin, end: runs of document positions in which every word is in an occurrence of a window.
+
+    met is aligned()'s. A run covers one or more windows that overlap at the same shift; runs of other shifts may overlap it.
+    """
     by_shift = W.partitionBy("item", "version", *KEYS, "shift").orderBy("at")
     runs = (
-        met.withColumn("run", F.col("at") - F.row_number().over(by_shift))
+        met.where("exact")
+        .withColumn("pos", F.col("shift") + F.col("at"))
+        .withColumn("run", F.col("at") - F.row_number().over(by_shift))
         .groupBy("item", "version", *KEYS, "shift", "run")
         .agg(F.min("pos").alias("begin"), (F.max("pos") + 1).alias("end"), F.first("n").alias("n"))
     )
     return runs.where(F.col("end") - F.col("begin") >= F.least("n", F.lit(width))).select("item", "version", *KEYS, "shift", "begin", "end")
 
 
-def proximity_matches(index: DataFrame, terms: DataFrame, width: int, seed: int = SEED, slack: int = SLACK, missing: int = MISSING) -> DataFrame:
-    """item, _k1, _k2: documents with a near match of an item of `width` words or more; an exact match is one too.
+def proximity_matches(met: DataFrame, width: int, missing: int = MISSING) -> DataFrame:
+    """item, version, _k1, _k2, shift: where all words of a window but `missing` stand near their places; exact matches are among them.
 
-    A near match is a window of `width` item words that holds `seed` words which stand in the document in a row, or lies at
-    the shift of such words, and of which all but `missing` stand there at most `slack` words off the place that the shift expects.
+    met is aligned()'s with the same number missing. Items of fewer than `width` words have no near match.
     """
-    long = cut(terms.where(F.col("n") >= width))
-    frequency = cut(index.groupBy("term_id").agg(F.count("*").alias("df")))
-    rarest = windows(long, frequency, width, missing).select("item", "version", F.explode(F.slice("by_rarity", 1, missing + 2)).alias("r"))
-    rarest = cut(rarest.where("r.df > 0").select("item", "version", "r.term_id", "r.at").distinct())
-    places = index.join(small_enough(rarest, 40), "term_id").select("item", "version", *KEYS, "at", (F.col("pos") - F.col("at")).alias("shift"))
-    about = W.partitionBy("item", "version", *KEYS).orderBy("shift").rangeBetween(-2 * slack, 0)
-    two = places.withColumn("_two", F.min("at").over(about) < F.max("at").over(about)).where("_two").select(*KEYS).distinct()
-    near = cut(index.join(small_enough(cut(two), 32), KEYS, "left_semi"))
-    shifts = cut(phrase_matches(near, long, seed).select("item", "version", *KEYS, "shift").distinct())
-    expected = shifts.join(small_enough(long, 64), ["item", "version"])
-    off = F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
-    met = expected.withColumn("off", off).withColumn("pos", F.col("shift") + F.col("at") + F.col("off")).join(near, [*KEYS, "pos", "term_id"], "left_semi")
-    met = met.select("item", "version", *KEYS, "shift", "n", "at").distinct()
     by_place = W.partitionBy("item", "version", *KEYS, "shift").orderBy("at")
     hit = F.lit(False)
     for before in range(missing + 1):  # words of the window that are missing before the first one that is met
         held = F.count("*").over(by_place.rangeBetween(0, width - 1 - before))
         hit = hit | ((held >= width - missing) & (F.col("at") >= before) & (F.col("at") - before + width <= F.col("n")))
-    return met.withColumn("near", hit).where("near").select("item", *KEYS).distinct()
+    return met.where(F.col("n") >= width).withColumn("near", hit).where("near").select("item", "version", *KEYS, "shift").distinct()
 
 
 def index_for(documents: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -143,7 +140,8 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10, key:
     match (proximity_matches), exact ones among them.
     """
     index, terms = index_for(documents, items, key, text)
-    runs = cut(phrase_matches(index, terms, width))
+    met = cut(aligned(index, terms, width, SLACK if near else 0, MISSING if near else 0))
+    runs = cut(phrase_matches(met, width))
     before = F.coalesce(F.max("end").over(W.partitionBy(*KEYS).orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = runs.select(*KEYS, "begin", "end").distinct().withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("begin", before)))
     hits = ranges.groupBy(*KEYS).agg(F.sum("new").alias("n_hit"))
@@ -151,7 +149,7 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10, key:
     named = runs.groupBy(*KEYS).agg(ids().alias("items"))
     found = hits.join(named, KEYS)
     if near:
-        found = found.join(cut(proximity_matches(index, terms, width)).groupBy(*KEYS).agg(ids().alias("near_items")), KEYS, "full_outer")
+        found = found.join(proximity_matches(met, width).groupBy(*KEYS).agg(ids().alias("near_items")), KEYS, "full_outer")
     rows = documents.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ["items", "near_items"][: 1 + near]]
     return rows.join(found, KEYS, "left").select("doc_id", *KEYS, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), *lists)

@@ -27,8 +27,13 @@ hits AS (SELECT doc_id, s, p.size, item FROM (SELECT doc_id, s, size, array_to_s
          JOIN win ON win.size = p.size AND win.t = p.t),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
-fives AS (SELECT DISTINCT item, w, p, array_to_string(list_slice(w, p, p + 4), ' ') AS t FROM (SELECT item, w, unnest(range(1, len(w) - 3)) AS p FROM iw WHERE len(w) >= 10)),
-shifts AS (SELECT DISTINCT doc_id, d.w AS dw, item, f.w AS iw, q - p AS shift FROM (SELECT doc_id, w, q, array_to_string(list_slice(w, q, q + 4), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS q FROM dw)) d JOIN fives f ON d.t = f.t),
+df AS (SELECT t, count(*) AS df FROM (SELECT unnest(w) AS t FROM dw) GROUP BY t),
+placed AS (SELECT item, w, p, w[p] AS t, coalesce(df, 0) AS df FROM (SELECT DISTINCT item, w, unnest(range(1, len(w) + 1)) AS p FROM iw WHERE len(w) >= 10) LEFT JOIN df ON t = w[p]),
+two AS (SELECT DISTINCT item, w, k[1] AS a, k[2] AS b FROM (
+          SELECT item, w, s, list({{'t': t, 'p': p}} ORDER BY df, p) FILTER (df > 0) AS k FROM placed, LATERAL (SELECT unnest(range(greatest(1, p - 9), least(p, len(w) - 9) + 1)) AS s) GROUP BY item, w, s) WHERE len(k) >= 9),
+shifts AS (SELECT DISTINCT doc_id, d.w AS dw, item, g.w AS iw, shift FROM (
+             SELECT doc_id, item, two.w, q - a.p AS shift, b FROM (SELECT doc_id, generate_subscripts(w, 1) AS q, unnest(w) AS t FROM dw) x JOIN two ON x.t = a.t) g JOIN dw d USING (doc_id)
+           WHERE list_contains(d.w[greatest(1, shift + b.p - 2):greatest(0, shift + b.p + 2)], b.t)),
 met AS (SELECT doc_id, item, iw, list_filter(range(1, len(iw) + 1), lambda k: list_contains(dw[greatest(1, shift + k - 2):greatest(0, shift + k + 2)], iw[k])) AS h FROM shifts),
 near AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met
          WHERE len(list_filter(range(1, len(iw) - 8), lambda s: len(list_filter(h, lambda k: k >= s AND k < s + 10)) >= 9)) > 0) GROUP BY doc_id)

@@ -210,18 +210,23 @@ def test_contamination(spark, docs, rows):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == brute_items(table, items)
 
 
-def brute_near(rows, items, width=10, seed=5, slack=2, missing=1):
+def brute_near(rows, items, width=10, slack=2, missing=1):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
-    out = {}
+    df, out = collections.Counter(x for _, t in rows for x in words(t)), {}
     for i, t in rows:
         w, named = words(t), set()
+        around = lambda p: w[max(0, p - slack) : max(0, p + slack + 1)]  # noqa: B023, E731
         for k, item in items:
-            q = words(item)
+            q, shifts = words(item), set()
             if len(q) < width or k is None:
                 continue
-            shifts = {d - p for d in range(len(w) - seed + 1) for p in range(len(q) - seed + 1) if w[d : d + seed] == q[p : p + seed]}
+            for b in range(len(q) - width + 1):
+                known = sorted((df[q[p]], p) for p in range(b, b + width) if df[q[p]])
+                if len(known) >= width - missing:
+                    (_, one), (_, two) = known[:2]
+                    shifts |= {d - one for d, x in enumerate(w) if x == q[one] and q[two] in around(d - one + two)}
             for s in shifts:
-                met = [q[p] in w[max(0, s + p - slack) : max(0, s + p + slack + 1)] for p in range(len(q))]
+                met = [q[p] in around(s + p) for p in range(len(q))]
                 if any(sum(met[b : b + width]) >= width - missing for b in range(len(q) - width + 1)):
                     named.add(str(k))
         out[i] = sorted(named)
