@@ -11,6 +11,7 @@ the tasks, so that no pair is a hot key; only links of rarer pairs are shuffled
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -112,6 +113,12 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+@functools.cache
+def _names(bits: int) -> list[np.ndarray]:
+    """The ids below 2**bits as text after `,`, `;` and `|`."""
+    return [np.array([f"{s}{i}" for i in range(1 << bits)], object) for s in ",;|"]
+
+
 class Unpacked:
     """The ids of all rows of a batch (.., n_a, n_b, ids): those of A and of B, joined, and where groups end."""
 
@@ -136,9 +143,8 @@ class Unpacked:
         before_b = np.concatenate([[0], np.flatnonzero(self.last_b) + 1])[group_a]  # tokens of B in earlier groups
         through_a = (np.flatnonzero(self.last_a) + 1)[group_b] if len(group_b) else group_b
         out = np.empty(len(self.a) + len(self.b), object)
-        names = [np.array([f"{s}{i}" for i in range(int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1)], object) for s in (",", ";", "|")] if len(out) else []
-        if names:
-            comma, semi, bar = names
+        if len(out):
+            comma, semi, bar = _names(int(max(self.a.max(initial=0), self.b.max(initial=0))).bit_length())
             out[np.arange(len(self.a)) + before_b] = np.where(first_a, semi[self.a], comma[self.a])
             out[np.arange(len(self.b)) + through_a] = np.where(first_b, bar[self.b], comma[self.b])
         at = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
@@ -160,6 +166,7 @@ def encode_both(documents: DataFrame, path_a: str, path_b: str, key: str, text:
     """row, key, n_a, n_b, ids: both encodings of each text, packed, with the ends of groups marked; none where they hold other bytes."""
     sc = documents.sparkSession.sparkContext
     one, two = sc.broadcast(Path(path_a).read_bytes()), sc.broadcast(Path(path_b).read_bytes())
+    token = hashlib.sha256(hashlib.sha256(one.value).digest() + hashlib.sha256(two.value).digest()).hexdigest()
 
     def both() -> tuple[JsonTokenizer, PieceIds]:
         a = JsonTokenizer(one.value.decode(), special=False)
@@ -168,14 +175,14 @@ def encode_both(documents: DataFrame, path_a: str, path_b: str, key: str, text:
         return a, PieceIds(two.value)
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        token = hashlib.sha256(hashlib.sha256(one.value).digest() + hashlib.sha256(two.value).digest()).hexdigest()
         a, b = once_a_worker(f"{token}:aligned", both)
         texts = batch.column(2).to_pylist()
         some = [i for i, t in enumerate(texts) if t]
         spaced = [f" {texts[i]}" for i in some]
         rows_a, rows_b, kept = a.ids(spaced, chunk, overlap), b.ids([texts[i] for i in some], chunk, overlap), []
         for i, t, x, y in zip(some, spaced, rows_a, rows_b, strict=True):
-            if joined(x, a.bytes) == (data := t.encode()) and joined(y, b.bytes) == data:
+            data = t.encode()
+            if (a.lossless or joined(x, a.bytes) == data) and joined(y, b.bytes) == data:
                 kept.append((i, x, y))
         n_a, n_b, ids = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [b""] * len(texts)
         if kept:

@@ -38,6 +38,8 @@ class JsonTokenizer:
             self.bytes = token_bytes(text)
             self.size = np.array([len(b) for b in self.bytes], np.int64)
             self.chunks = bool(self.size.all())
+            #: Bytes are left as they are, and each has a token, so that every text comes back from its tokens.
+            self.lossless = {bytes([i]) for i in range(256)} <= set(self.bytes)
 
     def encode_chunk(self, data: bytes) -> tuple[np.ndarray, int]:
         return np.array(self.own.encode(data.decode(), add_special_tokens=False).ids, np.int64), 0
@@ -72,12 +74,6 @@ class PieceTokenizer:
         return list(map(len, self.own.encode(texts, num_threads=1)))
 
 
-def tokenizer(data: bytes, json_file: bool, special: bool = True) -> JsonTokenizer | PieceTokenizer:
-    """The tokenizer of a file's bytes, made once in each Python worker."""
-    token = f"{hashlib.sha256(data).hexdigest()}:{special}"
-    return once_a_worker(token, lambda: JsonTokenizer(data.decode(), special) if json_file else PieceTokenizer(data))
-
-
 def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row's whole text; null is read as empty, without tokens.
 
@@ -86,9 +82,11 @@ def count_tokens(documents: DataFrame, path: str, key: str = "doc_id", text: str
     too; other columns are not read. Texts of more than `chunk` bytes are cut if the tokenizer allows a proof (byte-level .json).
     """
     data, json_file = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes()), path.endswith(".json")
+    token = f"{hashlib.sha256(data.value).hexdigest()}:counted"
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = tokenizer(data.value, json_file).counts([t or "" for t in batch.column(1).to_pylist()], chunk, overlap)
+        own = once_a_worker(token, lambda: JsonTokenizer(data.value.decode()) if json_file else PieceTokenizer(data.value))
+        counts = own.counts([t or "" for t in batch.column(1).to_pylist()], chunk, overlap)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     whole = F.coalesce(documents[text], F.lit(""))
