@@ -300,6 +300,14 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert rows == [(0, 1, 0, True), (4, 1, 4, True), (5, 1, 4, False), (5, 1, 4, False), (7, 0, 7, True), (8, 0, 8, True)]
 
 
+def test_near_duplicates_of_an_id_with_very_many_rows(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(100)]
+    rows = [(5, " ".join(base))] * 300 + [(5, t) for t in near] + [(2, near[7] + " end"), (9, "something else that stands alone here")]
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows), percent=85).collect())
+    assert got == {(5, 2, False): 400, (2, 2, True): 1, (9, 9, True): 1}
+
+
 def unlike_rows_of_an_id():
     """Rows of id 5 with unlike texts; 7 and 9 are near one, 11 the other; 3 is near the lesser text of id 6, whose larger one stands alone."""
     words = lambda k, n: [f"{k}{i}" for i in range(n)]
