@@ -45,8 +45,7 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
 
 def build_index(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term_id, _k1, _k2, pos: the postings of `terms` (term, term_id) in each whole text of documents, kept."""
-    tokens = documents.select(*row_key(F.col("doc_id"), F.col("text")), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    tokens = tokens.withColumn("term", lower_ascii(F.col("term")))
+    tokens = documents.select(*row_key(F.col("doc_id"), F.col("text")), F.posexplode(words(lower_ascii(F.col("text")))).alias("pos", "term"))
     if terms.count() * 64 <= TERM_BYTES:
         return cut(tokens.join(F.broadcast(terms), "term").select("term_id", "_k1", "_k2", "pos"))
     salt = F.pmod(F.xxhash64("_k1", "pos"), F.lit(SALTS)).cast("int")
