@@ -10,10 +10,11 @@ leave the JVM, in Arrow batches.
 from __future__ import annotations
 
 import functools
+import re
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ from ..functions.hosts import URL, is_idn, local_files, matches_any
 from ..functions.urls import parse_url
 from . import resources
 from .policy import ATTRIBUTE_BREAKERS, LEVELS, Policy, ReplaceRule
-from .tokens import TAG, tag_list
+from .tokens import TAG, list_tags
 
 #: Fixed table: the attribute of each element that holds a URL, and the default extension if it is a resource.
 URL_ATTRIBUTES = (
@@ -87,18 +88,40 @@ def _resolve(value: pa.Array, base: pa.Array, ext: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (*columns, local)], RESOLVED.names)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _bases(hrefs: pd.Series, start: pd.Series) -> pd.Series:
-    """The base that each base element of a document makes of the one before it; null for documents without any."""
-    out = []
-    for every, now in zip(hrefs, start, strict=True):
-        folded = []
-        for h in every if every is not None else ():
-            got = None if h is None else parse_url(h, now)
-            now = got[0] if got else now
-            folded.append(now)
-        out.append(folded or None)
-    return pd.Series(out, dtype=object)
+def _first_values(attrs: pa.Array, name: str) -> list[str | None]:
+    """The value of the first attribute of that name in each list of attributes."""
+    each, out = pc.list_flatten(attrs), [None] * len(attrs)
+    own = pc.equal(each.field("name"), name)
+    for i, v in zip(reversed(pc.list_parent_indices(attrs).filter(own).to_pylist()), reversed(each.field("value").filter(own).to_pylist()), strict=True):
+        out[i] = v
+    return out
+
+
+@functools.cache
+def tags_and_bases(rule: ReplaceRule):  # noqa: ANN201
+    """A function of documents and the bases they begin with to their tags that MATTER, and the base that each base element
+    makes of the one before it, by what the rule for dangerous URIs leaves of its address; null for documents without any.
+
+    Both in one function, as a further one would have a Python worker of its own in every task.
+    """
+    dangerous = re.compile(DANGEROUS_URI, re.ASCII)  # as Java's (?i), which folds ASCII alone
+
+    @F.arrow_udf(f"struct<tags:array<{TAG}>,bases:array<string>>")
+    def run(html: pa.Array, start: pa.Array) -> pa.Array:
+        tags = list_tags(html, MATTER)
+        each, bases = pc.list_flatten(tags), [None] * len(html)
+        is_base = pc.equal(each.field("tag"), "base")
+        hrefs = _first_values(each.field("attrs").filter(is_base), "href")
+        for i, href in zip(pc.list_parent_indices(tags).filter(is_base).to_pylist(), hrefs, strict=True):
+            folded = bases[i] = bases[i] or []
+            now = folded[-1] if folded else start[i].as_py()
+            if href is not None and rule.replace is not None and dangerous.search(href):
+                href = rule.replace
+            got = None if href is None else parse_url(href, now)
+            folded.append(got[0] if got else now)
+        return pa.StructArray.from_arrays([tags, pa.array(bases, pa.list_(pa.string()))], ["tags", "bases"])
+
+    return run
 
 
 def _first(attrs: Column, name: Column | str) -> Column:
@@ -160,7 +183,8 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
     docs = documents.select(F.col(key), F.col(html).alias("_text"), start.alias("_start"))
     docs = docs.repartition(parts, key) if deal else docs
     docs = docs.select(key, "_start", "_text", F.col("_text").isNotNull().alias("_some"), resources.without_entities(F.col("_text"), policy.xml_entities).alias("_clean"))
-    docs = docs.select(key, "_start", "_some", "_clean", declared_entities(F.col("_text"), policy).alias("_declared"), tag_list(MATTER)(F.col("_clean")).alias("_tags"))
+    docs = docs.select(key, "_start", "_some", "_clean", declared_entities(F.col("_text"), policy).alias("_declared"), tags_and_bases(policy.dangerous_uris)(F.col("_clean"), F.col("_start")).alias("_t"))
+    docs = docs.select(key, "_start", "_some", "_clean", "_declared", F.col("_t.tags").alias("_tags"), F.col("_t.bases").alias("_bases"))
     tag, body, at = (F.col(c) for c in ("tag", "body", "at"))
 
     # attributes, one by one
@@ -173,9 +197,6 @@ def sanitize_rows(documents: DataFrame, policy: Policy, key: str = "page_id", ht
         now = F.when(handler & F.lit(drop_handlers), replaced(policy.event_handlers, a["value"])).when(uri, replaced(policy.dangerous_uris, a["value"])).otherwise(a["value"])
         return F.struct(*(a[c].alias(c) for c in ("name", "raw_name", "raw_value", "value", "name_at", "name_end")), handler.alias("handler"), uri.alias("uri"), changed.alias("changed"), now.alias("now"))
 
-    heads = F.filter("_tags", lambda t: t["tag"] == "base")
-    hrefs = F.transform(heads, lambda t: _first(F.transform(t["attrs"], judged), "href")["now"])
-    docs = docs.withColumn("_hrefs", F.when(F.size(heads) > 0, hrefs)).withColumn("_bases", _bases(F.col("_hrefs"), F.col("_start")))
     kind = T._parse_datatype_string(TAG)
     whole = F.struct(*(F.lit(-1 if f.name == "pos" else None).cast(f.dataType).alias(f.name) for f in kind if f.name != "doc"), F.col("_clean").cast("binary").alias("doc"))
     elements = F.concat(F.array(whole), F.coalesce("_tags", F.array().cast(f"array<{TAG}>")))

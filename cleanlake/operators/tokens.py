@@ -75,24 +75,29 @@ def _tags(data: bytes, ends: np.ndarray, matter: frozenset[str] | None) -> pa.Ar
     return lists(pa.StructArray.from_arrays(list(fields.values()), list(fields)), per)
 
 
+def list_tags(html: pa.Array, matter: frozenset[str] | None = None) -> pa.Array:
+    """The start tags of documents (strings) in order, a list of TAG for each; null for null. With matter, those alone that it says."""
+    sizes, out, at = np.asarray(pc.fill_null(pc.binary_length(html), 0), np.int64), [], 0
+    part = np.maximum(np.cumsum(sizes) - sizes, 0) // TOGETHER
+    for end in (*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(html)):
+        if end > at:
+            texts = html.slice(at, end - at)
+            data = b"".join(pc.fill_null(texts.cast(pa.binary()), b"").to_pylist())
+            out.append(_tags(data, np.cumsum(sizes[at:end]), matter))
+        at = end
+    got = pa.concat_arrays(out) if out else _tags(b"", np.zeros(0, np.int64), matter)
+    if html.null_count:
+        got = pc.if_else(pc.is_valid(html), got, pa.scalar(None, got.type))
+    return got
+
+
 @cache
-def tag_list(matter: frozenset[str] | None = None):  # noqa: ANN201
-    """A function of documents (string) to array<TAG>, their start tags in order; null for null. With matter, those alone that it says."""
+def tag_list():  # noqa: ANN201
+    """list_tags() as a function of a column."""
 
     @F.arrow_udf(f"array<{TAG}>")
     def run(html: pa.Array) -> pa.Array:
-        sizes, out, at = np.asarray(pc.fill_null(pc.binary_length(html), 0), np.int64), [], 0
-        part = np.maximum(np.cumsum(sizes) - sizes, 0) // TOGETHER
-        for end in (*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(html)):
-            if end > at:
-                texts = html.slice(at, end - at)
-                data = b"".join(pc.fill_null(texts.cast(pa.binary()), b"").to_pylist())
-                out.append(_tags(data, np.cumsum(sizes[at:end]), matter))
-            at = end
-        got = pa.concat_arrays(out) if out else _tags(b"", np.zeros(0, np.int64), matter)
-        if html.null_count:
-            got = pc.if_else(pc.is_valid(html), got, pa.scalar(None, got.type))
-        return got
+        return list_tags(html)
 
     return run
 

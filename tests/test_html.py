@@ -1,6 +1,10 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from cleanlake.operators.html import sanitize_html
+from cleanlake.functions.urls import parse_url
+from cleanlake.operators.html import is_dangerous_uri, replaced, sanitize_html, sanitize_rows, tags_and_bases
 from cleanlake.operators.policy import Policy, ReplaceRule
 
 P = Policy()
@@ -90,3 +94,20 @@ def test_odd_markup_stays_as_it_is(spark):
     texts = ["<", "a <b", '<p "x>y</p><q>', "<!-- never ends <p onclick=1>", "<a<b onclick=1>", "<p><!doctype x><br/><p/>", "x</p onclick=1>", "<title><p onclick=1></title>", "<p x='>'>a</p>" * 3, "<script>var a = '<p onclick=1>'</script><STYLE>p{}</STYLE >", "é<p>€</p>"]
     got = sanitize_html(spark.createDataFrame(list(enumerate(texts)), "page_id long, html string"), P).output.collect()
     assert {r.page_id: r.output for r in got} == {**dict(enumerate(texts)), 4: "<a<b>"}
+
+
+def test_sanitizer_keeps_two_python_workers_a_task(spark):
+    docs = spark.createDataFrame([(1, '<base href="/s/"><img src="a.png"><script>eval(1)</script><style>p{}</style>')], "page_id long, html string")
+    plan = sanitize_rows(docs, KEEPING)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\w*EvalPython \[", plan)) == 2
+
+
+@pytest.mark.parametrize("rule", [P.dangerous_uris, KEEP, ReplaceRule("info", "")])
+def test_bases_are_judged_as_other_addresses(spark, rule):
+    hrefs = ["javascript:x", "JAVA\tSCRIPT:x", "javaſcript:x", " data:x", "\x1f\ndata:x", "xdata:x", "data", "/d/", ""]
+    docs = spark.createDataFrame([(i, f'<base class=x href="{h}" href="/no/">', h) for i, h in enumerate(hrefs)] + [(99, None, None), (100, "<p>", None)], "page_id long, html string, href string")
+    now = F.when(is_dangerous_uri(F.col("href")), replaced(rule, F.col("href"))).otherwise(F.col("href"))
+    got = docs.select("*", tags_and_bases(rule)(F.col("html"), F.lit("https://h/a/")).alias("t"), now.alias("now")).collect()
+    assert {r.page_id: r.t.bases for r in got if r.page_id > 98} == {99: None, 100: None}
+    want = {r.page_id: (parse_url(r.now, "https://h/a/") or ["https://h/a/"])[0] for r in got if r.page_id < 99}
+    assert {r.page_id: r.t.bases for r in got if r.page_id < 99} == {i: [u] for i, u in want.items()}
