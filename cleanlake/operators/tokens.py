@@ -17,7 +17,7 @@ ATTRIBUTES = "array<struct<name:string,raw_name:string,raw_value:string,value:st
 #: is a script or style, whether it ends in `/>`, its attributes, and how many base elements stand before it.
 TAG = f"struct<pos:bigint,tag:string,raw_tag:string,at:bigint,open_end:bigint,body_end:bigint,body:string,closing:boolean,attrs:{ATTRIBUTES},bases:bigint,doc:binary>"
 #: Bytes of documents that are read at once (one document may be longer).
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 def as_bytes(text: Column) -> Column:

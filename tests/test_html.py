@@ -1,11 +1,14 @@
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cleanlake.functions.urls import parse_url
 from cleanlake.operators.html import is_dangerous_uri, replaced, sanitize_html, sanitize_rows, tags_and_bases
 from cleanlake.operators.policy import Policy, ReplaceRule
+from cleanlake.operators.tokens import list_tags
 
 P = Policy()
 WARN = lambda text: ReplaceRule("warn", text)
@@ -111,3 +114,12 @@ def test_bases_are_judged_as_other_addresses(spark, rule):
     assert {r.page_id: r.t.bases for r in got if r.page_id > 98} == {99: None, 100: None}
     want = {r.page_id: (parse_url(r.now, "https://h/a/") or ["https://h/a/"])[0] for r in got if r.page_id < 99}
     assert {r.page_id: r.t.bases for r in got if r.page_id < 99} == {i: [u] for i, u in want.items()}
+
+
+def test_memory_of_reading_tags_stays_as_documents_add_up():
+    docs = pa.array(["<p>a b</p><a href='/x'>l</a>" * 2000] * 160)
+    tracemalloc.start()
+    list_tags(docs, frozenset(["base"]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
