@@ -65,3 +65,8 @@ def test_hashes_of_rows_together_are_those_of_each():
     rows = [bytes(rnd.randrange(256) for _ in range(rnd.randrange(40))) for _ in range(300)]
     assert siphash13(rows).tolist() == [int(siphash13([r])[0]) for r in rows]
     assert siphash13([b"https://trusted.com/btn.png\xff"]).tolist() == [0x006621E470212FDA] and siphash13([]).tolist() == []
+
+
+def test_pieces_of_an_ipv6_address_have_four_digits_at_most():
+    assert parse_url("wss://[::ffff]:443/x", None)[0] == "wss://[::ffff]/x" and parse_url("wss://[::1:e009]:443/x", None)[0] == "wss://[::1:e009]/x"
+    assert parse_url("wss://[::1e009]:443/x", None) is None
