@@ -421,3 +421,17 @@ def test_languages_share_the_bytes_of_training(spark):
     rows = [(i, f"{'x' * 90} {i}", f"l{i % 10}") for i in range(400)]
     got = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 2, 400, languages=5, all_bytes=2000)
     assert len(got) == 5 and all(sum(map(len, t)) <= 400 for t in got.values())
+
+
+def test_samples_of_a_dialogue_do_not_depend_on_the_other_dialogues(spark):
+    most, carry = 16384, 4096
+    turn = lambda c, i, size: (c, i, "ab"[i % 2], f"{i:03}".ljust(size - chat.TURN, "x"))
+    rows = [turn(0, i, 2048) for i in range(8)] + [turn(1, i, 2048) for i in range(8)] + [turn(1, 8, 1025)] + [turn(None, i, 2048) for i in range(5)] * 2
+    rows += [(3, None, "a", "y" * 9000), (3, None, "system", "s"), (3, 1, "b", "z" * 9000), (3, 1, "b", "z")]
+    long = [turn(9, i, 2048) for i in range(30)]
+    made = lambda x: {(r.conv_id, r.perspective, r.block): (r.text, [(m.start, m.end) for m in r["mask"]]) for r in chat.perspectives(spark.createDataFrame([(*r, "x", 1) for r in x], CONVERSATIONS), most, carry).collect()}
+    together, alone = made(rows + long), {}
+    for c in (0, 1, None, 3):
+        alone |= made([r for r in rows if r[0] == c])
+    assert {k: v for k, v in together.items() if k[0] != 9} == alone == brute_perspectives(rows, most, carry)
+    assert {k[2] for k in alone if k[0] in (0, None)} == {0} and {k[2] for k in alone if k[0] == 1} == {0, 1}
