@@ -48,7 +48,7 @@ _LINKS = (
     (f"concat('http://', {_H}, ':99999/')", "CAST(NULL AS VARCHAR)"),
     (f"concat('ftp://ﬀ.', {_H}, '/é')", f"concat('ftp://ff.', {_H}, '/%C3%A9')"),
     (f"concat('ws://faß.', {_H})", f"concat('ws://xn--fa-hia.', {_H}, '/')"),
-    ("concat('ftp://0x7f.', page_id, '/..')", "concat('ftp://127.', page_id // 65536 % 256, '.', page_id // 256 % 256, '.', page_id % 256, '/')"),
+    ("concat('ftp://0x7f.', page_id % 16777216, '/..')", "concat('ftp://127.', page_id // 65536 % 256, '.', page_id // 256 % 256, '.', page_id % 256, '/')"),
     (f"concat('wss://[::', lower(hex(page_id + 1)), ']:443/', {_H})", f"concat('wss://[::', lower(hex(page_id + 1)), ']/', {_H})"),
 )
 

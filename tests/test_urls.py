@@ -70,3 +70,7 @@ def test_hashes_of_rows_together_are_those_of_each():
 def test_pieces_of_an_ipv6_address_have_four_digits_at_most():
     assert parse_url("wss://[::ffff]:443/x", None)[0] == "wss://[::ffff]/x" and parse_url("wss://[::1:e009]:443/x", None)[0] == "wss://[::1:e009]/x"
     assert parse_url("wss://[::1e009]:443/x", None) is None
+
+
+def test_the_last_number_of_an_ipv4_address_fills_the_bytes_that_are_left():
+    assert parse_url("ftp://0x7f.16777215/..", None)[0] == "ftp://127.255.255.255/" and parse_url("ftp://0x7f.16777216/..", None) is None
